@@ -1,0 +1,16 @@
+"""Named queries over the test tables."""
+
+
+def all_queries():
+    """``(queries, oracles)`` of every registered query."""
+    import importlib
+
+    from ostinato.plans import registry
+
+    for module in ("tables", "catalog", "tags", "similarity", "semantic", "evaluate", "interactions", "streams", "jobs"):
+        try:
+            importlib.import_module(f"ostinato.plans.queries_{module}")
+        except ModuleNotFoundError as e:
+            if f"queries_{module}" not in str(e):
+                raise
+    return registry.QUERIES, registry.ORACLES

@@ -12,12 +12,13 @@ STRINGS = "array<string>"
 
 
 def scan_documents(
-    spark: SparkSession, folder: str, names: list[str] | None = None, pattern: str = "*_{combined,musicbrainz}.json"
+    spark: SparkSession, folder: str, names: list[str] | None = None, pattern: str = "*_{combined,musicbrainz}.json",
+    multi_line: bool = True,
 ) -> DataFrame:
     """One row per artist document, with ``artist_file`` taken from the file name."""
     docs = (
         spark.read.schema(ARTIST_DOCUMENT)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("pathGlobFilter", pattern)
         .json(folder)
         .select("*", F.col("_metadata.file_name").alias("_file"))
