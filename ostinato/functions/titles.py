@@ -72,9 +72,8 @@ def work_type(title) -> Column:
             merged[-1][0].extend(patterns)
         else:
             merged.append((list(patterns), name))
-    first, *rest = merged
-    chain = F.when(t.rlike(_any_of(first[0])), F.lit(first[1]))
-    return reduce(lambda acc, r: acc.when(t.rlike(_any_of(r[0])), F.lit(r[1])), rest, chain)
+    # coalesce, not one CASE: a filter on the result is then not unfolded over all branches
+    return F.coalesce(*[F.when(t.rlike(_any_of(ps)), F.lit(name)) for ps, name in merged])
 
 
 def all_work_types(title) -> Column:

@@ -88,7 +88,9 @@ def top_items(
 
         def blocked(df, key, own, others, n_own, n_others):
             every = F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))
-            return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(others, every)
+            # renewed columns, so that both sides may come from one frame
+            fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
+            return fresh.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(others, every)
 
         q = blocked(queries, query_id, "_qb", "_ib", nq, ni)
         i = blocked(items, item_id, "_ib", "_qb", ni, nq)

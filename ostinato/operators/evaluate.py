@@ -151,7 +151,7 @@ def evaluate_queries(results: DataFrame, expected: DataFrame) -> DataFrame:
     found = (
         results.select("query", text.alias("text")).join(expected, "query")
         .groupBy("query", "feature").agg(F.count_if(F.col("text").contains(F.lower("feature"))).alias("hits"))
-        .groupBy("query").agg(F.count_if("hits > 0").alias("found"))
+        .groupBy("query").agg(F.count_if(F.col("hits") > 0).alias("found"))
     )
     base = results.groupBy("query").agg(F.count("*").alias("num_results"), F.avg("score").alias("avg_similarity"))
     wanted = expected.groupBy("query").agg(F.count("*").alias("n_expected"))
@@ -165,8 +165,8 @@ def query_summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(
         F.count("*").alias("queries"), F.avg("avg_similarity").alias("avg_similarity_score"),
         F.avg("feature_coverage").alias("avg_feature_coverage"), F.avg("num_results").alias("avg_results_per_query"),
-        (F.count_if("feature_coverage >= 0.5") / F.count("*")).alias("coverage_rate"),
-        (F.count_if("avg_similarity >= 0.5") / F.count("*")).alias("high_similarity_rate"))
+        (F.count_if(F.col("feature_coverage") >= 0.5) / F.count("*")).alias("coverage_rate"),
+        (F.count_if(F.col("avg_similarity") >= 0.5) / F.count("*")).alias("high_similarity_rate"))
 
 
 def run_overlap(runs: DataFrame, n: int) -> DataFrame:

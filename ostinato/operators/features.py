@@ -13,6 +13,7 @@ from ostinato.functions.fixed_values import CATALOG_FLAGS, CIRCLE_OF_FIFTHS, FEA
 from ostinato.functions.titles import plain_key
 from ostinato.operators.catalog import fill_for_features, tags_of_works, with_composers
 from ostinato.operators.shape import one_row
+from ostinato.session import cut
 
 GROUPS = ("composer", "period", "work_type", "country")
 COLUMN_OF = {"composer": "name", "period": "period", "work_type": "work_type", "country": "country"}
@@ -104,14 +105,13 @@ def tag_terms(
         words_of = F.concat(words_of, F.coalesce("mb_tags", none))
     text = F.when(F.size(words_of) > 0, F.array_join(words_of, " ")).otherwise(F.lit(untagged_term))
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w+\b)"), F.lit(1))
-    grams = [
-        words if n == 1 else F.when(
-            F.size("words") >= n,
-            F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), lambda i, n=n: F.array_join(F.slice("words", i, n), " ")),
-        ).otherwise(none)
-        for n in range(ngrams[0], ngrams[1] + 1)
-    ]
-    grams = [F.col("words") if n == 1 else g for n, g in zip(range(ngrams[0], ngrams[1] + 1), grams)]
+
+    def grams_of(n: int):
+        places = F.sequence(F.lit(1), F.size("words") - (n - 1))
+        runs = F.transform(places, lambda i: F.array_join(F.slice("words", i, n), " "))
+        return F.when(F.size("words") >= n, runs).otherwise(none)
+
+    grams = [grams_of(n) for n in range(ngrams[0], ngrams[1] + 1)]
     rows = j.select("work_id", F.coalesce(words, none).alias("words")).select("work_id", F.explode(F.concat(*grams)).alias("term"))
     return rows.groupBy("work_id", "term").agg(F.count("*").alias("tf"))
 
@@ -141,7 +141,7 @@ def tag_tfidf(
     min_df: int = 1, include_source_tags: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit and apply: ``(vectors, vocabulary)`` with vectors ``(work_id, terms, weights)``."""
-    terms = tag_terms(works, tags, ngrams, untagged_term, include_source_tags)
+    terms = cut(tag_terms(works, tags, ngrams, untagged_term, include_source_tags), "tag-terms")  # read twice below
     vocabulary = fit_vocabulary(terms, works.count(), max_features, min_df)
     return tfidf(terms, vocabulary), vocabulary
 

@@ -241,7 +241,8 @@ def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embe
     own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
     base = items.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own.alias("o"))
     left = base.select(F.col("o").alias("lb"), F.explode(F.sequence(F.col("o"), F.lit(blocks - 1))).alias("rb"), "id", "v")
-    right = base.select(F.explode(F.sequence(F.lit(0), F.col("o"))).alias("lb"), F.col("o").alias("rb"), "id", "v")
+    right = base.select(
+        F.explode(F.sequence(F.lit(0), F.col("o"))).alias("lb"), F.col("o").alias("rb"), F.col("id").alias("id"), F.col("v").alias("v"))
 
     def count(a, b):
         import numpy as np

@@ -12,6 +12,7 @@ from ostinato.functions.vectors import sparse_dot
 from ostinato.operators.blocks import top_items
 from ostinato.operators.features import Weights
 from ostinato.operators.shape import ranked
+from ostinato.session import cut
 
 DIGITS = 6
 Side = Callable[[str], Column]
@@ -233,7 +234,7 @@ def all_edges(
     its k + 1 best works (any better work outside would have k + 1 profiles' first works before it).
     The list is joined back by profile and each work drops itself.
     """
-    members, distinct = profiles(rows, k + 1)
+    members, distinct = (cut(f, "profiles") for f in profiles(cut(rows, "features"), k + 1))
     near = top_items(
         distinct.drop("ids"), distinct.drop("ids"), k + 1, content_block(w, metric), "profile_id", "profile_id", DIGITS,
         min_score=min_score,
@@ -272,14 +273,15 @@ def lsh_neighbours(
     model = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(vec)
     hashed = model.transform(vec).select("id", "u", F.posexplode("h").alias("t", "b"))
-    hashed = hashed.select("id", "u", "t", vector_to_array("b")[0].cast("long").alias("b"))
+    hashed = cut(hashed.select("id", "u", "t", vector_to_array("b")[0].cast("long").alias("b")), "lsh")
     sizes = hashed.groupBy("t", "b").agg(F.count("*").alias("n")).filter("n > 1").select(
         "t", "b", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = hashed.join(sizes, ["t", "b"]).withColumn("_o", own)
     left = placed.select("t", "b", F.col("_o").alias("lb"), every().alias("rb"), "id", "u")
-    right = placed.select("t", "b", every().alias("lb"), F.col("_o").alias("rb"), "id", "u")
+    right = placed.select(
+        *[F.col(c).alias(c) for c in ("t", "b")], every().alias("lb"), F.col("_o").alias("rb"), *[F.col(c).alias(c) for c in ("id", "u")])
     id_type = vectors.schema[id_col].dataType.simpleString()
 
     def score(a, c):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.operators.shape import one_row
+from ostinato.session import cut
 
 
 def coverage(tags: DataFrame, works: DataFrame) -> DataFrame:
@@ -81,11 +82,11 @@ def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_t
     Sets of more than ``max_subset_tags`` tags have too many subsets: pairs with such a set are summed
     from blocks of sets instead (see ``_large_set_sums``).
     """
-    sets = _tag_sets(tags, works, group)
+    sets = cut(_tag_sets(tags, works, group), "tag-sets")
     totals = sets.groupBy("grp").agg(F.sum("n_works").alias("works_count")).filter("works_count >= 2")
     small = sets.filter(F.col("size") <= max_subset_tags)
     # subsets as bit masks 1 .. 2^size - 1
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.col("size")) - 1)
+    masks = F.expr("sequence(1, shiftleft(1, size) - 1)")
     exploded = small.select("grp", "size", "n_works", "tags", F.explode(masks).alias("mask"))
     subset = F.expr("filter(tags, (t, i) -> (shiftright(mask, i) & 1) = 1)")
     counts = (
@@ -120,7 +121,8 @@ def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: i
     big_blocked = large.join(per_group.select("grp", "blocks"), "grp").withColumn("_b", block)
     every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = big_blocked.select("grp", F.col("_b").alias("lb"), every().alias("rb"), "tags", "size", "n_works")
-    right = all_blocked.select("grp", every().alias("lb"), F.col("_b").alias("rb"), "tags", "size", "n_works")
+    right = all_blocked.select(
+        F.col("grp").alias("grp"), every().alias("lb"), F.col("_b").alias("rb"), *[F.col(c).alias(c) for c in ("tags", "size", "n_works")])
 
     def total(a, b):
         import numpy as np

@@ -147,7 +147,7 @@ def origin_stats(tags: DataFrame, works: DataFrame) -> DataFrame:
         F.count_if(F.col("source") == AUTO).alias("n_auto"),
     )
     t = per.agg(
-        F.count("*").alias("any_tags"), F.count_if("n_src > 0").alias("source_works"), F.count_if("n_auto > 0").alias("auto_works"),
+        F.count("*").alias("any_tags"), F.count_if(F.col("n_src") > 0).alias("source_works"), F.count_if(F.col("n_auto") > 0).alias("auto_works"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.coalesce(F.sum("n_src"), F.lit(0)).alias("source_entries"),
         F.coalesce(F.sum("n_auto"), F.lit(0)).alias("auto_entries"),
     )

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ostinato.functions.titles import all_catalog_numbers, all_work_types, period_of, year_of
+from ostinato.functions.titles import all_catalog_numbers, all_work_types, period_of, work_type, year_of
 from ostinato.operators import catalog, conform, corrections, quality
 from ostinato.plans.common import CORRECTIONS_SQL, OLD_NEW_SQL, derived_corrections
 from ostinato.plans.registry import query
-from ostinato.plans.views import Tables, work_type_rules, _re2
+from ostinato.plans.views import Tables, _re2, all_rules
 from ostinato.sources import documents, schemas, sinks, tables
 from ostinato.session import fresh_path
 
@@ -407,12 +407,24 @@ def _(t: Tables):
     return t.raw_works.select("work_id", F.array_join(all_work_types("title"), "|").alias("types"))
 
 
+NOT_WORD = r"[^\p{L}\p{M}\p{Nd}_]"
+
+
+def unicode_pattern(p: str) -> str:
+    """A rule as a yes/no pattern with spelled-out Unicode word borders and look-aheads."""
+    p = p.replace(r"(?!\s+/)", r"(?:$|\S|\s+$|\s+[^\s/])")
+    p = p.replace(r"\b(?!\s+pour)", rf"(?:$|[^\p{{L}}\p{{M}}\p{{Nd}}_\s]|\s+$|\s+(?:[^\sp]|p$|p[^o]|po$|po[^u]|pou$|pou[^r]))")
+    if p.startswith(r"\b"):
+        p = rf"(?:^|{NOT_WORD})" + p[2:]
+    if p.endswith(r"\b"):
+        p = p[:-2] + rf"(?:$|{NOT_WORD})"
+    return p.replace("'", "''")
+
+
 @query("f2_work_type_of_documents", "", "SELECT doc_id, CASE " + " ".join(
-    f"WHEN regexp_matches(\"text\", '{_re2(p)}', 'i') THEN '{n}'" for p, n in work_type_rules()) + " END AS work_type FROM documents WHERE regexp_matches(\"text\", '^[ -~\\s]*$')")
+    f"WHEN regexp_matches(\"text\", '{unicode_pattern(p)}', 'i') THEN '{n}'" for p, n in all_rules()) + " END AS work_type FROM documents")
 def _(t: Tables):
-    from ostinato.functions.titles import work_type
-    # whole texts in plain letters, where both regex engines mean the same by a word border
-    return t.documents.filter(F.col("text").rlike(r"^[ -~\s]*$")).select("doc_id", work_type("text").alias("work_type"))
+    return t.documents.select("doc_id", work_type("text").alias("work_type"))
 
 
 @query("f3_musical_key", "works", "SELECT work_id, title, key FROM works")

@@ -111,6 +111,10 @@ def sql_catalog_number(t: str) -> str:
                  lambda p, v: f"concat('{v} ', trim(regexp_extract({{t}}, '{_re2(p)}', 1, 'i')))").format(t=t)
 
 
+def all_rules():
+    return [*KNOWN_TITLES, *[(p, n) for n, ps in WORK_TYPE_PATTERNS for p in ps]]
+
+
 def work_type_rules():
     rules = [(p, n) for p, n in KNOWN_TITLES if _ascii(p)]
     return rules + [(p, n) for n, ps in WORK_TYPE_PATTERNS for p in ps if _ascii(p)]

@@ -59,7 +59,10 @@ def main():
 
     folder = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
-                                         "spark.log.level": "ERROR"})
+                                         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
+    spark.sparkContext.setLogLevel("OFF")
+    import logging
+    logging.disable(logging.CRITICAL)
     con = duckdb.connect()
     for n in TABLES:
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{folder}/{n}.parquet')")
@@ -72,7 +75,7 @@ def main():
         try:
             ok, note, took = compare(spark, con, name, queries[name], oracles.get(name), folder)
         except Exception as e:  # noqa: BLE001
-            ok, note, took = False, f"{type(e).__name__}: {str(e)[:600]}", 0.0
+            ok, note, took = False, f"{type(e).__name__}: {str(e)[:300]}", 0.0
         bad += not ok
         print(f"{'ok ' if ok else 'BAD'} {name:32s} {took:6.2f}s {'' if name in oracles else '(no sql) '}{note}", flush=True)
     print("failures:", bad)
