@@ -57,6 +57,7 @@ def top_items(
     task, and every task emits at most k rows per query; no pair table exists.
     """
     spark = items.sparkSession
+    out_item = item_id if item_id != query_id else "item_id"
     qt, it = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"query_id {qt}, item_id {it}, score double"
 
@@ -73,7 +74,7 @@ def top_items(
     head = queries.limit(few + 1).toPandas()
     if len(head) <= few:
         if head.empty:
-            return spark.createDataFrame([], schema + ", rank int").withColumnsRenamed({"query_id": query_id})
+            return spark.createDataFrame([], schema + ", rank int").withColumnsRenamed({"query_id": query_id, "item_id": out_item})
         sent = spark.sparkContext.broadcast(head)
 
         def scan(batches):
@@ -97,7 +98,6 @@ def top_items(
         partial = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInPandas(
             lambda a, b: block(a, b), schema)
     best = ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
-    out_item = item_id if item_id != query_id else "item_id"
     return best.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
 
 

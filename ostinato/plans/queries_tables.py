@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ostinato.functions.titles import all_catalog_numbers, all_work_types, period_of, work_type, year_of
+from ostinato.functions.titles import all_catalog_numbers, all_work_types, enrich_titles, period_of, work_type, year_of
 from ostinato.operators import catalog, conform, corrections, quality
 from ostinato.plans.common import CORRECTIONS_SQL, OLD_NEW_SQL, derived_corrections
 from ostinato.plans.registry import query
@@ -370,7 +370,7 @@ def _(t: Tables):
 
 @query("f1_catalog_number", "works", "SELECT work_id, title, catalog_number FROM works")
 def _(t: Tables):
-    return t.works.select("work_id", "title", "catalog_number")
+    return enrich_titles(t.raw_works).select("work_id", "title", "catalog_number")
 
 
 _ALL_NUMBERS = "array_to_string(list_concat({}), '|')"
@@ -391,7 +391,7 @@ def _(t: Tables):
 
 @query("f2_work_type", "works", "SELECT work_id, title, work_type FROM works")
 def _(t: Tables):
-    return t.works.select("work_id", "title", "work_type")
+    return enrich_titles(t.raw_works).select("work_id", "title", "work_type")
 
 
 def _sql_all_types() -> str:
@@ -429,7 +429,7 @@ def _(t: Tables):
 
 @query("f3_musical_key", "works", "SELECT work_id, title, key FROM works")
 def _(t: Tables):
-    return t.works.select("work_id", "title", "key")
+    return enrich_titles(t.raw_works).select("work_id", "title", "key")
 
 
 @query("f4_period", "composers", "SELECT composer_id, birth_year, death_year, period FROM composers")

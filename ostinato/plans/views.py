@@ -23,6 +23,7 @@ from ostinato.functions.fixed_values import (
     WORK_TYPE_PATTERNS,
 )
 from ostinato.functions.titles import enrich_titles, period_of
+from ostinato.session import cut
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -187,9 +188,10 @@ class Tables:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
         return self.spark.sql(text, **{t: self.base(t) for t in used})
 
+    # Works are parsed once and stored, as the conforming job does; queries then scan the stored columns.
     @cached_property
     def works(self) -> DataFrame:
-        return enrich_titles(self._raw("raw_works"))
+        return cut(enrich_titles(self._raw("raw_works")), "works")
 
     @cached_property
     def raw_works(self) -> DataFrame:
@@ -197,11 +199,11 @@ class Tables:
 
     @cached_property
     def dirty_works(self) -> DataFrame:
-        return enrich_titles(self._raw("raw_dirty_works"), "full_title").drop("full_title")
+        return cut(enrich_titles(self._raw("raw_dirty_works"), "full_title").drop("full_title"), "dirty-works")
 
     @cached_property
     def named_works(self) -> DataFrame:
-        return enrich_titles(self._raw("raw_named_works"))
+        return cut(enrich_titles(self._raw("raw_named_works")), "named-works")
 
     @cached_property
     def composers(self) -> DataFrame:
