@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from ostinato.operators import tags as tg
 from ostinato.plans.etl import run_etl
 from ostinato.plans.queries_tables import artist_documents
+from ostinato.plans.queries_tags import ENHANCE_SQL, UNTAGGED_SQL, _rule_tags_sql
 from ostinato.plans.registry import query
 from ostinato.plans.tagging import run_tagging
 from ostinato.plans.views import Tables
 from ostinato.session import fresh_path
 
 
-@query("g6_tag_untagged")
+@query("g6_tag_untagged", "works tags", "SELECT work_id, tag, source, confidence FROM tags UNION ALL SELECT work_id, tag, 'auto-tagger', 1.0 FROM made", _rule_tags_sql(UNTAGGED_SQL))
 def _(t: Tables):
     at = F.lit("2024-01-01").cast("timestamp")
     run = run_tagging(t.works, t.composers, t.tags, created_at=at, out=fresh_path(t.spark, "tagged"), max_cost_usd=1e9)
     return run.tags.drop("created_at")
 
 
-@query("g6_enhance")
+@query("g6_enhance", "works tags", "SELECT work_id, tag, 'auto-tagger' AS source, 1.0::DOUBLE AS confidence FROM made", _rule_tags_sql(ENHANCE_SQL))
 def _(t: Tables):
     at = F.lit("2024-01-01").cast("timestamp")
     return run_tagging(t.works, t.composers, t.tags, mode="enhance", created_at=at, max_cost_usd=1e9).new_tags.drop("created_at")

@@ -110,7 +110,26 @@ def _(t: Tables):
     return similarity.similar_to_title(content(t)[0], t.works, "Nocturne in G")
 
 
-@query("v9_diverse")
+def _greedy_sql(rounds: int, weight: float = 0.3) -> tuple[dict[str, str], str]:
+    """The greedy rounds spelled out, one state table and one pick table per round."""
+    sim = f"({DOT_SQL}) / sqrt(a.n2 * b.n2)"
+    ctes = {
+        "seeds": "SELECT min(work_id) AS seed FROM works WHERE work_type IS NOT NULL GROUP BY work_type",
+        "st1": f"SELECT seed, b.work_id AS cand, {sim} AS rel, CAST(NULL AS DOUBLE) AS red FROM seeds JOIN featn a ON a.work_id = seed JOIN featn b ON b.work_id <> seed",
+    }
+    for r in range(1, rounds + 1):
+        ctes[f"pk{r}"] = (f"SELECT seed, cand AS pick, rel FROM st{r} QUALIFY row_number() OVER (PARTITION BY seed ORDER BY "
+                          f"round({weight} * rel - {1 - weight} * coalesce(red, 0.0), 6) DESC, cand) = 1")
+        ctes[f"st{r + 1}"] = (f"SELECT s.seed, cand, s.rel, greatest(coalesce(red, -1e9), {sim}) AS red FROM st{r} s JOIN pk{r} p ON p.seed = s.seed AND p.pick <> s.cand "
+                              "JOIN featn a ON a.work_id = p.pick JOIN featn b ON b.work_id = s.cand")
+    del ctes[f"st{rounds + 1}"]
+    return ctes, " UNION ALL ".join(f"SELECT seed AS seed_id, pick AS item_id, round(rel, 6) AS score, {r} AS rank FROM pk{r}" for r in range(1, rounds + 1))
+
+
+_CTES, _BODY = _greedy_sql(10)
+
+
+@query("v9_diverse", WCG, _BODY, ALL | _CTES)
 def _(t: Tables):
     seeds = [r[0] for r in first_per_type(t.works).select("work_id").collect()]  # one per work type
     return rerank.diverse(content(t)[0], seeds, 10)

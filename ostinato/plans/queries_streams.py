@@ -37,12 +37,20 @@ def _(t: Tables):
     return drained(t, monitor.brute_force_stream(s, 3, 360, client="user_id"), "failures").select("event_id", "user_id")
 
 
-@query("r4_token_bucket_replay")
+BUCKET_SQL = """WITH RECURSIVE ev AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+ b AS (SELECT user_id, event_id, t, i, true AS allowed, CAST(1.0 AS DOUBLE) AS tokens, t AS last, CAST(1 AS INT) AS remaining, CAST(NULL AS BIGINT) AS retry_after FROM ev WHERE i = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.i, n >= 1, CASE WHEN n >= 1 THEN n - 1 ELSE tokens END, CASE WHEN n >= 1 THEN e.t ELSE last END,
+   CAST(CASE WHEN n >= 1 THEN floor(n - 1) ELSE 0 END AS INT), CASE WHEN n < 1 THEN CAST(floor((1 - n) * (21600 / 2)) AS BIGINT) END
+  FROM (SELECT e.*, b.tokens, b.last, least(2.0::DOUBLE, b.tokens + (e.t - b.last) * (2.0::DOUBLE / 21600)) AS n FROM b JOIN ev e ON e.user_id = b.user_id AND e.i = b.i + 1) e)
+SELECT event_id, user_id, allowed, remaining, retry_after FROM b"""
+
+
+@query("r4_token_bucket_replay", "", BUCKET_SQL)
 def _(t: Tables):
     return limiter.replay(t.events, 2, 21600, "user_id").select("event_id", "user_id", "allowed", "remaining", "retry_after")
 
 
-@query("r4_token_bucket_stream")
+@query("r4_token_bucket_stream", "", BUCKET_SQL)
 def _(t: Tables):
     s = limiter.limit_stream(event_stream(t), 2, 21600, "user_id")
     return drained(t, s, "limits").select("event_id", "user_id", "allowed", "remaining", "retry_after")

@@ -46,7 +46,7 @@ def artist_documents(t: Tables):
     """Artist documents, one per composer and work type, so that no document is large."""
     w = t.works.filter("composer_id IS NOT NULL").groupBy("composer_id", "work_type", "key").agg(F.collect_list(F.struct(
         F.lit("musicbrainz").alias("source"), F.col("work_id").cast(STR).alias("release_group_id"), "title",
-        F.array("work_type", "key").alias("tags"))).alias("works"))
+        F.array_compact(F.array("work_type", "key")).alias("tags"))).alias("works"))
     j = t.composers.join(w, "composer_id")
     return j.select(
         F.struct(

@@ -293,7 +293,25 @@ def _(t: Tables):
 
 # --- pipeline steps -------------------------------------------------------------------------------------------------
 
-@query("g1_rule_tagging")
+def _rule_tags_sql(pending: str) -> dict[str, str]:
+    """Rule tags of the pending works, for the checking engine."""
+    from ostinato.plans.queries_semantic import _moods_sql
+
+    lists = [f"CASE WHEN contains(lower(title), '{p}') THEN {list(ts)} ELSE CAST([] AS VARCHAR[]) END" for p, ts in PLAYFUL_PATTERNS.items()]
+    lists.append("CASE WHEN contains(lower(title), 'galopade') THEN ['playful', 'elegant'] ELSE CAST([] AS VARCHAR[]) END")
+    lists.append("CASE WHEN contains(lower(title), 'waltz') AND contains(lower(key), 'major') THEN ['cheerful', 'lighthearted'] ELSE CAST([] AS VARCHAR[]) END")
+    lists.append(f"coalesce(string_split({_moods_sql('key')}, ' '), CAST([] AS VARCHAR[]))")
+    both = lists[0]
+    for x in lists[1:]:
+        both = f"list_concat({both}, {x})"
+    return {"made": f"""SELECT DISTINCT work_id, tag FROM (SELECT work_id, unnest({both}) AS tag FROM works WHERE {pending}) WHERE tag IN {_in(tg.ALL_TAGS)}"""}
+
+
+UNTAGGED_SQL = "work_id NOT IN (SELECT work_id FROM tags)"
+ENHANCE_SQL = "work_id IN (SELECT work_id FROM tags WHERE source = 'musicbrainz') AND work_id NOT IN (SELECT work_id FROM tags WHERE source = 'auto-tagger')"
+
+
+@query("g1_rule_tagging", "works tags", "SELECT work_id, tag, 'auto-tagger' AS source, 1.0::DOUBLE AS confidence FROM made", _rule_tags_sql(UNTAGGED_SQL))
 def _(t: Tables):
     pending = tg.untagged_works(t.works, t.tags)
     return tg.tag_rows(tg.rule_tags(pending), F.lit("2024-01-01").cast("timestamp")).drop("created_at")
