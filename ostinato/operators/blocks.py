@@ -11,38 +11,60 @@ from pyspark.sql import functions as F
 from ostinato.operators.shape import ranked
 
 FEW_QUERIES = 2048
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 2048
+MAX_TASKS = 20_000
+
+
+CHUNK = 256
+
+
+def cogroup_blocks(left: DataFrame, right: DataFrame, keys: list[str], blocks: int, fn: Callable, schema: str) -> DataFrame:
+    """Run ``fn`` on each pair of blocks, one task per pair as far as possible.
+
+    The number of tasks is set by hand: blocks are few bytes but much work, so joining small
+    partitions, as the adaptive planner would, is wrong here.
+    """
+    n = max(1, min(blocks, MAX_TASKS))
+    a, b = (df.repartition(n, *keys).groupBy(*keys) for df in (left, right))
+    return a.cogroup(b).applyInPandas(fn, schema)
 
 
 def _best(scores, ids, k, digits, exclude=None, floor=None):
-    """Row-wise best k columns by (score desc, id asc); returns row numbers, column numbers, scores."""
+    """Row-wise best k columns by (rounded score desc, id asc); returns row numbers, column numbers, scores."""
+    import numpy as np
+
+    if scores.shape[1] == 0 or k == 0:
+        return np.array([], int), np.array([], int), np.array([])
+    id_rank = np.empty(len(ids), dtype=np.int64)
+    id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    found = [
+        _best_rows(scores[at:at + CHUNK], id_rank, k, digits, None if exclude is None else exclude[at:at + CHUNK], floor, at)
+        for at in range(0, len(scores), CHUNK)
+    ]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best_rows(s, id_rank, k, digits, exclude, floor, offset):
+    """The same for a few rows, small enough to stay in cache."""
     import numpy as np
 
-    s = np.round(scores, digits)
     if exclude is not None:
         s = np.where(exclude, -np.inf, s)
-    if floor is not None:
-        s = np.where(s >= floor, s, -np.inf)
-    n, m = s.shape
-    order = np.argsort(ids, kind="stable")
-    s = s[:, order]
-    k = min(k, m)
-    if k == 0:
-        return np.array([], int), np.array([], int), np.array([])
+    m = s.shape[1]
     if k < m:
-        # everything at or above the k-th score stays a candidate, so ties are settled by id
-        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-        keep = (s >= kth[:, None]) & np.isfinite(s)
+        # rounding keeps the order, so all rounded scores that can reach the k-th lie above this line
+        kth = np.partition(s, m - k, axis=1)[:, m - k]
+        rows, cols = np.nonzero(s >= (kth - 2 * 10.0 ** -digits)[:, None])
     else:
-        keep = np.isfinite(s)
-    rows, cols = np.nonzero(keep)
-    vals = s[rows, cols]
-    o = np.lexsort((cols, -vals, rows))
+        rows, cols = np.nonzero(np.isfinite(s))
+    vals = np.round(s[rows, cols], digits)
+    ok = np.isfinite(vals) if floor is None else np.isfinite(vals) & (vals >= floor)
+    rows, cols, vals = rows[ok], cols[ok], vals[ok]
+    o = np.lexsort((id_rank[cols], -vals, rows))
     rows, cols, vals = rows[o], cols[o], vals[o]
-    start = np.searchsorted(rows, np.arange(n))
-    place = np.arange(len(rows)) - start[rows]
+    place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(s)))[rows]
     first = place < k
-    return rows[first], order[cols[first]], vals[first]
+    return rows[first] + offset, cols[first], vals[first]
 
 
 def top_items(
@@ -95,8 +117,7 @@ def top_items(
 
         q = blocked(queries, query_id, "_qb", "_ib", nq, ni)
         i = blocked(items, item_id, "_ib", "_qb", ni, nq)
-        partial = q.groupBy("_qb", "_ib").cogroup(i.groupBy("_qb", "_ib")).applyInPandas(
-            lambda a, b: block(a, b), schema)
+        partial = cogroup_blocks(q, i, ["_qb", "_ib"], nq * ni, lambda a, b: block(a, b), schema)
     best = ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
     return best.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
 

@@ -20,7 +20,7 @@ from ostinato.functions.fixed_values import (
 )
 from ostinato.functions.titles import plain_key
 from ostinato.functions.vectors import cosine
-from ostinato.operators.blocks import cosine_block, matrix, top_items
+from ostinato.operators.blocks import BLOCK_ROWS, cogroup_blocks, cosine_block, matrix, top_items
 from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.operators.shape import one_row, ranked
 
@@ -230,7 +230,7 @@ def pair_moments(items: DataFrame, vector: str = "embedding") -> DataFrame:
         F.sqrt(F.greatest((F.col("g2") - F.col("n")) / pairs - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = 4096) -> DataFrame:
+def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(score, n)`` over all pairs of different items, scores rounded; each block task counts its own values.
 
     The table has at most ``2 * 10^digits + 1`` rows.
@@ -257,7 +257,7 @@ def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embe
         values, counts = np.unique(s, return_counts=True)
         return pd.DataFrame({"score": values + 0.0, "n": counts})
 
-    parts = left.groupBy("lb", "rb").cogroup(right.groupBy("lb", "rb")).applyInPandas(count, "score double, n bigint")
+    parts = cogroup_blocks(left, right, ["lb", "rb"], blocks * (blocks + 1) // 2, count, "score double, n bigint")
     return parts.groupBy("score").agg(F.sum("n").alias("n"))
 
 

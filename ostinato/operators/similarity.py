@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.vectors import sparse_dot
-from ostinato.operators.blocks import top_items
+from ostinato.operators.blocks import CHUNK, cogroup_blocks, top_items
 from ostinato.operators.features import Weights
 from ostinato.operators.shape import ranked
 from ostinato.session import cut
@@ -158,17 +158,8 @@ def content_block(w: Weights = Weights(), metric: str = "cosine") -> Callable:
         import pandas as pd
 
         n = len(q)
-        codes = {c: pd.factorize(pd.concat([q[c], i[c]], ignore_index=True))[0] for c in ("name", "period", "country", "work_type", "key")}
-        eq = {c: v[:n, None] == v[None, n:] for c, v in codes.items()}
-        dot = np.zeros((n, len(i)))
-        miss = np.zeros_like(dot) if metric == "manhattan" else None
-        for x, cols in parts:
-            same = eq[cols[0]]
-            for c in cols[1:]:
-                same = same & eq[c]
-            dot += same * (x * x)
-            if miss is not None:
-                miss += (~same) * (2 * x)
+        columns = ("name", "period", "country", "work_type", "key")
+        codes = {c: pd.factorize(pd.concat([q[c], i[c]], ignore_index=True))[0].astype(np.int32) for c in columns}
         width = 1 + max([max(t) for f in (q, i) for t in f["terms"] if len(t)] or [0])
 
         def dense(f):
@@ -189,18 +180,30 @@ def content_block(w: Weights = Weights(), metric: str = "cosine") -> Callable:
             return m
 
         a, b = dense(q), dense(i)
-        if metric == "manhattan":
-            for d in range(a.shape[1]):
-                if a[:, d].any() or b[:, d].any():
-                    miss += np.abs(a[:, d][:, None] - b[:, d][None, :])
-            return 1 / (1 + miss)
-        dot += a @ b.T
-        na, nb = q["norm2"].to_numpy(float)[:, None], i["norm2"].to_numpy(float)[None, :]
-        if metric == "cosine":
-            return dot / np.sqrt(na * nb)
-        if metric == "euclidean":
-            return 1 / (1 + np.sqrt(np.maximum(na + nb - 2 * dot, 0.0)))
-        return dot
+        na, nb = q["norm2"].to_numpy(float), i["norm2"].to_numpy(float)
+        used = [d for d in range(a.shape[1]) if a[:, d].any() or b[:, d].any()]
+        out = np.empty((n, len(i)))
+        # a few rows at a time, so that the work arrays stay in cache
+        for at in range(0, n, CHUNK):
+            here = slice(at, min(at + CHUNK, n))
+            eq = {c: v[:n][here, None] == v[None, n:] for c, v in codes.items()}
+            both = [(x, np.logical_and.reduce([eq[c] for c in cols]) if len(cols) > 1 else eq[cols[0]]) for x, cols in parts]
+            if metric == "manhattan":
+                far = sum((~same) * (2 * x) for x, same in both)
+                for d in used:
+                    far += np.abs(a[here, d][:, None] - b[:, d][None, :])
+                out[here] = 1 / (1 + far)
+                continue
+            dot = a[here] @ b.T
+            for x, same in both:
+                dot += same * (x * x)
+            if metric == "cosine":
+                dot /= np.sqrt(na[here])[:, None]
+                dot /= np.sqrt(nb)[None, :]
+            elif metric == "euclidean":
+                dot = 1 / (1 + np.sqrt(np.maximum(na[here][:, None] + nb[None, :] - 2 * dot, 0.0)))
+            out[here] = dot
+        return out
 
     return score
 
@@ -294,8 +297,8 @@ def lsh_neighbours(
         r, col, v = _best(matrix(a["u"]) @ matrix(c["u"]).T, ic, k, DIGITS, ia[:, None] == ic[None, :])
         return pd.DataFrame({"src": ia[r], "dst": ic[col], "score": v})
 
-    keys = ["t", "b", "lb", "rb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, f"src {id_type}, dst {id_type}, score double")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cogroup_blocks(left, right, ["t", "b", "lb", "rb"], tasks, score, f"src {id_type}, dst {id_type}, score double")
     once = found.groupBy("src", "dst").agg(F.max("score").alias("score"))
     return ranked(once, ["src"], [F.desc("score"), F.asc("dst")], k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ostinato.operators.blocks import cogroup_blocks
 from ostinato.operators.shape import one_row
 from ostinato.session import cut
 
@@ -129,7 +130,7 @@ def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: i
         import pandas as pd
 
         if a.empty or b.empty:
-            return pd.DataFrame({"grp": [], "s": []})
+            return pd.DataFrame({"grp": np.array([], object), "s": np.array([], float)})
         vocab = {t: i for i, t in enumerate(sorted({t for ts in a["tags"] for t in ts}))}
 
         def matrix(col):
@@ -148,7 +149,8 @@ def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: i
         s = (jac * weight * (na * nb - np.where(same, na, 0.0))).sum()
         return pd.DataFrame({"grp": [a["grp"].iloc[0]], "s": [float(s)]})
 
-    parts = left.groupBy("grp", "lb", "rb").cogroup(right.groupBy("grp", "lb", "rb")).applyInPandas(total, "grp string, s double")
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cogroup_blocks(left, right, ["grp", "lb", "rb"], tasks, total, "grp string, s double")
     return parts.groupBy("grp").agg(F.sum("s").alias("s"))
 
 

@@ -4,40 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-WORKS = T._parse_datatype_string(
-    "work_id string, composer_id string, title string, work_type string, catalog_number string, key string, "
-    "mb_tags array<string>"
-)
-COMPOSERS = T._parse_datatype_string(
-    "composer_id string, name string, sort_name string, birth_year int, death_year int, country string, "
-    "period string, annotation string, mb_tags array<string>, total_works_count bigint"
-)
-TAGS = T._parse_datatype_string("work_id string, tag string, source string, confidence double, created_at timestamp")
-PLAIN_TAGS = T._parse_datatype_string("work_id string, tag string, source string")
-
-CORRECTIONS = T._parse_datatype_string(
-    "work_id string, title string, composer_id string, work_type string, key string, catalog_number string, "
-    "auto_tags array<string>, corrected_tags array<string>, removed array<string>, added array<string>, "
-    "reason string, reviewer string, timestamp string"
-)
-
-ARTIST_DOCUMENT = T._parse_datatype_string(
-    "artist struct<source:string, artist_id:string, musicbrainz_id:string, name:string, sort_name:string, type:string, "
-    "country:string, life_span:struct<begin:string,end:string>, tags:array<string>, musicbrainz_tags:array<string>, "
-    "annotation:string, disambiguation:string>, "
-    "works array<struct<source:string, release_group_id:string, musicbrainz_id:string, title:string, "
-    "primary_type:string, type:string, first_release_date:string, release_date:string, annotation:string, "
-    "secondary_types:array<string>, tags:array<string>>>, "
-    "metadata struct<extraction_timestamp:string, sources:array<string>>, extraction_timestamp string"
-)
+_PLAIN = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
+}
+
+
+def _type(spec) -> T.DataType:
+    """A type name, ``[element]`` for an array, or ``{field: spec}`` for a struct."""
+    if isinstance(spec, str):
+        return _PLAIN[spec]
+    if isinstance(spec, list):
+        return T.ArrayType(_type(spec[0]))
+    return T.StructType([T.StructField(name, _type(s)) for name, s in spec.items()])
+
+
+def _strings(names: str) -> dict:
+    return {n: "string" for n in names.split()}
+
+
+TEXTS = ["string"]
+SPAN = _strings("begin end")
+
+WORKS = _type({**_strings("work_id composer_id title work_type catalog_number key"), "mb_tags": TEXTS})
+COMPOSERS = _type({
+    **_strings("composer_id name sort_name"), "birth_year": "int", "death_year": "int", **_strings("country period annotation"),
+    "mb_tags": TEXTS, "total_works_count": "bigint",
+})
+PLAIN_TAGS = _type(_strings("work_id tag source"))
+TAGS = _type({**_strings("work_id tag source"), "confidence": "double", "created_at": "timestamp"})
+
+CORRECTIONS = _type({
+    **_strings("work_id title composer_id work_type key catalog_number"), "auto_tags": TEXTS, "corrected_tags": TEXTS, "removed": TEXTS,
+    "added": TEXTS, **_strings("reason reviewer timestamp"),
+})
+
+ARTIST_DOCUMENT = _type({
+    "artist": {
+        **_strings("source artist_id musicbrainz_id name sort_name type country"), "life_span": SPAN, "tags": TEXTS, "musicbrainz_tags": TEXTS,
+        **_strings("annotation disambiguation"),
+    },
+    "works": [{
+        **_strings("source release_group_id musicbrainz_id title primary_type type first_release_date release_date annotation"),
+        "secondary_types": TEXTS, "tags": TEXTS,
+    }],
+    "metadata": {"extraction_timestamp": "string", "sources": TEXTS},
+    "extraction_timestamp": "string",
+})
 
 # raw source records, with the hyphenated field names of the source
-RAW_ARTIST = T._parse_datatype_string(
-    "id string, name string, `sort-name` string, type string, country string, "
-    "`life-span` struct<begin:string,end:string>, `tag-list` array<struct<name:string>>, annotation string, "
-    "disambiguation string"
-)
-RAW_RELEASE = T._parse_datatype_string(
-    "id string, title string, type string, `secondary-type-list` array<string>, `first-release-date` string, "
-    "`tag-list` array<struct<name:string>>, annotation string"
-)
+NAMED = [{"name": "string"}]
+RAW_ARTIST = _type({
+    **_strings("id name sort-name type country"), "life-span": SPAN, "tag-list": NAMED, **_strings("annotation disambiguation"),
+})
+RAW_RELEASE = _type({
+    **_strings("id title type"), "secondary-type-list": TEXTS, "first-release-date": "string", "tag-list": NAMED, "annotation": "string",
+})

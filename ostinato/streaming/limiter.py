@@ -9,14 +9,17 @@ from pyspark.sql.window import Window
 from ostinato.operators.monitor import trailing_counts
 
 
-def spend(times, rate: float, period: float, tokens: float | None, last: float | None):
+def spend(times, rate: float, period: float, tokens: float | None, last: float | None, keys=None, current=None):
     """Run a bucket over ordered request times (seconds).
 
     Refill ``dt * rate / period`` up to ``rate``; a request takes one token when there is one.  A
-    denied request leaves the bucket untouched.  Returns the decisions and the bucket after them.
+    denied request leaves the bucket untouched.  With ``keys``, a new key (first ``current``) starts a
+    full bucket.  Returns the decisions and the bucket after them.
     """
     allowed, remaining, retry = [], [], []
-    for t in times:
+    for n, t in enumerate(times):
+        if keys is not None and keys[n] != current:
+            current, last = keys[n], None
         if last is None:
             tokens, last = float(rate), t
         now = min(float(rate), tokens + (t - last) * (rate / period))
@@ -64,15 +67,13 @@ def replay(requests: DataFrame, rate: int = 60, period: float = 60, client: str
 
         current, tokens, last = None, None, None
         for pdf in batches:
-            parts = []
-            for key, g in pdf.groupby([client, "_run"], sort=False):
-                if key != current:
-                    current, tokens, last = key, None, None
-                a, m, r, tokens, last = spend((g["_us"] / 1e6).tolist(), rate, period, tokens, last)
-                parts.append(pd.DataFrame({client: g[client].to_numpy(), "_us": g["_us"].to_numpy(), tie: g[tie].to_numpy(), "allowed": a,
-                                           "remaining": m, "retry_after": pd.array(r, dtype="Int64")}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            if pdf.empty:
+                continue
+            keys = list(zip(pdf[client].tolist(), pdf["_run"].tolist()))
+            a, m, r, tokens, last = spend((pdf["_us"] / 1e6).tolist(), rate, period, tokens, last, keys, current)
+            current = keys[-1]
+            yield pd.DataFrame({client: pdf[client], "_us": pdf["_us"], tie: pdf[tie], "allowed": a, "remaining": m,
+                                "retry_after": pd.array(r, dtype="Int64")})
 
     out = ordered.mapInPandas(run, f"`{client}` {ct}, _us bigint, `{tie}` {tt}, allowed boolean, remaining int, retry_after bigint")
     return out.select(client, F.timestamp_micros("_us").alias(ts), tie, "allowed", "remaining", "retry_after")
