@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,12 +32,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def needed_text(pattern: str) -> str:
+    """Longest plain text every match of a pattern contains, in lower case (may be empty).
+
+    Look-aheads, groups, classes, escapes and optional characters end a run of plain text.
+    """
+    p = re.sub(r"\(\?![^)]*\)", "\0", pattern)
+    while "(" in p:
+        p = re.sub(r"\([^()]*\)[?*+]?", "\0", p)
+    p = re.sub(r"\[[^\]]*\][?*+]?", "\0", p)
+    p = re.sub(r"\\[a-zA-Z][?*+]?|\\\.[?*]|\.[?*+]?(?<!\\\.)|[^\\\0][?*]", "\0", p)
+    runs = p.replace("\\.", ".").split("\0")
+    return max(runs, key=len).lower()
+
+
+def _may_match(lowered: Column, patterns) -> Column:
+    """Cheap test before the regular expressions: one of the needed texts occurs."""
+    texts = {needed_text(p) for p in patterns}
+    if "" in texts:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [lowered.contains(x) for x in sorted(texts)])
+
+
 def catalog_number(title) -> Column:
     """First catalogue number of a title, by pattern order, as ``prefix number``."""
     t = _col(title)
+    low = F.lower(t)
     found = [
         F.when(
-            t.rlike(CI + pattern),
+            _may_match(low, [pattern]) & t.rlike(CI + pattern),
             F.concat(F.lit(prefix + " "), F.trim(F.regexp_extract(t, CI + pattern, 1))),
         )
         for pattern, prefix in CATALOG_NUMBER_PATTERNS
@@ -73,13 +97,15 @@ def work_type(title) -> Column:
         else:
             merged.append((list(patterns), name))
     # coalesce, not one CASE: a filter on the result is then not unfolded over all branches
-    return F.coalesce(*[F.when(t.rlike(_any_of(ps)), F.lit(name)) for ps, name in merged])
+    low = F.lower(t)
+    return F.coalesce(*[F.when(_may_match(low, ps) & t.rlike(_any_of(ps)), F.lit(name)) for ps, name in merged])
 
 
 def all_work_types(title) -> Column:
     """Every work type whose general patterns occur in a title (known titles are not used)."""
     t = _col(title)
-    hits = [F.when(t.rlike(_any_of(ps)), F.lit(name)) for name, ps in WORK_TYPE_PATTERNS]
+    low = F.lower(t)
+    hits = [F.when(_may_match(low, ps) & t.rlike(_any_of(ps)), F.lit(name)) for name, ps in WORK_TYPE_PATTERNS]
     return F.array_compact(F.array(*hits))
 
 

@@ -62,19 +62,21 @@ def tags_with_group(tags: DataFrame, works: DataFrame, group: str) -> DataFrame:
 MAX_SUBSET_TAGS = 12
 
 
-def _tag_sets(tags: DataFrame, works: DataFrame, group: str) -> DataFrame:
-    """``(grp, tags, size, n_works)``: distinct tag sets of the groups with the number of works having them."""
-    g = F.col(group).cast("string")
-    rows = (
-        tags.filter("tag IS NOT NULL").join(works.select("work_id", g.alias("grp")), "work_id")
-        .filter("grp IS NOT NULL AND grp <> ''").select("grp", "work_id", "tag").distinct()
-    )
-    sets = rows.groupBy("grp", "work_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    return sets.groupBy("grp", "tags").agg(F.count("*").alias("n_works")).withColumn("size", F.size("tags"))
+def _tag_sets(tags: DataFrame, works: DataFrame, groups: list[str]) -> DataFrame:
+    """``(grouping, grp, tags, size, n_works)``: distinct tag sets of each group with the number of works having them.
+
+    The sets are built once and then shown to every grouping column.
+    """
+    pairs = tags.filter("tag IS NOT NULL").select("work_id", "tag").distinct()
+    sets = pairs.groupBy("work_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    value = F.explode(F.array(*[F.struct(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("grp")) for g in groups]))
+    shown = sets.join(works.select("work_id", *groups), "work_id").select("tags", value.alias("v")).select("v.*", "tags")
+    counted = shown.filter("grp IS NOT NULL AND grp <> ''").groupBy("grouping", "grp", "tags").agg(F.count("*").alias("n_works"))
+    return counted.withColumn("size", F.size("tags"))
 
 
-def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_tags: int = MAX_SUBSET_TAGS) -> DataFrame:
-    """``(grp, works_count, pairs, sum_similarity)``: Jaccard summed over all work pairs of each group.
+def group_similarities(tags: DataFrame, works: DataFrame, groups: list[str], max_subset_tags: int = MAX_SUBSET_TAGS) -> DataFrame:
+    """``(grouping, grp, works_count, pairs, sum_similarity)``: Jaccard summed over all work pairs of each group.
 
     No pair is ever formed.  For sets A and B, with T running over the non-empty subsets of A and B's
     common part,  |A and B| / |A or B| = sum over T of 1 / C(|A| + |B| - 1, |T|).  So it is enough to
@@ -83,16 +85,17 @@ def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_t
     Sets of more than ``max_subset_tags`` tags have too many subsets: pairs with such a set are summed
     from blocks of sets instead (see ``_large_set_sums``).
     """
-    sets = cut(_tag_sets(tags, works, group), "tag-sets")
-    totals = sets.groupBy("grp").agg(F.sum("n_works").alias("works_count")).filter("works_count >= 2")
+    g = ["grouping", "grp"]
+    sets = cut(_tag_sets(tags, works, groups), "tag-sets")
+    totals = sets.groupBy(*g).agg(F.sum("n_works").alias("works_count")).filter("works_count >= 2")
     small = sets.filter(F.col("size") <= max_subset_tags)
     # subsets as bit masks 1 .. 2^size - 1
     masks = F.expr("sequence(1, shiftleft(1, size) - 1)")
-    exploded = small.select("grp", "size", "n_works", "tags", F.explode(masks).alias("mask"))
+    exploded = small.select(*g, "size", "n_works", "tags", F.explode(masks).alias("mask"))
     subset = F.expr("filter(tags, (t, i) -> (shiftright(mask, i) & 1) = 1)")
     counts = (
-        exploded.groupBy("grp", subset.alias("subset"), "size").agg(F.sum("n_works").alias("n"))
-        .groupBy("grp", "subset").agg(F.collect_list(F.struct("size", "n")).alias("by_size"))  # <= max_subset_tags entries
+        exploded.groupBy(*g, subset.alias("subset"), "size").agg(F.sum("n_works").alias("n"))
+        .groupBy(*g, "subset").agg(F.collect_list(F.struct("size", "n")).alias("by_size"))  # <= max_subset_tags entries
     )
     # ordered pairs (A, B) of different works: n_a * n_b, or n_a * (n_a - 1) within one size
     term = F.expr("""
@@ -100,37 +103,42 @@ def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_t
           a.n * (b.n - IF(a.size = b.size, 1, 0)) /
           aggregate(sequence(1, size(subset)), 1D, (c, j) -> c * (a.size + b.size - 1 - size(subset) + j) / j)))
     """)
-    sums = counts.groupBy("grp").agg((F.sum(term) / 2).alias("s"))
+    sums = counts.groupBy(*g).agg((F.sum(term) / 2).alias("s"))
     large = sets.filter(F.col("size") > max_subset_tags)
     if not large.isEmpty():
-        sums = sums.unionByName(_large_set_sums(large, sets, max_subset_tags)).groupBy("grp").agg(F.sum("s").alias("s"))
-    return totals.join(sums, "grp", "left").select(
-        "grp", "works_count", (F.col("works_count") * (F.col("works_count") - 1) / 2).cast("bigint").alias("pairs"),
+        sums = sums.unionByName(_large_set_sums(large, sets, max_subset_tags)).groupBy(*g).agg(F.sum("s").alias("s"))
+    return totals.join(sums, g, "left").select(
+        *g, "works_count", (F.col("works_count") * (F.col("works_count") - 1) / 2).cast("bigint").alias("pairs"),
         F.coalesce("s", F.lit(0.0)).alias("sum_similarity"),
     )
 
 
+def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_tags: int = MAX_SUBSET_TAGS) -> DataFrame:
+    """The same for one grouping column: ``(grp, works_count, pairs, sum_similarity)``."""
+    return group_similarities(tags, works, [group], max_subset_tags).drop("grouping")
+
+
 def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: int = 2000) -> DataFrame:
-    """``(grp, s)``: Jaccard summed over the pairs with at least one large set, from blocks of distinct sets.
+    """``(grouping, grp, s)``: Jaccard summed over the pairs with at least one large set, from blocks of distinct sets.
 
     Each task sums one block of large sets against one block of all sets and emits a single number.
     """
-    per_group = sets.groupBy("grp").agg(F.count("*").alias("n_sets")).withColumn(
-        "blocks", F.ceil(F.col("n_sets") / block_rows).cast("int"))
+    g = ["grouping", "grp"]
+    sizes = sets.groupBy(*g).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("tags"), F.col("blocks")).cast("int")
-    all_blocked = sets.join(per_group.select("grp", "blocks"), "grp").withColumn("_b", block)
-    big_blocked = large.join(per_group.select("grp", "blocks"), "grp").withColumn("_b", block)
-    every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = big_blocked.select("grp", F.col("_b").alias("lb"), every().alias("rb"), "tags", "size", "n_works")
-    right = all_blocked.select(
-        F.col("grp").alias("grp"), every().alias("lb"), F.col("_b").alias("rb"), *[F.col(c).alias(c) for c in ("tags", "size", "n_works")])
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rest = ("tags", "size", "n_works")
+    left = large.join(sizes, g).select(*g, block.alias("lb"), every.alias("rb"), *rest)
+    # renewed columns, so that both sides may come from one frame
+    right = sets.join(sizes, g).select(*[F.col(c).alias(c) for c in g], every.alias("lb"), block.alias("rb"), *[F.col(c).alias(c) for c in rest])
 
     def total(a, b):
         import numpy as np
         import pandas as pd
 
         if a.empty or b.empty:
-            return pd.DataFrame({"grp": np.array([], object), "s": np.array([], float)})
+            none = np.array([], object)
+            return pd.DataFrame({"grouping": none, "grp": none, "s": np.array([], float)})
         vocab = {t: i for i, t in enumerate(sorted({t for ts in a["tags"] for t in ts}))}
 
         def matrix(col):
@@ -147,23 +155,17 @@ def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: i
         # a pair of two large sets is met from both sides, a mixed one only once
         weight = np.where(sb > limit, 0.5, 1.0)
         s = (jac * weight * (na * nb - np.where(same, na, 0.0))).sum()
-        return pd.DataFrame({"grp": [a["grp"].iloc[0]], "s": [float(s)]})
+        return pd.DataFrame({"grouping": [a["grouping"].iloc[0]], "grp": [a["grp"].iloc[0]], "s": [float(s)]})
 
     tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cogroup_blocks(left, right, ["grp", "lb", "rb"], tasks, total, "grp string, s double")
-    return parts.groupBy("grp").agg(F.sum("s").alias("s"))
+    parts = cogroup_blocks(left, right, [*g, "lb", "rb"], tasks, total, "grouping string, grp string, s double")
+    return parts.groupBy(*g).agg(F.sum("s").alias("s"))
 
 
 def consistency(tags: DataFrame, works: DataFrame, groups: list[str]) -> DataFrame:
     """``(grouping, grp, works_count, avg_similarity)`` for each grouping column."""
-    from ostinato.operators.tags import unite
-
-    return unite([
-        group_similarity(tags, works, g).select(
-            F.lit(g).alias("grouping"), "grp", "works_count",
-            F.round(F.col("sum_similarity") / F.col("pairs"), 3).alias("avg_similarity"))
-        for g in groups
-    ])
+    return group_similarities(tags, works, groups).select(
+        "grouping", "grp", "works_count", F.round(F.col("sum_similarity") / F.col("pairs"), 3).alias("avg_similarity"))
 
 
 def compare(old: DataFrame, new: DataFrame, works: DataFrame) -> DataFrame:

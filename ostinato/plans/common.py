@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.operators import corrections, similarity
+from ostinato.operators import corrections
 from ostinato.operators.catalog import with_composers
 from ostinato.operators.features import feature_rows, tag_tfidf
 from ostinato.operators.semantic import search
 from ostinato.plans.views import Tables
+from ostinato.session import cut
 
 # --- edits: the tagger's tags against all tags without two words -----------------------------------------
 
@@ -59,10 +60,11 @@ def decisions(t: Tables) -> DataFrame:
 
 # --- content features ------------------------------------------------------------------------------------------
 
-def content(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Feature rows, TF-IDF vectors and vocabulary."""
+def content(t: Tables, store: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Feature rows, TF-IDF vectors and vocabulary; rows are stored, as most uses read them more than once."""
     vectors, vocabulary = tag_tfidf(t.works, t.tags)
-    return feature_rows(t.works, t.composers, vectors), vectors, vocabulary
+    rows = feature_rows(t.works, t.composers, vectors)
+    return (cut(rows, "features") if store else rows), vectors, vocabulary
 
 
 # The same features for the checking engine: dense TF-IDF lists over the vocabulary
@@ -149,9 +151,3 @@ def centroid_results(t: Tables, n: int = 10, min_score: float | None = 0.15) ->
     return search(centroids(t), t.embeddings, n, min_score)
 
 
-def similarity_rows(t: Tables) -> DataFrame:
-    return content(t)[0]
-
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = similarity

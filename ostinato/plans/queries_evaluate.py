@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ostinato.operators import evaluate as ev
 from ostinato.operators import rerank, semantic
 from ostinato.operators.catalog import search_titles, tags_of_works, with_composers
-from ostinato.operators.shape import long_metrics, one_row
 from ostinato.operators.tags import unite
 from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, content, embedding_lists
 from ostinato.plans.registry import query
@@ -108,9 +107,8 @@ def case_lists(t: Tables):
     """Ten content recommendations per expectation case, from the first title match."""
     from ostinato.functions.fixed_values import EXPECTATION_CASES
     from ostinato.operators.similarity import similar_to
-    from ostinato.session import cut
 
-    rows = cut(content(t)[0], "features")
+    rows = content(t)[0]
     lists = []
     for name, text, *_rest in EXPECTATION_CASES:
         seed = search_titles(t.works, text, 1).select("work_id").collect()
@@ -225,6 +223,3 @@ def _(t: Tables):
     out = ev.comprehensive(quality, ev.run_overlap(runs, 10), ev.result_coverage(r, t.embeddings), ev.result_diversity(r))
     return _round(out.select("health_score", "overall_health"), "health_score")
 
-
-__all__ = ["case_lists", "search_results"]
-_ = (long_metrics, one_row)

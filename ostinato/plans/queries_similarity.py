@@ -93,7 +93,7 @@ def _(t: Tables):
  CAST(row_number() OVER (PARTITION BY a.work_id ORDER BY round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) DESC, b.work_id) AS INT) AS rank
  FROM featn a JOIN featn b ON a.work_id <> b.work_id QUALIFY rank <= 10""".replace(f"round({DOT_SQL.replace(chr(10), ' ')}, 12) AS d, ", ""), ALL)
 def _(t: Tables):
-    return similarity.all_edges(content(t)[0], 10)
+    return similarity.all_edges(content(t, store=False)[0], 10)
 
 
 SEED_SQL = f"""SELECT work_id, score, CAST(row_number() OVER (ORDER BY score DESC, work_id) AS INT) AS rank FROM (SELECT b.work_id, round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) AS score

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ostinato.plans.queries_interactions import _TRAIL, EVENT_SQL, KIND, analytics
+from ostinato.plans.queries_interactions import _TRAIL, EVENT_SQL, analytics
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables
 from ostinato.session import fresh_path
@@ -81,5 +81,3 @@ def _(t: Tables):
     out = drained(t, ingest.count_stream(event_stream(t)), "windows")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
-
-_ = KIND
