@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ostinato.functions.fixed_values import CATALOG_FLAGS, CIRCLE_OF_FIFTHS, FEATURE_WEIGHTS
 from ostinato.functions.titles import plain_key
 from ostinato.operators.catalog import fill_for_features, tags_of_works, with_composers
-from ostinato.operators.shape import one_row
+from ostinato.operators.shape import numbered_in_order, one_row
 from ostinato.session import cut
 
 GROUPS = ("composer", "period", "work_type", "country")
@@ -72,8 +72,7 @@ def one_hot_categories(prepared: DataFrame, group: str) -> DataFrame:
     """Sorted categories of a group with their column number: ``(feature, position)``."""
     col = COLUMN_OF.get(group, group)
     names = prepared.select(F.col(col).alias("category")).distinct()
-    w = Window.orderBy("category")
-    return names.select(F.concat(F.lit(f"{group}_"), "category").alias("feature"), (F.row_number().over(w) - 1).alias("position"))
+    return numbered_in_order(names, "category").select(F.concat(F.lit(f"{group}_"), "category").alias("feature"), "position")
 
 
 def one_hot(prepared: DataFrame, group: str) -> DataFrame:

@@ -23,6 +23,7 @@ from ostinato.functions.vectors import cosine
 from ostinato.operators.blocks import BLOCK_ROWS, cogroup_blocks, cosine_block, matrix, top_items
 from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.operators.shape import one_row, ranked
+from ostinato.session import cut
 
 
 def key_moods(key: Column) -> Column:
@@ -118,7 +119,7 @@ def embed(df: DataFrame, id_col: str, text: str, encoder: Callable | None = None
 def hashed_tfidf(df: DataFrame, id_col: str, text: str, dim: int = 384) -> DataFrame:
     """Unit vectors of signed, hashed word weights ``(1 + ln tf) * idf`` over whole texts."""
     words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-    tf = df.select(id_col, words.alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf"))
+    tf = cut(df.select(id_col, words.alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf")), "words")  # read twice below
     n = df.count()
     df_w = tf.groupBy("w").agg(F.count("*").alias("df"))
     h = F.xxhash64("w")

@@ -40,6 +40,18 @@ def pct(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(F.round(100.0 * part / whole, digits))
 
 
-def numbered(df: DataFrame, name: str = "rank") -> DataFrame:
-    """Number the rows of a short ordered frame (after a limit)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+def numbered_in_order(df: DataFrame, column: str, name: str = "position") -> DataFrame:
+    """Positions 0.. of the rows in the order of a column of distinct values.
+
+    Rows are range-partitioned and numbered inside their partitions; the offsets come from the
+    partition sizes, so no task sees all rows.
+    """
+    from ostinato.session import cut
+
+    placed = cut(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # one row per partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(column))
+    return placed.withColumn("_i", inside).join(offsets, "_p").withColumn(
+        name, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_p", "_i", "_before")
