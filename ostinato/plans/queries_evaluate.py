@@ -11,6 +11,7 @@ from ostinato.operators.tags import unite
 from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, content, embedding_lists
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables
+from ostinato.session import cut
 
 WC = "works composers"
 
@@ -128,8 +129,6 @@ def _(t: Tables):
  UNION ALL SELECT 'diversity', unnest(['avg_pairwise_dissimilarity','unique_composers_ratio','gini_coefficient']), unnest([avg(avg_pairwise_dissimilarity), avg(unique_composers_ratio), avg(gini_coefficient)]) FROM div
  UNION ALL SELECT 'cases', unnest(['total','passed']), unnest([count(*), count(*) FILTER (passed)]) FROM cpass)""", LISTS_SQL | DIV | CASES_SQL)
 def _(t: Tables):
-    from ostinato.session import cut
-
     lists = cut(embedding_lists(t), "lists")
     r = ev.full_report(lists, catalog_of_vectors(t), t.composers, ev.check_cases(ev.case_table(t.spark), case_lists(t)), None)
     keep = ["works_ever_recommended", "avg_recommendations_per_work", "coverage_ratio", "avg_pairwise_dissimilarity", "unique_composers_ratio",
@@ -171,7 +170,8 @@ def _(t: Tables):
     q = expected.select("query").distinct().select("query", semantic.expand_query(F.col("query")).alias("text"))
     works = semantic.describe_works(t.works, t.composers, t.tags).select(F.concat(F.lit("w"), "work_id").alias("id"), F.col("description").alias("text"))
     # queries and works share one vocabulary
-    vectors = semantic.embed(works.unionByName(q.select(F.concat(F.lit("q"), "query").alias("id"), "text")), "id", "text")
+    texts = cut(works.unionByName(q.select(F.concat(F.lit("q"), "query").alias("id"), "text")), "texts")
+    vectors = cut(semantic.embed(texts, "id", "text"), "vectors")
     qv = vectors.filter("id LIKE 'q%'").select(F.substring("id", 2, 200).alias("query"), "embedding")
     wv = vectors.filter("id LIKE 'w%'").select(F.substring("id", 2, 20).cast("bigint").alias("work_id"), "embedding")
     found = semantic.search(qv, wv, 10, 0.0, "query", "work_id").select("query", "work_id", "score")
@@ -214,8 +214,6 @@ def _(t: Tables):
  h AS (SELECT 0.4 * a + 0.3 * b + 0.2 * c + 0.1 * d AS s FROM m)
 SELECT round(s, 6) AS health_score, CASE WHEN s >= 0.75 THEN 'excellent' WHEN s >= 0.6 THEN 'good' WHEN s >= 0.4 THEN 'fair' ELSE 'poor' END AS overall_health FROM h""", SEARCH_SQL | RUNS)
 def _(t: Tables):
-    from ostinato.session import cut
-
     r = cut(search_results(t), "results")
     keep = F.filter(F.array(F.lit(1), F.when(F.col("key").isNotNull(), 2), F.when(~F.coalesce(F.col("period") == "Baroque", F.lit(False)), 3)), lambda x: x.isNotNull())
     runs = r.select("query", F.explode(keep).alias("run"), "work_id")
