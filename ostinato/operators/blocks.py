@@ -122,6 +122,37 @@ def top_items(
     return best.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
 
 
+def top_within(
+    items: DataFrame, key: str, k: int, score: Callable, item_id: str, digits: int = 6, block_rows: int = BLOCK_ROWS // 2,
+) -> DataFrame:
+    """For each item the k best items with the same key, itself included: ``(item_id as query_id, item_id, score, rank)``.
+
+    A large key is cut into blocks, so it is many tasks; each task returns at most k rows per item.
+    """
+    id_type = items.schema[item_id].dataType.simpleString()
+    sizes = items.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64(item_id), F.col("_blocks")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    cols = [c for c in items.columns if c != key]
+    placed = items.join(sizes, key)
+    left = placed.select(key, own.alias("_lb"), every.alias("_rb"), *cols)
+    right = placed.select(F.col(key).alias(key), every.alias("_lb"), own.alias("_rb"), *[F.col(c).alias(c) for c in cols])
+
+    def block(q, i):
+        import numpy as np
+        import pandas as pd
+
+        if q.empty or i.empty:
+            none = (q if i.empty else i)[item_id].iloc[:0]
+            return pd.DataFrame({"query_id": none, "item_id": none, "score": np.array([], float)})
+        r, c, v = _best(score(q, i), i[item_id].to_numpy(), k, digits)
+        return pd.DataFrame({"query_id": q[item_id].to_numpy()[r], "item_id": i[item_id].to_numpy()[c], "score": v})
+
+    tasks = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # uneven keys: more tasks than slots
+    partial = cogroup_blocks(left, right, [key, "_lb", "_rb"], tasks, block, f"query_id {id_type}, item_id {id_type}, score double")
+    return ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+
+
 def matrix(col):
     """Column of equal-length number lists as a float64 matrix."""
     import numpy as np

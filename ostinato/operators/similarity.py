@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.vectors import sparse_dot
-from ostinato.operators.blocks import CHUNK, cogroup_blocks, top_items
+from ostinato.operators.blocks import CHUNK, cogroup_blocks, top_items, top_within
 from ostinato.operators.features import Weights
 from ostinato.operators.shape import ranked
 from ostinato.session import cut
@@ -228,6 +228,37 @@ def profiles(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return members, distinct
 
 
+def other_composer_bound(w: Weights) -> float:
+    """No two works of different composers have a larger cosine.
+
+    Let B be the most they can share in the categories, N the squared norm of all categories, and r
+    the most that key, tags and flags can give: the cosine is at most (B + r) / (N + r).
+    """
+    parts = _one_hot(w)
+    total = sum(x * x for x, _ in parts)
+    shared = sum(x * x for x, cols in parts if "name" not in cols)
+    rest = w.key**2 + w.tags**2 + 8 * w.catalog**2
+    return (shared + rest) / (total + rest)
+
+
+def near_profiles(distinct: DataFrame, k: int, metric: str, w: Weights) -> DataFrame:
+    """The k best profiles of each profile: ``(profile_id, item_id, score, rank)``.
+
+    For the cosine, profiles are first compared inside their composer.  A list whose last score
+    beats everything other composers can reach is final; only the others are compared with all.
+    """
+    score = content_block(w, metric)
+    if metric != "cosine":
+        return top_items(distinct, distinct, k, score, "profile_id", "profile_id", DIGITS)
+    inside = cut(top_within(distinct.withColumn("_composer", F.col("name")), "_composer", k, score, "profile_id", DIGITS), "inside")
+    line = other_composer_bound(w) + 10.0**-DIGITS
+    final = inside.filter((F.col("rank") == k) & (F.col("score") > line)).select("query_id")
+    open_ = cut(distinct.join(final, distinct["profile_id"] == final["query_id"], "left_anti"), "open")
+    rest = top_items(open_, distinct, k, score, "profile_id", "profile_id", DIGITS)
+    done = inside.join(final, "query_id", "left_semi").withColumnRenamed("query_id", "profile_id")
+    return done.unionByName(rest)
+
+
 def all_edges(
     rows: DataFrame, k: int = 10, metric: str = "cosine", w: Weights = Weights(), min_score: float | None = None,
 ) -> DataFrame:
@@ -237,11 +268,12 @@ def all_edges(
     its k + 1 best works (any better work outside would have k + 1 profiles' first works before it).
     The list is joined back by profile and each work drops itself.
     """
+    if metric not in ("cosine", "euclidean", "manhattan", "dot"):
+        raise ValueError("the block form knows cosine, euclidean, manhattan and dot")
     members, distinct = (cut(f, "profiles") for f in profiles(cut(rows, "features"), k + 1))
-    near = top_items(
-        distinct.drop("ids"), distinct.drop("ids"), k + 1, content_block(w, metric), "profile_id", "profile_id", DIGITS,
-        min_score=min_score,
-    )
+    near = near_profiles(distinct.drop("ids"), k + 1, metric, w)
+    if min_score is not None:
+        near = near.filter(F.col("score") >= min_score)
     expanded = near.select(F.col("profile_id").alias("src_profile"), F.col("item_id").alias("profile_id"), "score").join(
         distinct.select("profile_id", "ids"), "profile_id").select("src_profile", "score", F.explode("ids").alias("dst"))
     best = ranked(expanded, ["src_profile"], [F.desc("score"), F.asc("dst")], k + 1, "_r")

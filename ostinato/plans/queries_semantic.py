@@ -153,7 +153,7 @@ def _(t: Tables):
 
 @query("v12_sample_by_score")
 def _(t: Tables):
-    valid = centroid_results(t, 1_000_000, 0.15).select("query_id", "vec_id", "score")
+    valid = centroid_results(t, 30, 0.15).select("query_id", "vec_id", "score")  # the pool is three times the sample
     return rerank.sample_by_score(valid, 10, "query_id", "vec_id")
 
 

@@ -214,3 +214,22 @@ def test_expansion(spark):
     assert got[1].split(" ")[3] == "melancholic" and got[1].endswith("gentle sorrowful")
     k = spark.createDataFrame([("e MINOR",), ("X major",), ("X minor",), ("none",)], "k string")
     assert [r[0].split(" ")[0] for r in k.select(semantic.key_moods(F.col("k"))).collect()] == ["sad", "bright", "melancholic", ""]
+
+
+def test_large_composer_is_final_without_others(spark, catalogue):
+    """Composers with many close works need no comparison with others; the lists are those of the full comparison."""
+    rows = catalogue[3]
+    m = spark.range(1, 6).withColumnRenamed("id", "m")
+    more = rows.filter("name = 'A'").join(m, F.lit(True)).withColumn("work_id", (F.col("work_id") + 100 * F.col("m")).cast("int"))
+    more = more.withColumn("nf", F.pmod(F.col("work_id"), F.lit(16)).cast("int"))
+    more = more.withColumn("norm2", F.col("norm2") + (F.bit_count("nf") - F.bit_count("flags")) * 0.25)
+    more = more.withColumn("flags", F.col("nf")).select(rows.columns)
+    both = cut(rows.unionByName(more))
+    _members, distinct = similarity.profiles(both, 6)
+    distinct = cut(distinct.drop("ids"))
+    fast = similarity.near_profiles(distinct, 6, "cosine", Weights())
+    full = blocks.top_items(distinct, distinct, 6, similarity.content_block(), "profile_id", "profile_id")
+    assert sorted(map(tuple, fast.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
+    inside = blocks.top_within(distinct.withColumn("c", F.col("name")), "c", 6, similarity.content_block(), "profile_id", block_rows=30)
+    line = similarity.other_composer_bound(Weights())
+    assert inside.filter((F.col("rank") == 6) & (F.col("score") > line)).count() > 0
