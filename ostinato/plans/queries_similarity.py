@@ -135,6 +135,35 @@ def _(t: Tables):
     return rerank.diverse(content(t)[0], seeds, 10)
 
 
+def _greedy_vectors_sql(rounds: int, weight: float) -> tuple[dict[str, str], str]:
+    """The greedy rounds over embeddings, from the first vector of each label."""
+    def sim(a, b):
+        return f"list_cosine_similarity({a}.v, {b}.v)"
+
+    ctes = {
+        "e": LISTS_SQL["e"],
+        "st1": f"SELECT s.seed, b.vec_id AS cand, {sim('a', 'b')} AS rel, CAST(NULL AS DOUBLE) AS red FROM (SELECT min(vec_id) AS seed FROM e GROUP BY label) s JOIN e a ON a.vec_id = s.seed JOIN e b ON b.vec_id <> s.seed",
+    }
+    for r in range(1, rounds + 1):
+        ctes[f"pk{r}"] = (f"SELECT seed, cand AS pick, rel FROM st{r} QUALIFY row_number() OVER (PARTITION BY seed ORDER BY "
+                          f"round({weight} * rel - {1 - weight} * coalesce(red, 0.0), 6) DESC, cand) = 1")
+        ctes[f"st{r + 1}"] = (f"SELECT s.seed, cand, s.rel, greatest(coalesce(red, -1e9), {sim('a', 'b')}) AS red FROM st{r} s JOIN pk{r} p ON p.seed = s.seed AND p.pick <> s.cand "
+                              "JOIN e a ON a.vec_id = p.pick JOIN e b ON b.vec_id = s.cand")
+    del ctes[f"st{rounds + 1}"]
+    return ctes, " UNION ALL ".join(f"SELECT seed AS seed_id, pick AS item_id, round(rel, 6) AS score, {r} AS rank FROM pk{r}" for r in range(1, rounds + 1))
+
+
+_VCTES, _VBODY = _greedy_vectors_sql(5, 0.75)
+
+
+@query("x3_greedy_reranker", "", _VBODY, _VCTES)
+def _(t: Tables):
+    from ostinato.operators.blocks import cosine_block
+
+    seeds = [r[0] for r in t.embeddings.groupBy("label").agg(F.min("vec_id")).select("min(vec_id)").collect()]  # one per label
+    return rerank.diverse(t.embeddings.select("vec_id", "embedding"), seeds, 5, 0.75, cosine_block("embedding"), "vec_id")
+
+
 @query("v14_approximate_neighbours")
 def _(t: Tables):
     return similarity.lsh_neighbours(t.embeddings, 10)

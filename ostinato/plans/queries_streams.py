@@ -74,6 +74,14 @@ def _(t: Tables):
     return drained(t, s, "analytics").select("event_id", "event_type", "platform", "work_id", "query", "result_count")
 
 
+@query("r3_hourly_stream", "", """SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS "start", CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS rate_limit_violations,
+ CAST(count(*) FILTER (event_type = 'signup') AS BIGINT) AS auth_failures FROM events
+ WHERE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1""")
+def _(t: Tables):
+    out = drained(t, monitor.hourly_summary_stream(event_stream(t), "error", "signup", "event_type"), "hours")
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rate_limit_violations", "auth_failures")
+
+
 @query("r8_windowed_stream", "", """SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS "start", event_type, CAST(count(*) AS BIGINT) AS n FROM events
  WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2""")
 def _(t: Tables):
