@@ -373,9 +373,6 @@ def _(t: Tables):
     return enrich_titles(t.raw_works).select("work_id", "title", "catalog_number")
 
 
-_ALL_NUMBERS = "array_to_string(list_concat({}), '|')"
-
-
 def _sql_all_numbers() -> str:
     from ostinato.functions.fixed_values import CATALOG_NUMBER_PATTERNS
     out = "CAST([] AS VARCHAR[])"
