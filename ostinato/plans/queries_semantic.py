@@ -8,7 +8,7 @@ from ostinato.functions.fixed_values import CHARACTER_WORDS, KEY_MOODS, MAJOR_MO
 from ostinato.operators import explain, interactions, rerank, semantic
 from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.plans.common import CENTROID_SQL, centroid_results, centroids
-from ostinato.plans.registry import query
+from ostinato.plans.registry import ORACLES, query
 from ostinato.plans.views import Tables
 
 
@@ -173,9 +173,11 @@ def _(t: Tables):
     return q.select("num_works", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "median", "q25", "q75")])
 
 
-@query("e10_description_lengths", "works composers tags", None)
+@query("e10_description_lengths", "", f"""SELECT round(avg(length(description)), 6) AS avg_length, CAST(min(length(description)) AS INT) AS min_length,
+ CAST(max(length(description)) AS INT) AS max_length FROM ({ORACLES['f6_descriptions']})""")
 def _(t: Tables):
-    return semantic.description_stats(semantic.describe_works(t.works, t.composers, t.tags))
+    s = semantic.description_stats(semantic.describe_works(t.works, t.composers, t.tags))
+    return s.withColumn("avg_length", F.round("avg_length", 6))
 
 
 @query("a23_history_rows", "", """SELECT CAST(query_id AS VARCHAR) AS query, vec_id AS work_id, CAST(query_id AS VARCHAR) AS vibe, CAST(rank AS INT) AS rank, score AS relevance_score FROM results""", CENTROID_SQL)
