@@ -54,7 +54,8 @@ def compare(spark, con, name, fn, sql, folder):
 def main():
     import duckdb
 
-    from ostinato.plans import all_queries
+    from __spark_entry__ import oracle_sql
+    from __spark_entry__ import queries as named_queries
     from ostinato.session import build_session
 
     folder = os.environ.get("ORACLE_SF", "/root/testdata/sf0.01")
@@ -66,7 +67,7 @@ def main():
     con = duckdb.connect()
     for n in TABLES:
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{folder}/{n}.parquet')")
-    queries, oracles = all_queries()
+    queries, oracles = named_queries(), oracle_sql()
     wanted = sys.argv[1:]
     bad = 0
     for name in queries:
