@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import text_or_empty, with_fields, worker_cached
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before folding: the contract's class, with A-Z.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A-Z to a-z; digits, a-z and all bytes of characters beyond ASCII stay; the rest parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: The automaton needs some hundred bytes a window character in each worker.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ostinato.llm import decontaminate
+from ostinato.llm import decontaminate, token_counts
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,12 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document inside benchmark windows of 13 words."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.find_contamination(docs, table(spark, folder, "benchmark")))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document in the lower-casing word BPE."""
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
