@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ostinato.llm import decontaminate, token_counts
+from ostinato.llm import chat, decontaminate, sharding, token_counts
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +38,20 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op5_chat_format")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings, formatted and read back."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    records = chat.records_of(rows.unionByName(control))
+    turns = chat.canonical_turns(records, ["prompt", "completion", "instruction", "input", "output", "messages"])
+    return chat.digest(chat.format_turns(turns))
+
+
+@query("op7_shards")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in 40 shards by jump consistent hashing of doc_id."""
+    return sharding.assign_shards(table(spark, folder, "documents").select("doc_id", "text"), 40)
