@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, sharding, token_counts
+from ostinato.llm import chat, decontaminate, sharding, token_counts, topk
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in 40 shards by jump consistent hashing of doc_id."""
     return sharding.assign_shards(table(spark, folder, "documents").select("doc_id", "text"), 40)
+
+
+@query("op10_top_k", topk.ORACLE)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Five highest integer inner products of every fiftieth vector against all others."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
