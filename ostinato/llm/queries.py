@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, sharding, token_counts, topk
+from ostinato.llm import chat, decontaminate, quality, sharding, token_counts, topk
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Five highest integer inner products of every fiftieth vector against all others."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.score(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
