@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, quality, sharding, token_counts, topk
+from ostinato.llm import chat, decontaminate, quality, sharding, simhash, token_counts, topk
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents, learned from labels that are not held out."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return quality.score(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within two bits."""
+    return simhash.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
