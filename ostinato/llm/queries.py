@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, quality, sharding, simhash, token_counts, topk
+from ostinato.llm import chat, decontaminate, private, quality, sharding, simhash, token_counts, topk
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and the components of those within two bits."""
     return simhash.near_groups(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_private_data")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return private.digest(private.find_private(docs, keep_text=False))
