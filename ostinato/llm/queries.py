@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, private, quality, sharding, simhash, token_counts, topk
+from ostinato.llm import chat, decontaminate, pieces, private, quality, sharding, simhash, token_counts, topk
 from ostinato.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,14 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of personal data in all documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return private.digest(private.find_private(docs, keep_text=False))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """A sampled segmentation of each document, and whether decoding gives the text back."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = pieces.decode_pieces(pieces.encode_pieces(docs, model, F.col("doc_id")), model, name="decoded")
+    return back.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
