@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ostinato.llm import chat, decontaminate, pieces, private, quality, sharding, simhash, token_counts, topk
 from ostinato.llm.common import table
 
+import corpus_pipeline  # isort: skip
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -93,3 +95,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     back = pieces.decode_pieces(pieces.encode_pieces(docs, model, F.col("doc_id")), model, name="decoded")
     return back.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents after all stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, folder)

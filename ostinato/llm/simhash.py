@@ -20,6 +20,8 @@ their component. Columns of the input stay; those named like a result are replac
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,26 +39,38 @@ PAIR_BUCKET = 2 * (BITS + 1) + 1
 PART_WORDS = 1 << 18
 
 
-def fingerprint(text: str, size: int = 3) -> int:
-    """Unsigned fingerprint of shingles of ``size`` words with their repeats."""
+def shingle_hashes(text: str, size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of ``size`` words, repeats included, in parts of bounded size; none without words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     size = min(size, len(words))
-    total, sums = len(words) - size + 1, np.zeros(BITS, dtype=np.int64)
-    for at in range(0, total, PART_WORDS):  # bounded memory for very long texts
+    total = len(words) - size + 1 if words else 0
+    for at in range(0, total, PART_WORDS):
         part = words[at:min(at + PART_WORDS, total) + size - 1]
         flat = b" ".join(part)
         ends = np.cumsum([len(w) + 1 for w in part]) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         n = len(part) - size + 1
-        hashes = np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype="<u8", count=n)
-        sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.fromiter((xxh64_intdigest(flat[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[size - 1:].tolist())), dtype="<u8", count=n)
+
+
+def folded(sums: np.ndarray, total: int) -> int:
     return int(np.packbits(sums * 2 > total, bitorder="little").view("<u8")[0])
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str, size: int = 3) -> int:
+    """Unsigned fingerprint of shingles of ``size`` words with their repeats."""
+    sums, total = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, size):
+        sums, total = sums + bit_sums(hashes), total + len(hashes)
+    return folded(sums, total)
+
+
 def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, name: str = "bits") -> DataFrame:
     """Adds the fingerprint as a signed long."""
     @F.pandas_udf("long")
@@ -120,3 +134,81 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("bits", "component_id")
     return rows.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity of shingle sets --------------------------------------------------------------------------------------------------
+#
+# At a Jaccard similarity of 0.8 fingerprints differ in about ten bits, so a chain that surely holds would fix four bits only, and its
+# buckets would hold a sixteenth of all texts. The general form below therefore takes candidates both from the fingerprint chains and from
+# bands of minimum hashes, and judges every candidate by the share of equal minimum hashes.
+
+SKETCH, BAND, BANDS = 256, 4, 16
+#: Least share of equal minimum hashes, below the similarity by one standard deviation of the estimate.
+MARGIN = 0.025
+
+
+def sketch(text: str, size: int, multipliers: np.ndarray) -> tuple[int, bytes]:
+    """Fingerprint, and SKETCH minimum hashes of 16 bits of the set of shingles."""
+    sums, total, least = np.zeros(BITS, dtype=np.int64), 0, np.full(SKETCH, 0xFFFFFFFF, dtype=np.uint32)
+    for hashes in shingle_hashes(text, size):
+        sums, total = sums + bit_sums(hashes), total + len(hashes)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(short), 1024):
+            least = np.minimum(least, (short[at:at + 1024, None] * multipliers).min(axis=0))
+    return folded(sums, total), (least >> np.uint32(16)).astype("<u2").tobytes()
+
+
+def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
+    multipliers = np.random.default_rng(SEED).integers(0, 1 << 31, SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+    @F.pandas_udf("bits long, sketch binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = [sketch(t, size, multipliers) for t in texts]
+        return pd.DataFrame({"bits": np.array([r[0] for r in rows], dtype=np.uint64).view(np.int64), "sketch": [r[1] for r in rows]})
+
+    return docs.withColumn("_s", of(text_or_empty(text)))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id``: groups of texts whose sets of shingles of ``size`` words are similar, by chains of similar pairs.
+
+    Texts with equal sketches count as copies and meet first. Each band's bucket compares its members with one of them, another one
+    in each band, so work grows with the members and not with their pairs. Rows without id are in no group.
+    """
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    rows = sketches(rows, "_text", size).select("doc_id", F.xxhash64("_s.bits", "_s.sketch").alias("node"), "_s.bits", "_s.sketch")
+    rows = cut(rows, "sketches")
+    distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "distinct")
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
+    keys = cut(distinct.select("node", F.explode(bands).alias("key")), "bands")
+    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("a")).where("n > 1").drop("n")
+    stars = keys.join(leaders, "key").select("a", F.col("node").alias("b"))
+    by_bits = distinct.groupBy("bits").agg(F.min("node").alias("node"))
+    close = links(by_bits.select("bits"))
+    close = close.join(by_bits.select(F.col("bits").alias("a"), F.col("node").alias("na")), "a").join(by_bits.select(F.col("bits").alias("b"), F.col("node").alias("nb")), "b")
+    same_bits = distinct.join(by_bits.withColumnRenamed("node", "na"), "bits").select("na", F.col("node").alias("nb"))
+    pairs = stars.unionByName(close.select(F.col("na").alias("a"), F.col("nb").alias("b"))).unionByName(same_bits.select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = distinct.select("node", "sketch")
+    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    least = similarity - MARGIN
+
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(-1, SKETCH) for v in (a, b))
+        return pd.Series((x == y).mean(axis=1) >= least)
+
+    roots = components(pairs.where(similar("sa", "sb")).select("a", "b"))
+    rooted = distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = cut(rooted.join(smallest, "root").select("node", "component_id"), "named")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without those similar to one of a smaller id, by groups; rows without id stay, rows of one id stay or go together."""
+    groups = similar_groups(docs, doc_id, text, size, similarity)
+    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
+    return docs.join(losers, F.col(doc_id) == F.col("_loser"), "left_anti")
