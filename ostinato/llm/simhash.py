@@ -140,11 +140,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
 #
 # At a Jaccard similarity of 0.8 fingerprints differ in about ten bits, so a chain that surely holds would fix four bits only, and its
 # buckets would hold a sixteenth of all texts. The general form below therefore takes candidates both from the fingerprint chains and from
-# bands of minimum hashes, and judges every candidate by the share of equal minimum hashes.
+# bands of minimum hashes. Candidates whose sketches are far apart go first; the rest are judged by their whole sets of shingles.
 
-SKETCH, BAND, BANDS = 256, 4, 16
-#: Least share of equal minimum hashes, below the similarity by one standard deviation of the estimate.
-MARGIN = 0.025
+SKETCH, BAND, BANDS = 128, 4, 16
+#: Sketches estimate similarities to 0.035 (standard deviation); pairs go to the exact test from this much below.
+MARGIN = 0.12
 
 
 def sketch(text: str, size: int, multipliers: np.ndarray) -> tuple[int, bytes]:
@@ -169,10 +169,28 @@ def sketches(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.withColumn("_s", of(text_or_empty(text)))
 
 
+def shingle_sets(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """``node, shingles`` (distinct hashes of 32 bits) of the texts that are in pairs; texts of others are not moved further."""
+    @F.pandas_udf("array<int>")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.concatenate([np.empty(0, np.uint64), *shingle_hashes(t, size)]) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in texts])
+
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = needed.join(nodes.select("node", "first_id"), "node")
+    texts = docs.select(F.col(doc_id).alias("first_id"), text_or_empty(text).alias("_text")).join(chosen, "first_id")
+    return cut(texts.select("node", hashed("_text").alias("shingles")).dropDuplicates(["node"]), "shingles")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of texts whose sets of shingles of ``size`` words are similar, by chains of similar pairs.
 
-    Texts with equal sketches count as copies and meet first. Each band's bucket compares its members with one of them, another one
+    Texts with equal sketches count as copies and meet first. Each band's bucket compares its members with two of them, others
     in each band, so work grows with the members and not with their pairs. Rows without id are in no group.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
@@ -181,7 +199,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "distinct")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
     keys = cut(distinct.select("node", F.explode(bands).alias("key")), "bands")
-    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("a")).where("n > 1").drop("n")
+    order = F.xxhash64("node", "key")
+    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("one"), F.max_by("node", order).alias("two")).where("n > 1")
+    leaders = leaders.select("key", F.explode(F.array("one", "two")).alias("a"))
     stars = keys.join(leaders, "key").select("a", F.col("node").alias("b"))
     by_bits = distinct.groupBy("bits").agg(F.min("node").alias("node"))
     close = links(by_bits.select("bits"))
@@ -194,13 +214,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = similarity - MARGIN
 
     @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
             return pd.Series([], dtype=bool)
         x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(-1, SKETCH) for v in (a, b))
         return pd.Series((x == y).mean(axis=1) >= least)
 
-    roots = components(pairs.where(similar("sa", "sb")).select("a", "b"))
+    pairs = cut(pairs.where(near("sa", "sb")).select("a", "b"), "pairs")
+    roots = components(similar_pairs(pairs, shingle_sets(docs, pairs, distinct, doc_id, text, size), similarity))
     rooted = distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut(rooted.join(smallest, "root").select("node", "component_id"), "named")
