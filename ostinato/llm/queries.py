@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, pieces, private, quality, sharding, simhash, token_counts, topk
+from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, sharding, simhash, token_counts, topk
 from ostinato.llm.common import table
 
 import corpus_pipeline  # isort: skip
@@ -97,6 +97,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
+@query("op8_licenses")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all documents, as files ``source/lang/doc_id``."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    return licenses.scan(docs, keep_text=False)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Documents after all stages of the corpus pipeline."""
