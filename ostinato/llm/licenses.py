@@ -124,7 +124,7 @@ def headers(files: DataFrame, w: Weights, text: str = "text", least: float = 0.6
     best = F.array_max(F.transform(F.array_distinct("_parts"), lambda p: ranked(cosines(p, w))))
     files = files.withColumn("_header", F.when(best["score"] >= least, best))
     whole = F.when(F.col("_header").isNotNull(), ranked(cosines(tokens_of(t), w)))
-    return files.withColumn("_whole", F.when(whole["score"] >= 0.9, whole)).drop("_parts")
+    return files.withColumn("_whole", F.when(whole["score"] >= 0.98, whole)).drop("_parts")
 
 
 def ranked(best: Column) -> Column:

@@ -46,7 +46,7 @@ def packed_blocks(rows: DataFrame, n: int, size: int) -> DataFrame:
     """``rows`` (id, v) in about ``n / size`` blocks of equal vector length."""
     blocks = max(1, -(-n // size))
 
-    def pack_group(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pack(frame, key)
 
     numbered = rows.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     spread = candidates.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = asked.select(F.col("dims").alias("q_dims"), F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("n").alias("q_n"), F.col("columns").alias("q_columns"))
     pairs = spread.join(asked, (spread.dims == asked.q_dims) & (spread.query_block == asked.q_block))
-    pairs = pairs.repartition(-(-n // block_rows) * query_blocks, "block", "query_block")
+    pairs = pairs.repartition(max(1, -(-n // block_rows)) * query_blocks, "block", "query_block")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
