@@ -2,60 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_PLAIN = {
-    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "timestamp": T.TimestampType(),
-}
-
-
-def _type(spec) -> T.DataType:
-    """A type name, ``[element]`` for an array, or ``{field: spec}`` for a struct."""
-    if isinstance(spec, str):
-        return _PLAIN[spec]
-    if isinstance(spec, list):
-        return T.ArrayType(_type(spec[0]))
-    return T.StructType([T.StructField(name, _type(s)) for name, s in spec.items()])
-
-
-def _strings(names: str) -> dict:
-    return {n: "string" for n in names.split()}
-
-
-TEXTS = ["string"]
-SPAN = _strings("begin end")
-
-WORKS = _type({**_strings("work_id composer_id title work_type catalog_number key"), "mb_tags": TEXTS})
-COMPOSERS = _type({
-    **_strings("composer_id name sort_name"), "birth_year": "int", "death_year": "int", **_strings("country period annotation"),
-    "mb_tags": TEXTS, "total_works_count": "bigint",
-})
-PLAIN_TAGS = _type(_strings("work_id tag source"))
-TAGS = _type({**_strings("work_id tag source"), "confidence": "double", "created_at": "timestamp"})
-
-CORRECTIONS = _type({
-    **_strings("work_id title composer_id work_type key catalog_number"), "auto_tags": TEXTS, "corrected_tags": TEXTS, "removed": TEXTS,
-    "added": TEXTS, **_strings("reason reviewer timestamp"),
-})
-
-ARTIST_DOCUMENT = _type({
-    "artist": {
-        **_strings("source artist_id musicbrainz_id name sort_name type country"), "life_span": SPAN, "tags": TEXTS, "musicbrainz_tags": TEXTS,
-        **_strings("annotation disambiguation"),
-    },
-    "works": [{
-        **_strings("source release_group_id musicbrainz_id title primary_type type first_release_date release_date annotation"),
-        "secondary_types": TEXTS, "tags": TEXTS,
-    }],
-    "metadata": {"extraction_timestamp": "string", "sources": TEXTS},
-    "extraction_timestamp": "string",
-})
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType, TimestampType
+
+TEXT = StringType()
+TEXTS = ArrayType(TEXT)
+
+WORKS = (
+    StructType()
+    .add("work_id", TEXT)
+    .add("composer_id", TEXT)
+    .add("title", TEXT)
+    .add("work_type", TEXT)
+    .add("catalog_number", TEXT)
+    .add("key", TEXT)
+    .add("mb_tags", TEXTS)
+)
+
+COMPOSERS = (
+    StructType()
+    .add("composer_id", TEXT)
+    .add("name", TEXT)
+    .add("sort_name", TEXT)
+    .add("birth_year", IntegerType())
+    .add("death_year", IntegerType())
+    .add("country", TEXT)
+    .add("period", TEXT)
+    .add("annotation", TEXT)
+    .add("mb_tags", TEXTS)
+    .add("total_works_count", LongType())
+)
+
+PLAIN_TAGS = StructType().add("work_id", TEXT).add("tag", TEXT).add("source", TEXT)
+
+TAGS = (
+    StructType()
+    .add("work_id", TEXT)
+    .add("tag", TEXT)
+    .add("source", TEXT)
+    .add("confidence", DoubleType())
+    .add("created_at", TimestampType())
+)
+
+CORRECTIONS = (
+    StructType()
+    .add("work_id", TEXT)
+    .add("title", TEXT)
+    .add("composer_id", TEXT)
+    .add("work_type", TEXT)
+    .add("key", TEXT)
+    .add("catalog_number", TEXT)
+    .add("auto_tags", TEXTS)
+    .add("corrected_tags", TEXTS)
+    .add("removed", TEXTS)
+    .add("added", TEXTS)
+    .add("reason", TEXT)
+    .add("reviewer", TEXT)
+    .add("timestamp", TEXT)
+)
+
+LIFE_SPAN = StructType().add("begin", TEXT).add("end", TEXT)
+
+ARTIST = (
+    StructType()
+    .add("source", TEXT)
+    .add("artist_id", TEXT)
+    .add("musicbrainz_id", TEXT)
+    .add("name", TEXT)
+    .add("sort_name", TEXT)
+    .add("type", TEXT)
+    .add("country", TEXT)
+    .add("life_span", LIFE_SPAN)
+    .add("tags", TEXTS)
+    .add("musicbrainz_tags", TEXTS)
+    .add("annotation", TEXT)
+    .add("disambiguation", TEXT)
+)
+
+ARTIST_WORK = (
+    StructType()
+    .add("source", TEXT)
+    .add("release_group_id", TEXT)
+    .add("musicbrainz_id", TEXT)
+    .add("title", TEXT)
+    .add("primary_type", TEXT)
+    .add("type", TEXT)
+    .add("first_release_date", TEXT)
+    .add("release_date", TEXT)
+    .add("annotation", TEXT)
+    .add("secondary_types", TEXTS)
+    .add("tags", TEXTS)
+)
+
+ARTIST_DOCUMENT = (
+    StructType()
+    .add("artist", ARTIST)
+    .add("works", ArrayType(ARTIST_WORK))
+    .add("metadata", StructType().add("extraction_timestamp", TEXT).add("sources", TEXTS))
+    .add("extraction_timestamp", TEXT)
+)
 
 # raw source records, with the hyphenated field names of the source
-NAMED = [{"name": "string"}]
-RAW_ARTIST = _type({
-    **_strings("id name sort-name type country"), "life-span": SPAN, "tag-list": NAMED, **_strings("annotation disambiguation"),
-})
-RAW_RELEASE = _type({
-    **_strings("id title type"), "secondary-type-list": TEXTS, "first-release-date": "string", "tag-list": NAMED, "annotation": "string",
-})
+NAMED = ArrayType(StructType().add("name", TEXT))
+
+RAW_ARTIST = (
+    StructType()
+    .add("id", TEXT)
+    .add("name", TEXT)
+    .add("sort-name", TEXT)
+    .add("type", TEXT)
+    .add("country", TEXT)
+    .add("life-span", LIFE_SPAN)
+    .add("tag-list", NAMED)
+    .add("annotation", TEXT)
+    .add("disambiguation", TEXT)
+)
+
+RAW_RELEASE = (
+    StructType()
+    .add("id", TEXT)
+    .add("title", TEXT)
+    .add("type", TEXT)
+    .add("secondary-type-list", TEXTS)
+    .add("first-release-date", TEXT)
+    .add("tag-list", NAMED)
+    .add("annotation", TEXT)
+)
