@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ostinato.operators.shape import ranked
 
-FEW_QUERIES = 2048
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
+#: Tasks of one pass; beyond it a task walks several block pairs, so that the driver's task table stays small.
 MAX_TASKS = 20_000
 
-
 CHUNK = 256
+#: Query rows scored at a time, so a task holds CHUNK_ROWS * BLOCK_ROWS scores at most.
+CHUNK_ROWS = 512
 
 
 def cogroup_blocks(left: DataFrame, right: DataFrame, keys: list[str], blocks: int, fn: Callable, schema: str) -> DataFrame:
@@ -69,16 +70,14 @@ def _best_rows(s, id_rank, k, digits, exclude, floor, offset):
 
 def top_items(
     queries: DataFrame, items: DataFrame, k: int, score: Callable, query_id: str, item_id: str, digits: int = 6,
-    exclude_same: bool = False, min_score: float | None = None, block_rows: int = BLOCK_ROWS, few: int = FEW_QUERIES,
+    exclude_same: bool = False, min_score: float | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For each query the k best items: ``(query_id, item_id, score, rank)``, ties by item id.
 
-    ``score(query_pdf, item_pdf)`` gives the dense score block of two pandas frames.  When at most
-    ``few`` queries exist (checked by a bounded read), they travel to the items and the items are
-    scanned where they lie.  Otherwise both sides are cut into hash blocks, each block pair is one
-    task, and every task emits at most k rows per query; no pair table exists.
+    ``score(query_pdf, item_pdf)`` gives the dense score block of two pandas frames.  Both sides are cut into hash blocks; each pair
+    of blocks is scored in one task, some hundred queries at a time, and leaves at most k rows per query.  There is no pair table,
+    nothing is collected or broadcast, and the plan is the same for any number of queries.
     """
-    spark = items.sparkSession
     out_item = item_id if item_id != query_id else "item_id"
     qt, it = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"query_id {qt}, item_id {it}, score double"
@@ -87,43 +86,31 @@ def top_items(
         import numpy as np
         import pandas as pd
 
-        if q.empty or i.empty:
-            return pd.DataFrame({"query_id": q[query_id].iloc[:0], "item_id": i[item_id].iloc[:0], "score": np.array([], float)})
-        same = q[query_id].to_numpy()[:, None] == i[item_id].to_numpy()[None, :] if exclude_same else None
-        r, c, v = _best(score(q, i), i[item_id].to_numpy(), k, digits, same, min_score)
-        return pd.DataFrame({"query_id": q[query_id].to_numpy()[r], "item_id": i[item_id].to_numpy()[c], "score": v})
-
-    head = queries.limit(few + 1).toPandas()
-    if len(head) <= few:
-        if head.empty:
-            return spark.createDataFrame([], schema + ", rank int").withColumnsRenamed({"query_id": query_id, "item_id": out_item})
-        sent = spark.sparkContext.broadcast(head)
-
-        def scan(batches):
-            q = sent.value
-            for pdf in batches:
-                if not pdf.empty:
-                    yield block(q, pdf)
-
-        partial = items.mapInPandas(scan, schema)
-    else:
-        nq, ni = (max(1, math.ceil(df.count() / block_rows)) for df in (queries, items))
-
-        def blocked(df, key, own, others, n_own, n_others):
-            every = F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))
-            # renewed columns, so that both sides may come from one frame
-            fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
-            return fresh.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(others, every)
-
-        q = blocked(queries, query_id, "_qb", "_ib", nq, ni)
-        i = blocked(items, item_id, "_ib", "_qb", ni, nq)
-        partial = cogroup_blocks(q, i, ["_qb", "_ib"], nq * ni, lambda a, b: block(a, b), schema)
+        found = [pd.DataFrame({"query_id": q[query_id].iloc[:0], "item_id": i[item_id].iloc[:0], "score": np.array([], float)})]
+        for at in range(0, len(q) if len(i) else 0, CHUNK_ROWS):
+            part = q.iloc[at:at + CHUNK_ROWS]
+            same = part[query_id].to_numpy()[:, None] == i[item_id].to_numpy()[None, :] if exclude_same else None
+            r, c, v = _best(score(part, i), i[item_id].to_numpy(), k, digits, same, min_score)
+            found.append(pd.DataFrame({"query_id": part[query_id].to_numpy()[r], "item_id": i[item_id].to_numpy()[c], "score": v}))
+        return pd.concat(found[1:], ignore_index=True) if len(found) > 1 else found[0]
+
+    nq, ni = (max(1, math.ceil(df.count() / block_rows)) for df in (queries, items))
+
+    def blocked(df, key, own, others, n_own, n_others):
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))
+        # renewed columns, so that both sides may come from one frame
+        fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
+        return fresh.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(others, every)
+
+    q = blocked(queries, query_id, "_qb", "_ib", nq, ni)
+    i = blocked(items, item_id, "_ib", "_qb", ni, nq)
+    partial = cogroup_blocks(q, i, ["_qb", "_ib"], nq * ni, block, schema)
     best = ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
     return best.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
 
 
 def top_within(
-    items: DataFrame, key: str, k: int, score: Callable, item_id: str, digits: int = 6, block_rows: int = BLOCK_ROWS // 2,
+    items: DataFrame, key: str, k: int, score: Callable, item_id: str, digits: int = 6, block_rows: int = 1024,
 ) -> DataFrame:
     """For each item the k best items with the same key, itself included: ``(item_id as query_id, item_id, score, rank)``.
 

@@ -20,7 +20,7 @@ from ostinato.functions.fixed_values import (
 )
 from ostinato.functions.titles import plain_key
 from ostinato.functions.vectors import cosine
-from ostinato.operators.blocks import BLOCK_ROWS, cogroup_blocks, cosine_block, matrix, top_items
+from ostinato.operators.blocks import cogroup_blocks, cosine_block, matrix, top_items
 from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.operators.shape import one_row, ranked
 from ostinato.session import cut
@@ -195,43 +195,46 @@ def best_query(items: DataFrame, queries: DataFrame, query_id: str = "query_id",
 def pair_moments(items: DataFrame, vector: str = "embedding") -> DataFrame:
     """Mean and standard deviation of the cosine over all pairs of different items, in closed form.
 
-    With unit vectors u and G the sum of their outer products, the pair sum is |sum u|^2 - n and the
-    sum of squares is |G|^2 - n; G has one cell per pair of dimensions, whatever the number of rows.
+    With unit vectors u and G the sum of their outer products, the pair sum is |sum u|^2 - m and the
+    sum of squares is |G|^2 - m, where m vectors are not zero (a zero vector has cosine 0 with all); G has one cell per pair of dimensions, whatever the number of rows.
     """
     def partial(batches):
         import numpy as np
         import pandas as pd
 
         g = s = None
-        rows = 0
+        rows = whole = 0
         for pdf in batches:
             if pdf.empty:
                 continue
             m = matrix(pdf[vector])
-            u = m / np.linalg.norm(m, axis=1, keepdims=True)
+            norms = np.linalg.norm(m, axis=1, keepdims=True)
+            u = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
             g = u.T @ u if g is None else g + u.T @ u
             s = u.sum(axis=0) if s is None else s + u.sum(axis=0)
             rows += len(u)
+            whole += int((norms > 0).sum())
         if g is not None:
             d = len(s)
             ii, jj = np.divmod(np.arange(d * d), d)
             yield pd.DataFrame({"i": ii, "j": jj, "x": g.ravel()})
             yield pd.DataFrame({"i": np.arange(d), "j": np.full(d, -1), "x": s})
-            yield pd.DataFrame({"i": [-1], "j": [-1], "x": [float(rows)]})
+            yield pd.DataFrame({"i": [-1, -1], "j": [-1, -2], "x": [float(rows), float(whole)]})
 
     cells = items.select(vector).mapInPandas(partial, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x"))
     row = cells.agg(
         F.sum(F.when((F.col("i") >= 0) & (F.col("j") >= 0), F.col("x") * F.col("x"))).alias("g2"),
         F.sum(F.when((F.col("i") >= 0) & (F.col("j") < 0), F.col("x") * F.col("x"))).alias("s2"),
-        F.max(F.when(F.col("i") < 0, F.col("x"))).alias("n"))
+        F.max(F.when((F.col("i") < 0) & (F.col("j") == -1), F.col("x"))).alias("n"),
+        F.max(F.when((F.col("i") < 0) & (F.col("j") == -2), F.col("x"))).alias("own"))
     pairs = F.col("n") * (F.col("n") - 1)
-    mean = (F.col("s2") - F.col("n")) / pairs
+    mean = (F.col("s2") - F.col("own")) / pairs
     return row.select(
         F.col("n").cast("bigint").alias("num_works"), mean.alias("mean"),
-        F.sqrt(F.greatest((F.col("g2") - F.col("n")) / pairs - mean * mean, F.lit(0.0))).alias("std"))
+        F.sqrt(F.greatest((F.col("g2") - F.col("own")) / pairs - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = 2048) -> DataFrame:
     """``(score, n)`` over all pairs of different items, scores rounded; each block task counts its own values.
 
     The table has at most ``2 * 10^digits + 1`` rows.
@@ -252,7 +255,9 @@ def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embe
         if a.empty or b.empty:
             return pd.DataFrame({"score": np.array([], float), "n": np.array([], int)})
         ma, mb = matrix(a["v"]), matrix(b["v"])
-        s = np.round((ma @ mb.T) / (np.linalg.norm(ma, axis=1)[:, None] * np.linalg.norm(mb, axis=1)[None, :]), digits)
+        norms = np.linalg.norm(ma, axis=1)[:, None] * np.linalg.norm(mb, axis=1)[None, :]
+        dots = ma @ mb.T
+        s = np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), digits)
         if a["lb"].iloc[0] == a["rb"].iloc[0]:
             s = s[a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]]
         values, counts = np.unique(s, return_counts=True)

@@ -48,13 +48,14 @@ def scan_tags(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, TAGS, ["work_id", "tag"], "tags table")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType, missing_ok: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: StructType, missing_ok: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV with a header, read by column name; an absent optional file is an empty typed frame.
 
-    Array columns are JSON text in the file.
+    Array columns are JSON text in the file.  Files are split among tasks unless ``multi_line`` says that values hold line breaks;
+    then a file is one task.
     """
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

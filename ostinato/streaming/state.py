@@ -26,7 +26,9 @@ class KeyedTable:
     def _read(self, part: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.path}/{part}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def _all(self) -> DataFrame:

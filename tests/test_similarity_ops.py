@@ -109,7 +109,7 @@ def test_block_strategies_agree(spark):
     v = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(150)] + [(200 + i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]) for i in range(20)]
     df = spark.createDataFrame(v, "id int, v array<double>")
     a = blocks.top_items(df, df, 7, blocks.cosine_block("v"), "id", "id", exclude_same=True)
-    b = blocks.top_items(df, df, 7, blocks.cosine_block("v"), "id", "id", exclude_same=True, few=0, block_rows=40)
+    b = blocks.top_items(df, df, 7, blocks.cosine_block("v"), "id", "id", exclude_same=True, block_rows=40)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert a.count() == 170 * 7
 
@@ -233,3 +233,12 @@ def test_large_composer_is_final_without_others(spark, catalogue):
     inside = blocks.top_within(distinct.withColumn("c", F.col("name")), "c", 6, similarity.content_block(), "profile_id", block_rows=30)
     line = similarity.other_composer_bound(Weights())
     assert inside.filter((F.col("rank") == 6) & (F.col("score") > line)).count() > 0
+
+
+def test_embedding_quality_with_zero_vectors(spark):
+    from ostinato.operators import semantic
+
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    r = semantic.embedding_quality(df).first()
+    assert (r["num_works"], r["min"], r["max"]) == (4, 0.0, 1.0)
+    assert abs(r["mean"] - 1 / 6) < 1e-9 and abs(r["std"] - (1 / 6 - 1 / 36) ** 0.5) < 1e-9
