@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import text_or_empty, with_fields, worker_cached
 
-CHUNK, EDGES, LONG_UNIT = 1 << 17, 5 << 20, 40
+CHUNK, EDGES, LONG_UNIT = 1 << 17, 7 << 20, 40
 GOLDEN, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -95,25 +95,29 @@ class PrefixTable:
 
 
 class Lattices:
-    """Forward-filtered lattices of units, end to end in three arrays: an edge's cumulative probability plus its node's
-    number (so one sorted search finds an edge), the node before it (-1 at the unit's start), and its piece."""
+    """Forward-filtered lattices of units, end to end: the first edge of each node, and for each edge its cumulative
+    probability among the edges into its node, the node before it (-1 at the unit's start), and its piece."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.before, self.pieces = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.first = np.empty(1 << 16, np.int32)
+        self.keys, self.before, self.pieces = np.empty(1 << 16, np.float32), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.used, self.nodes = 0, 0
 
-    def append(self, keys, before, pieces) -> None:
-        n = self.used + len(keys)
-        if n > len(self.keys):
-            size = max(n, 2 * len(self.keys))
-            self.keys, self.before, self.pieces = (np.concatenate([x[:self.used], np.empty(size - self.used, x.dtype)]) for x in (self.keys, self.before, self.pieces))
-        self.keys[self.used:n], self.before[self.used:n], self.pieces[self.used:n] = keys, before, pieces
-        self.used = n
+    def append(self, first, keys, before, pieces) -> None:
+        """Add nodes by their first edges (counted from the first new edge) and edges."""
+        nodes, edges = self.nodes + len(first), self.used + len(keys)
+        if nodes > len(self.first):
+            self.first = grown(self.first, self.nodes, nodes)
+        if edges > len(self.keys):
+            self.keys, self.before, self.pieces = (grown(x, self.used, edges) for x in (self.keys, self.before, self.pieces))
+        self.first[self.nodes:nodes] = np.asarray(first) + self.used
+        self.keys[self.used:edges], self.before[self.used:edges], self.pieces[self.used:edges] = keys, before, pieces
+        self.nodes, self.used = nodes, edges
 
     def ends_of(self, units: list[str]) -> np.ndarray:
         """Numbers of the units' last nodes; unknown units are filtered together, odd and long ones one by one."""
@@ -154,39 +158,40 @@ class Lattices:
                 good[unit[at[~is_piece]]] = False
             edges.append((at[is_piece], np.full(int(is_piece.sum()), n), piece[is_piece], table.weights[row[is_piece]]))
             at, hash1, hash2 = at[found], hash1[found], hash2[found]
-        start, size, piece, weight = (np.concatenate(x) for x in zip(*edges))
+        start, size, piece, weight = (np.concatenate(x) for x in zip(*edges[::-1]))  # long pieces first: likely edges are tried first
         keep = good[unit[start]]
         start, size, piece, weight = start[keep], size[keep], piece[keep], weight[keep]
         # a unit's nodes are its places 0 .. len, so node = character + number of units before
-        node_from = start + unit[start]
+        roots = stops - sizes + np.arange(len(units))
+        by_node = np.argsort(start + size + unit[start], kind="stable")
+        start, size, piece, weight = start[by_node], size[by_node], piece[by_node], weight[by_node]
+        root, node_from = roots[unit[start]], start + unit[start]
         node_to = node_from + size
-        first = stops - sizes + np.arange(len(units))
-        depth = node_to - first[unit[start]]
-        order = np.lexsort((node_from, node_to, depth))
-        node_from, node_to, piece, weight, depth, start = (x[order] for x in (node_from, node_to, piece, weight, depth, start))
+        depth = (node_to - root).astype(np.uint8)
+        by_depth = np.argsort(depth, kind="stable")
+        origin, target, factor = node_from[by_depth], node_to[by_depth], weight[by_depth]
         mass = np.zeros(len(codes) + len(units))
-        mass[first] = 1.0
-        share = np.empty(len(order))
-        bounds = np.searchsorted(depth, np.arange(1, (int(depth[-1]) if len(depth) else 0) + 2))
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
+        mass[roots] = 1.0
+        share = np.empty(len(by_depth), dtype=np.float32)
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=1))))
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if lo == hi:
                 continue
-            part, to = mass[node_from[lo:hi]] * weight[lo:hi], node_to[lo:hi]
+            part, to = mass[origin[lo:hi]] * factor[lo:hi], target[lo:hi]
             heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
             total = np.add.reduceat(part, heads)
             mass[to[heads]] = total
-            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, hi - lo)))
-            part = part / total[group]
-            run = np.cumsum(part)
-            run -= np.concatenate(([0.0], run[heads[1:] - 1]))[group]
+            counts = np.diff(np.append(heads, hi - lo))
+            run = np.cumsum(part / np.repeat(total, counts))
+            run -= np.repeat(np.arange(len(heads), dtype=np.float64), counts)  # each node's parts sum to one
             run[np.append(heads[1:], hi - lo) - 1] = 1.0
             share[lo:hi] = np.clip(run, 0.0, 1.0)
-        order = np.lexsort((share, node_to))
-        root = node_from == first[unit[start]]
+        in_order = np.empty_like(share)
+        in_order[by_depth] = share
         base = self.nodes
-        self.append(base + node_to[order] + share[order], np.where(root, -1, base + node_from)[order], piece[order])
-        self.nodes += len(mass)
-        ends = base + first + sizes
+        first = np.searchsorted(node_to, np.arange(len(mass)))
+        self.append(first, in_order, np.where(node_from == root, -1, base + node_from), piece)
+        ends = base + roots + sizes
         self.known.update((u, e) for u, e, g in zip(units, ends.tolist(), good.tolist()) if g)
         return [u for u, g in zip(units, good.tolist()) if not g]
 
@@ -202,13 +207,14 @@ class Lattices:
                     spelled[k] = c.encode("utf-8", "surrogatepass")
                 place.append(place[-1] + len(spelled.get(k, b"x")))
         incoming: list[list[tuple[int, int, float]]] = [[] for _ in range(place[n] + 1)]
-        keys, before, pieces, base = [], [], [], self.nodes
+        first, keys, before, pieces, base = [0], [], [], [], self.nodes
 
         def close(node: int, total: float) -> None:
             run = 0.0
+            first.append(len(keys))
             for k, (a, i, w) in enumerate(incoming[node]):
                 run += w / total
-                keys.append(base + node + (1.0 if k + 1 == len(incoming[node]) else min(run, 1.0)))
+                keys.append(1.0 if k + 1 == len(incoming[node]) else min(run, 1.0))
                 before.append(base + a if a else -1)
                 pieces.append(i)
 
@@ -231,22 +237,24 @@ class Lattices:
                 incoming[node + k + 1].append((node + k, model.byte_ids[b], total * model.byte_weight))
                 if k + 1 < len(spelled[s]):
                     close(node + k + 1, total * model.byte_weight)
-        self.append(keys, before, pieces)
-        self.nodes += place[n] + 1
+        self.append(first, keys, before, pieces)
         return self.nodes - 1
 
     def sample(self, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all units in order, and their number for each unit, walking back from ``ends``."""
-        keys, before, pieces = self.keys[:self.used], self.before, self.pieces
         live, node, walked = np.arange(len(ends)), ends, []
         count = np.zeros(len(ends), dtype=np.int64)
         while len(live):
             state = state + STEP
-            edge = np.searchsorted(keys, node + uniform(state), side="right")
-            walked.append((live, pieces[edge]))
+            u, edge = uniform(state), self.first[node]
+            on = np.flatnonzero(u >= self.keys[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[u[on] >= self.keys[edge[on]]]
+            walked.append((live, self.pieces[edge]))
             count[live] += 1
-            node = before[edge].astype(np.int64)
-            on = node >= 0
+            node = self.before[edge]
+            on = np.flatnonzero(node >= 0)
             live, node, state = live[on], node[on], state[on]
         out = np.empty(int(count.sum()), dtype=np.int32)
         first = np.cumsum(count) - 1
@@ -255,6 +263,12 @@ class Lattices:
         return out, count
 
 
+def grown(x: np.ndarray, used: int, need: int) -> np.ndarray:
+    out = np.empty(max(need, 2 * len(x)), dtype=x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -262,8 +276,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
-    """Numbers in [0, 1) of 24 bits, so that adding a node number keeps them apart from 1."""
-    return (mixed(x) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    """Numbers in [0, 1) of 24 bits, which single precision holds exactly."""
+    return (mixed(x) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
 def encode_texts(lattices: Lattices, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
