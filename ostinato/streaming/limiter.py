@@ -81,24 +81,37 @@ def replay(requests: DataFrame, rate: int = 60, period: float = 60, client: str
 
 def limit_stream(requests: DataFrame, rate: int = 60, period: float = 60, client: str = "client_id", ts: str = "ts",
                  tie: str = "event_id", watermark: str = "10 minutes", idle_seconds: float = 3600) -> DataFrame:
-    """The same decisions as a stream; a bucket not used for ``idle_seconds`` is dropped."""
+    """The same decisions as a stream; a bucket not used for ``idle_seconds`` is dropped.
+
+    A request is decided once the watermark has passed it, so requests may arrive in any order inside the watermark; until
+    then it waits in its client's state.
+    """
     ct, tt = requests.schema[client].dataType.simpleString(), requests.schema[tie].dataType.simpleString()
 
     def step(key, batches, state):
         import pandas as pd
 
-        if state.hasTimedOut:
+        passed = state.getCurrentWatermarkMs() * 1000
+        times, ties, tokens, last = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], None, None)
+        if not state.hasTimedOut:
+            for rows in batches:
+                times += rows["us"].tolist()
+                ties += rows[tie].tolist()
+        waiting = sorted(zip(times, ties), key=lambda r: (r[0], r[1] is None, r[1]))
+        ready = [r for r in waiting if r[0] <= passed]
+        waiting = waiting[len(ready):]
+        a, m, w, tokens, last = spend([r[0] / 1e6 for r in ready], rate, period, tokens, last)
+        idle_us = int(((last or 0) + idle_seconds) * 1e6)
+        if waiting or (last is not None and idle_us > passed):
+            state.update(([r[0] for r in waiting], [r[1] for r in waiting], None if tokens is None else float(tokens), None if last is None else float(last)))
+            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else idle_us) // 1000, passed // 1000) + 1)
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", tie], kind="stable")
-        tokens, last = state.get if state.exists else (None, None)
-        a, m, r, tokens, last = spend((rows["us"] / 1e6).tolist(), rate, period, tokens, last)
-        state.update((float(tokens), float(last)))
-        state.setTimeoutTimestamp(max(int(rows["us"].max() // 1000 + idle_seconds * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({client: rows[client], "ts_us": rows["us"], tie: rows[tie], "allowed": a, "remaining": m,
-                            "retry_after": pd.array(r, dtype="Int64")})
+        if ready:
+            yield pd.DataFrame({client: [key[0]] * len(ready), "ts_us": [r[0] for r in ready], tie: [r[1] for r in ready], "allowed": a, "remaining": m,
+                                "retry_after": pd.array(w, dtype="Int64")})
 
     src = requests.withWatermark(ts, watermark).withColumn("us", F.unix_micros(ts))
     return src.groupBy(client).applyInPandasWithState(
         step, f"`{client}` {ct}, ts_us bigint, `{tie}` {tt}, allowed boolean, remaining int, retry_after bigint",
-        "tokens double, last double", "append", "EventTimeTimeout")
+        f"times array<bigint>, ties array<{tt}>, tokens double, last double", "append", "EventTimeTimeout")

@@ -13,39 +13,45 @@ def alert_stream(
     """Stream of ``(client, ts_us, event_id)``: events at which the client's count in ``(ts - window, ts]``
     reaches the threshold.
 
-    An event alerts when the ``threshold``-th newest event, itself included, is inside the window, so a
-    client's state is its last ``threshold - 1`` times, whatever its traffic.  Idle state expires one
-    window after the last event.  Rows behind the watermark are dropped (and counted by Spark).
+    An event is judged once the watermark has passed it, when all events before it are known; so the arrival order inside the
+    watermark does not matter, and the result is that of the batch form.  A client's state is its events newer than the
+    watermark less one window.  Rows behind the watermark are dropped (and counted by Spark).
     """
     id_type = events.schema[client].dataType.simpleString()
     ev_type = events.schema[event_id].dataType.simpleString()
-    need, width = threshold - 1, int(window_seconds * 1_000_000)
+    width = int(window_seconds * 1_000_000)
 
     def step(key, batches, state):
         import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames = [b for b in batches]
-        rows = pd.concat(frames, ignore_index=True).sort_values(["us", event_id], kind="stable")
-        kept = np.array(state.get[0] if state.exists else [], dtype=np.int64)
-        times = np.sort(np.concatenate([kept, rows["us"].to_numpy(np.int64)]), kind="stable")
-        us = rows["us"].to_numpy(np.int64)
+        passed = state.getCurrentWatermarkMs() * 1000
+        times, ids, done = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
+        if not state.hasTimedOut:
+            for rows in batches:
+                times += rows["us"].tolist()
+                ids += rows[event_id].tolist()
+        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i] is None, ids[i]))
+        ids, us = [ids[i] for i in order], np.array([times[i] for i in order], dtype=np.int64)
+        final = (us > done) & (us <= passed)
         # events at the same instant count for each other
-        upto = np.searchsorted(times, us, side="right")
-        place = upto - threshold
-        hit = (place >= 0) & (times[np.maximum(place, 0)] > us - width)
-        state.update((times[-need:].tolist() if need else [],))
-        state.setTimeoutTimestamp(max(int(times[-1] // 1000) + width // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        out = rows[hit]
+        count = np.searchsorted(us, us, side="right") - np.searchsorted(us, us - width, side="right")
+        out = np.flatnonzero(final & (count >= threshold))
+        keep = np.flatnonzero(us > passed - width)
+        if len(keep):
+            state.update((us[keep].tolist(), [ids[i] for i in keep], max(done, passed)))
+            waiting = us[us > passed]
+            next_ms = int(waiting[0]) // 1000 if len(waiting) else int(us[-1] + width) // 1000
+            state.setTimeoutTimestamp(max(next_ms, passed // 1000) + 1)
+        elif state.exists:
+            state.remove()
         if len(out):
-            yield pd.DataFrame({client: out[client], "ts_us": out["us"], event_id: out[event_id]})
+            yield pd.DataFrame({client: [key[0]] * len(out), "ts_us": us[out], event_id: [ids[i] for i in out]})
 
     src = events.withWatermark(ts, watermark).withColumn("us", F.unix_micros(ts))
     return src.groupBy(client).applyInPandasWithState(
-        step, f"`{client}` {id_type}, ts_us bigint, `{event_id}` {ev_type}", "times array<bigint>", "append", "EventTimeTimeout")
+        step, f"`{client}` {id_type}, ts_us bigint, `{event_id}` {ev_type}", f"times array<bigint>, ids array<{ev_type}>, done bigint",
+        "append", "EventTimeTimeout")
 
 
 def repeated_violation_stream(violations: DataFrame, threshold: int = 5, window_minutes: float = 10, **kw) -> DataFrame:

@@ -22,8 +22,14 @@ def write_parts(df, path, order="ts", parts=3):
         df.orderBy(order, "event_id").offset(p * n // parts).limit((p + 1) * n // parts - p * n // parts).coalesce(1).write.mode("append").parquet(path)
 
 
-def stream(spark, df, path):
-    write_parts(df, path)
+CLOSE = dt.datetime(2200, 1, 1)
+
+
+def stream(spark, df, path, order="ts"):
+    """The rows in several files, in order of arrival, and a closing row that moves the watermark past them."""
+    write_parts(df, path, order)
+    last = df.limit(1).select(*[(F.lit(CLOSE) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
+    last.coalesce(1).write.mode("append").parquet(path)
     return ingest.file_stream(spark, path, df.schema, maxFilesPerTrigger=1)
 
 
@@ -38,6 +44,24 @@ def test_alert_stream_equals_batch(spark, tmp_path):
     assert set(got) == want and len(got) == len(want) > 0
 
 
+def test_streams_do_not_depend_on_arrival(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.randrange(0, 5000), rng.choice("abc")) for _ in range(200)] + [(2000, "d")] * 5
+    df = events(spark, rows)
+    late = {i: s + rng.randrange(0, 550) for i, (s, _) in enumerate(rows)}  # inside the watermark of ten minutes
+    arrival = F.create_map(*[F.lit(x) for kv in late.items() for x in kv])[F.col("event_id")]
+    df = df.withColumn("arrival", arrival)
+    want = {r.event_id for r in batch.alerts(df, 4, 300, "client_id").collect()}
+    s = monitor.alert_stream(stream(spark, df, str(tmp_path / "in"), "arrival"), 4, 300)
+    ingest.drain(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = [r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert set(got) == want and len(got) == len(want) > 0
+    decided = {r.event_id: r.allowed for r in limiter.replay(df, 3, 100).collect()}
+    s = limiter.limit_stream(ingest.file_stream(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger=1), 3, 100)
+    ingest.drain(s, str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    assert {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out2")).collect()} == decided and not all(decided.values())
+
+
 def test_trailing_window_is_strict(spark):
     df = events(spark, [(0, "a"), (600, "a"), (601, "a"), (1199.999999, "a")])
     got = {r.event_id: r.recent for r in batch.trailing_counts(df, 600, "client_id").collect()}
@@ -82,7 +106,7 @@ def test_token_bucket(spark, tmp_path):
 def test_keyed_table(spark, tmp_path):
     rows = [(1, "a", "save"), (2, "b", "save"), (3, "a", "delete"), (4, "a", "save"), (5, "b", "delete"), (6, "c", "save")]
     df = spark.createDataFrame([(i, T0 + dt.timedelta(seconds=i), k, o) for i, k, o in rows], "event_id bigint, ts timestamp, k string, op string")
-    s = stream(spark, df, str(tmp_path / "in"))
+    s = stream(spark, df, str(tmp_path / "in")).filter("k IS NOT NULL")
     table = KeyedTable(spark, str(tmp_path / "t"), ["k"], ["ts", "event_id"], "op = 'delete'")
     table.follow(s, str(tmp_path / "cp"), availableNow=True).awaitTermination()
     want = {(r.k, r.event_id) for r in it.latest_per_key(df, ["k"], ["ts", "event_id"], F.col("op") == "delete").collect()}
