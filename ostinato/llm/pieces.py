@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import text_or_empty, with_fields, worker_cached
 
-CHUNK, EDGES, LONG_UNIT = 1 << 17, 7 << 20, 40
+CHUNK, EDGES, LONG_UNIT = 1 << 17, 6 << 20, 40
 GOLDEN, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -70,10 +70,12 @@ class Model:
 
 
 class PrefixTable:
-    """Prefixes of pieces by two rolling hashes, for look-ups in arrays. Weights are raised by a power of the length, which
-    leaves all probabilities the same and keeps products of many weights in range."""
+    """Prefixes of pieces by two rolling hashes, for look-ups in arrays: the first finds a slot, the second must agree too.
 
-    BASE1, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    Weights are raised by a power of the length, which leaves all probabilities the same and keeps products of many in range.
+    """
+
+    BASE1, BASE2, SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 19
 
     def __init__(self, prefixes: dict[str, tuple[int, float]], level: float):
         self.longest = max(map(len, prefixes))
@@ -84,14 +86,32 @@ class PrefixTable:
                 a, b = (a * int(self.BASE1) + c + 1) % (1 << 64), (b * int(self.BASE2) + c + 1) % (1 << 64)
             one.append(a)
             two.append(b)
-        order = np.argsort(np.array(one, dtype=np.uint64))
-        self.one, self.two = np.array(one, dtype=np.uint64)[order], np.array(two, dtype=np.uint64)[order]
-        self.ids = np.array([i for i, _ in prefixes.values()], dtype=np.int32)[order]
-        self.weights = np.array([w * level ** len(p) for p, (_, w) in prefixes.items()])[order]
+        self.one, self.two = np.array(one, dtype=np.uint64), np.array(two, dtype=np.uint64)
+        self.ids = np.array([i for i, _ in prefixes.values()], dtype=np.int32)
+        self.weights = np.array([w * level ** len(p) for p, (_, w) in prefixes.items()])
+        bits = max(self.SLOT_BITS, len(one).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        for row, slot in enumerate(self.slot_of(self.one).tolist()):
+            while self.slots[slot] >= 0:
+                slot = (slot + 1) & self.mask
+            self.slots[slot] = row
+
+    def slot_of(self, one: np.ndarray) -> np.ndarray:
+        return ((one * GOLDEN) >> self.shift).astype(np.int64)
 
     def find(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
-        return row, (self.one[row] == one) & (self.two[row] == two)
+        """Row of each hash pair (0 where there is none), and whether there is one."""
+        slot = self.slot_of(one)
+        row = self.slots[slot]
+        other = np.flatnonzero((row >= 0) & (self.one[row] != one))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            again = self.slots[slot[other]]
+            row[other] = again
+            other = other[(again >= 0) & (self.one[again] != one[other])]
+        found = (row >= 0) & (self.two[row] == two)
+        return np.where(found, row, 0), found
 
 
 class Lattices:
@@ -122,78 +142,73 @@ class Lattices:
     def ends_of(self, units: list[str]) -> np.ndarray:
         """Numbers of the units' last nodes; unknown units are filtered together, odd and long ones one by one."""
         known = self.known
-        new = list({u for u in units if u not in known})
-        odd = self.filter_many([u for u in new if len(u) <= LONG_UNIT])
-        odd += [u for u in new if len(u) > LONG_UNIT]
-        for u in odd:
-            known[u] = self.filter(u)
-        ends = np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
+        ends = list(map(known.get, units))
+        new, odd = {u for u, e in zip(units, ends) if e is None}, []
+        if new:
+            odd = self.filter_many([u for u in new if len(u) <= LONG_UNIT]) + [u for u in new if len(u) > LONG_UNIT]
+            for u in odd:
+                known[u] = self.filter(u)
+            ends = [known[u] if e is None else e for u, e in zip(units, ends)]
         for u in odd:
             if len(u) > LONG_UNIT:
                 del known[u]
-        return ends
+        return np.array(ends, dtype=np.int64)
 
     def filter_many(self, units: list[str]) -> list[str]:
-        """Filter short units whose characters all have pieces; the others are returned."""
+        """Filter short units whose characters all have pieces; the others are returned.
+
+        Nodes are numbered by place first and unit second, longer units before shorter ones, so the nodes of one place, and the
+        edges into them, lie together and are summed at once.
+        """
+        singles, table = self.model.singles, self.model.table
+        odd = [u for u in units if not singles.issuperset(u)]
+        units = sorted((u for u in units if singles.issuperset(u)), key=len, reverse=True) if odd else sorted(units, key=len, reverse=True)
         if not units:
-            return []
-        table = self.model.table
+            return odd
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         sizes = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        stops = np.cumsum(sizes)
+        longest = int(sizes[0])
         unit = np.repeat(np.arange(len(units)), sizes)
-        at, hash1, hash2 = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)
-        good = np.ones(len(units), dtype=bool)
-        edges = []
-        for n in range(1, table.longest + 1):
-            inside = at + n <= stops[unit[at]]
-            at = at[inside]
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = sizes[unit] - place
+        # level[d]: first node of place d
+        level = np.concatenate(([0], np.cumsum(np.searchsorted(-sizes, -np.arange(longest + 1), side="right"))))
+        at, one, two, edges = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64), []
+        number = np.zeros(level[-1], dtype=np.int64)  # edges into each node
+        for n in range(1, min(table.longest, longest) + 1):
+            inside = left[at] >= n
+            at, one, two = at[inside], one[inside], two[inside]
             if not len(at):
                 break
-            hash1, hash2 = hash1[inside] * table.BASE1 + codes[at + n - 1], hash2[inside] * table.BASE2 + codes[at + n - 1]
-            row, found = table.find(hash1, hash2)
-            piece = table.ids[row]
-            is_piece = found & (piece >= 0)
-            if n == 1:
-                good[unit[at[~is_piece]]] = False
-            edges.append((at[is_piece], np.full(int(is_piece.sum()), n), piece[is_piece], table.weights[row[is_piece]]))
-            at, hash1, hash2 = at[found], hash1[found], hash2[found]
-        start, size, piece, weight = (np.concatenate(x) for x in zip(*edges[::-1]))  # long pieces first: likely edges are tried first
-        keep = good[unit[start]]
-        start, size, piece, weight = start[keep], size[keep], piece[keep], weight[keep]
-        # a unit's nodes are its places 0 .. len, so node = character + number of units before
-        roots = stops - sizes + np.arange(len(units))
-        by_node = np.argsort(start + size + unit[start], kind="stable")
-        start, size, piece, weight = start[by_node], size[by_node], piece[by_node], weight[by_node]
-        root, node_from = roots[unit[start]], start + unit[start]
-        node_to = node_from + size
-        depth = (node_to - root).astype(np.uint8)
-        by_depth = np.argsort(depth, kind="stable")
-        origin, target, factor = node_from[by_depth], node_to[by_depth], weight[by_depth]
-        mass = np.zeros(len(codes) + len(units))
-        mass[roots] = 1.0
-        share = np.empty(len(by_depth), dtype=np.float32)
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(depth, minlength=1))))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if lo == hi:
-                continue
-            part, to = mass[origin[lo:hi]] * factor[lo:hi], target[lo:hi]
-            heads = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
-            total = np.add.reduceat(part, heads)
-            mass[to[heads]] = total
-            counts = np.diff(np.append(heads, hi - lo))
-            run = np.cumsum(part / np.repeat(total, counts))
-            run -= np.repeat(np.arange(len(heads), dtype=np.float64), counts)  # each node's parts sum to one
-            run[np.append(heads[1:], hi - lo) - 1] = 1.0
-            share[lo:hi] = np.clip(run, 0.0, 1.0)
-        in_order = np.empty_like(share)
-        in_order[by_depth] = share
+            code = codes[at + n - 1]
+            one, two = one * table.BASE1 + code, two * table.BASE2 + code
+            row, found = table.find(one, two)
+            at, one, two, row = at[found], one[found], two[found], row[found]
+            whole = np.flatnonzero(table.ids[row] >= 0)
+            u, p = unit[at[whole]], place[at[whole]]
+            to = level[p + n] + u
+            number[to] += 1
+            edges.append((level[p] + u, to, row[whole]))
+        first = np.cumsum(number) - number
+        fill, total = first.copy(), int(number.sum())
+        before, rows = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int32)
+        for source, to, row in reversed(edges):  # long pieces first: likely edges are tried first
+            slot = fill[to]
+            before[slot], rows[slot] = source, row
+            fill[to] += 1
+        weight, mass, share = table.weights[rows], np.ones(level[-1]), np.empty(total, dtype=np.float32)
+        for lo, hi in zip(level[1:-1].tolist(), level[2:].tolist()):
+            a, b = int(first[lo]), int(first[hi - 1] + number[hi - 1])
+            part, counts = mass[before[a:b]] * weight[a:b], number[lo:hi]
+            sums = np.add.reduceat(part, first[lo:hi] - a)
+            mass[lo:hi] = sums
+            run = np.cumsum(part / np.repeat(sums, counts)) - np.repeat(np.arange(hi - lo, dtype=np.float64), counts)  # each node's parts sum to one
+            run[first[lo:hi] - a + counts - 1] = 1.0
+            share[a:b] = np.clip(run, 0.0, 1.0)
         base = self.nodes
-        first = np.searchsorted(node_to, np.arange(len(mass)))
-        self.append(first, in_order, np.where(node_from == root, -1, base + node_from), piece)
-        ends = base + roots + sizes
-        self.known.update((u, e) for u, e, g in zip(units, ends.tolist(), good.tolist()) if g)
-        return [u for u, g in zip(units, good.tolist()) if not g]
+        self.append(first, share, np.where(before < level[1], -1, base + before), table.ids[rows])
+        self.known.update(zip(units, (base + level[sizes] + np.arange(len(units))).tolist()))
+        return odd
 
     def filter(self, unit: str) -> int:
         """Filter one unit; characters without a piece are spelled in byte pieces, with a node for each byte."""
