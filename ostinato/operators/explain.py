@@ -31,7 +31,7 @@ def article(word: Column, capital: bool = True) -> Column:
 
 
 def _capitalised(text: Column) -> Column:
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 10000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.char_length(text))))
 
 
 def _full(c: Column) -> Column:

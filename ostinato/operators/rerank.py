@@ -13,82 +13,79 @@ from ostinato.session import cut
 
 
 def diverse(
-    items: DataFrame, seed_ids: list, n: int = 10, relevance_weight: float = 0.3, score: Callable | None = None,
-    item_id: str = "work_id", digits: int = 6, seeds_per_pass: int = 200,
+    items: DataFrame, seeds: DataFrame | list, n: int = 10, relevance_weight: float = 0.3, score: Callable | None = None,
+    item_id: str = "work_id", digits: int = 6, seed_rows: int = 256, block_rows: int = 8192,
 ) -> DataFrame:
-    """Greedy diverse lists for a batch of seeds: ``(seed_id, item_id, score, rank)``.
+    """Greedy diverse lists for many seeds: ``(seed_id, item_id, score, rank)``.
 
-    Each round picks, over all items, the largest ``w * relevance - (1 - w) * redundancy``, where
-    redundancy is the largest similarity to the picks so far (0 in the first round); the reported
-    score is the relevance.  Every round is one pass: the seeds and their picks (at most
-    ``seeds_per_pass * n`` rows) go to the items, each task returns its best item per seed.
+    ``seeds`` is a frame with the item id, or a list of ids.  Each round picks, over all items, the largest
+    ``w * relevance - (1 - w) * redundancy``, where redundancy is the largest similarity to the picks so far (0 in the first
+    round); the reported score is the relevance.  A round is one pass of blocks of seeds, with their picks of at most n rows each,
+    against blocks of items; every block pair leaves one item a seed.  Seeds and picks stay in stored frames.
     """
+    from ostinato.operators.blocks import cogroup_blocks
     from ostinato.operators.similarity import content_block
 
     spark = items.sparkSession
     score = score or content_block()
-    items = cut(items, "mmr-items")
-    item_schema = items.schema
-    cols = items.columns
-    id_type = item_schema[item_id].dataType.simpleString()
-    out_schema = "_seed " + id_type + ", _mmr double, _rel double, " + ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in item_schema)
-    unknown = set(seed_ids)
-    results = []
-    for start in range(0, len(seed_ids), seeds_per_pass):
-        chunk = seed_ids[start:start + seeds_per_pass]
-        seeds = items.filter(F.col(item_id).isin(chunk)).dropDuplicates([item_id]).toPandas().set_index(item_id, drop=False)
-        unknown -= set(seeds[item_id].tolist())
-        seeds = seeds.reset_index(drop=True)
-        picks: dict = {s: [] for s in seeds[item_id]}
-        for rank in range(1, n + 1):
-            sent = spark.sparkContext.broadcast((seeds, picks))
-
-            def scan(batches):
-                import numpy as np
-                import pandas as pd
-
-                s, chosen = sent.value
-                for pdf in batches:
-                    if pdf.empty:
-                        continue
-                    ids = pdf[item_id].to_numpy()
-                    rel = score(s, pdf)
-                    red = np.zeros_like(rel)
-                    if any(chosen.values()):
-                        flat = pd.DataFrame([p for x in s[item_id] for p in chosen[x]], columns=cols)
-                        sims = score(flat, pdf)
-                        at = 0
-                        for r, x in enumerate(s[item_id]):
-                            m = len(chosen[x])
-                            if m:
-                                red[r] = sims[at:at + m].max(axis=0)
-                            at += m
-                    mmr = np.round(relevance_weight * rel - (1 - relevance_weight) * red, digits)
-                    order = np.argsort(ids, kind="stable")
-                    for r, x in enumerate(s[item_id]):
-                        gone = {x, *(p[cols.index(item_id)] for p in chosen[x])}
-                        row = np.where(np.isin(ids, list(gone)), -np.inf, mmr[r])[order]
-                        best = order[int(np.argmax(row))]
-                        if np.isfinite(row.max()):
-                            line = pdf.iloc[[best]].copy()
-                            line.insert(0, "_rel", np.round(rel[r, best], digits))
-                            line.insert(0, "_mmr", float(row.max()))
-                            line.insert(0, "_seed", x)
-                            yield line
-
-            best = ranked(items.mapInPandas(scan, out_schema), ["_seed"], [F.desc("_mmr"), F.asc(item_id)], 1, "_r")
-            rows = best.drop("_r").toPandas()  # one row per seed of this pass
-            if rows.empty:
-                break
-            for r in rows.itertuples(index=False):
-                d = dict(zip(rows.columns, r))
-                picks[d["_seed"]].append([d[c] for c in cols])
-                results.append((d["_seed"], d[item_id], float(d["_rel"]), rank))
-    if unknown:
-        raise ValueError(f"Work ID not found: {sorted(unknown)[0]}")
-    plain = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in results]
-    return spark.createDataFrame(plain, f"seed_id {id_type}, item_id {id_type}, score double, rank int")
+    items = cut(items.dropDuplicates([item_id]), "mmr-items")
+    cols, row_type = items.columns, items.schema.simpleString()
+    id_type = items.schema[item_id].dataType.simpleString()
+    if not isinstance(seeds, DataFrame):
+        seeds = spark.createDataFrame([(s,) for s in seeds], f"`{item_id}` {id_type}")
+    seeds = seeds.select(item_id).distinct()
+    unknown = seeds.join(items, item_id, "left_anti").orderBy(item_id).head()
+    if unknown is not None:
+        raise ValueError(f"Work ID not found: {unknown[0]}")
+    seeds = cut(seeds.join(items, item_id).select(*cols), "mmr-seeds")
+    seed_blocks, item_blocks = max(1, -(-seeds.count() // seed_rows)), max(1, -(-items.count() // block_rows))
+    keys = ["_sb", "_ib"]
+
+    def blocked(df: DataFrame, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(item_id), F.lit(n_own)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    spread = blocked(items, "_ib", "_sb", item_blocks, seed_blocks)
+    out_schema = f"_seed {id_type}, _mmr double, _rel double, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+
+    def best_of(s, pdf):
+        import numpy as np
+        import pandas as pd
+
+        found, tops = {"_seed": [], "_mmr": [], "_rel": []}, []
+        if not s.empty and not pdf.empty:
+            pdf = pdf.sort_values(item_id, kind="stable").reset_index(drop=True)
+            ids, rel = pdf[item_id].to_numpy(), score(s[cols], pdf[cols])
+            flat = pd.DataFrame([p for picks in s["_picks"] for p in picks], columns=cols)
+            sims, at = (score(flat, pdf[cols]) if len(flat) else None), 0
+            for r, (seed, picks) in enumerate(zip(s[item_id], s["_picks"])):
+                red = sims[at:at + len(picks)].max(axis=0) if len(picks) else 0.0
+                at += len(picks)
+                mmr = np.round(relevance_weight * rel[r] - (1 - relevance_weight) * red, digits)
+                mmr = np.where(np.isin(ids, [seed, *(p[item_id] for p in picks)]), -np.inf, mmr)
+                top = int(np.argmax(mmr))
+                if np.isfinite(mmr[top]):
+                    tops.append(top)
+                    for name, value in zip(found, (seed, float(mmr[top]), round(float(rel[r, top]), digits))):
+                        found[name].append(value)
+        return pd.concat([pd.DataFrame(found), pdf[cols].iloc[tops].reset_index(drop=True)], axis=1)
+
+    chosen = None
+    for rank in range(1, n + 1):
+        if chosen is None:
+            asked = seeds.withColumn("_picks", F.array().cast(f"array<{row_type}>"))
+        else:
+            picks = chosen.groupBy(F.col("_seed").alias("_of")).agg(F.collect_list(F.struct(*cols)).alias("_picks"))  # at most n rows a seed
+            asked = seeds.join(picks, seeds[item_id] == picks["_of"]).drop("_of")
+        found = cogroup_blocks(blocked(asked, "_sb", "_ib", seed_blocks, item_blocks), spread, keys, seed_blocks * item_blocks, best_of, out_schema)
+        best = ranked(found, ["_seed"], [F.desc("_mmr"), F.col(item_id)], 1, "_r").drop("_r").withColumn("rank", F.lit(rank))
+        best = cut(best, "mmr-picks")
+        if best.isEmpty():
+            break
+        chosen = best if chosen is None else chosen.unionByName(best)
+    if chosen is None:
+        return spark.createDataFrame([], f"seed_id {id_type}, item_id {id_type}, score double, rank int")
+    return chosen.select(F.col("_seed").alias("seed_id"), F.col(item_id).alias("item_id"), F.col("_rel").alias("score"), "rank")
 
 
 def uniform(*cols, seed: int):

@@ -59,9 +59,6 @@ def tags_with_group(tags: DataFrame, works: DataFrame, group: str) -> DataFrame:
     return tags.join(works.select("work_id", group), "work_id", "left")
 
 
-MAX_SUBSET_TAGS = 12
-
-
 def _tag_sets(tags: DataFrame, works: DataFrame, groups: list[str]) -> DataFrame:
     """``(grouping, grp, tags, size, n_works)``: distinct tag sets of each group with the number of works having them.
 
@@ -75,62 +72,37 @@ def _tag_sets(tags: DataFrame, works: DataFrame, groups: list[str]) -> DataFrame
     return counted.withColumn("size", F.size("tags"))
 
 
-def group_similarities(tags: DataFrame, works: DataFrame, groups: list[str], max_subset_tags: int = MAX_SUBSET_TAGS) -> DataFrame:
+def group_similarities(tags: DataFrame, works: DataFrame, groups: list[str]) -> DataFrame:
     """``(grouping, grp, works_count, pairs, sum_similarity)``: Jaccard summed over all work pairs of each group.
 
-    No pair is ever formed.  For sets A and B, with T running over the non-empty subsets of A and B's
-    common part,  |A and B| / |A or B| = sum over T of 1 / C(|A| + |B| - 1, |T|).  So it is enough to
-    count, per group, subset and set size, the works having the subset, and to combine the counts of
-    the sizes.  Work grows with the number of distinct tag sets; a hot group is spread over its subsets.
-    Sets of more than ``max_subset_tags`` tags have too many subsets: pairs with such a set are summed
-    from blocks of sets instead (see ``_large_set_sums``).
+    Works with equal tags are one row with their number.  The distinct sets of a group meet in blocks, so a large group is many
+    tasks, and each task emits a single number; sets of any size take the same way.
     """
     g = ["grouping", "grp"]
     sets = cut(_tag_sets(tags, works, groups), "tag-sets")
     totals = sets.groupBy(*g).agg(F.sum("n_works").alias("works_count")).filter("works_count >= 2")
-    small = sets.filter(F.col("size") <= max_subset_tags)
-    # subsets as bit masks 1 .. 2^size - 1
-    masks = F.expr("sequence(1, shiftleft(1, size) - 1)")
-    exploded = small.select(*g, "size", "n_works", "tags", F.explode(masks).alias("mask"))
-    subset = F.expr("filter(tags, (t, i) -> (shiftright(mask, i) & 1) = 1)")
-    counts = (
-        exploded.groupBy(*g, subset.alias("subset"), "size").agg(F.sum("n_works").alias("n"))
-        .groupBy(*g, "subset").agg(F.collect_list(F.struct("size", "n")).alias("by_size"))  # <= max_subset_tags entries
-    )
-    # ordered pairs (A, B) of different works: n_a * n_b, or n_a * (n_a - 1) within one size
-    term = F.expr("""
-        aggregate(by_size, 0D, (acc, a) -> acc + aggregate(by_size, 0D, (s, b) -> s +
-          a.n * (b.n - IF(a.size = b.size, 1, 0)) /
-          aggregate(sequence(1, size(subset)), 1D, (c, j) -> c * (a.size + b.size - 1 - size(subset) + j) / j)))
-    """)
-    sums = counts.groupBy(*g).agg((F.sum(term) / 2).alias("s"))
-    large = sets.filter(F.col("size") > max_subset_tags)
-    if not large.isEmpty():
-        sums = sums.unionByName(_large_set_sums(large, sets, max_subset_tags)).groupBy(*g).agg(F.sum("s").alias("s"))
-    return totals.join(sums, g, "left").select(
+    return totals.join(_set_sums(sets), g, "left").select(
         *g, "works_count", (F.col("works_count") * (F.col("works_count") - 1) / 2).cast("bigint").alias("pairs"),
         F.coalesce("s", F.lit(0.0)).alias("sum_similarity"),
     )
 
 
-def group_similarity(tags: DataFrame, works: DataFrame, group: str, max_subset_tags: int = MAX_SUBSET_TAGS) -> DataFrame:
+def group_similarity(tags: DataFrame, works: DataFrame, group: str) -> DataFrame:
     """The same for one grouping column: ``(grp, works_count, pairs, sum_similarity)``."""
-    return group_similarities(tags, works, [group], max_subset_tags).drop("grouping")
+    return group_similarities(tags, works, [group]).drop("grouping")
 
 
-def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: int = 2000) -> DataFrame:
-    """``(grouping, grp, s)``: Jaccard summed over the pairs with at least one large set, from blocks of distinct sets.
-
-    Each task sums one block of large sets against one block of all sets and emits a single number.
-    """
+def _set_sums(sets: DataFrame, block_rows: int = 2000) -> DataFrame:
+    """``(grouping, grp, s)``: Jaccard summed over the pairs of works, from blocks of distinct sets."""
     g = ["grouping", "grp"]
     sizes = sets.groupBy(*g).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("tags"), F.col("blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rest = ("tags", "size", "n_works")
-    left = large.join(sizes, g).select(*g, block.alias("lb"), every.alias("rb"), *rest)
+    # each pair of blocks once: the lower block on the left
+    left = sets.join(sizes, g).withColumn("lb", block).select(*g, "lb", F.explode(F.sequence("lb", F.col("blocks") - 1)).alias("rb"), *rest)
     # renewed columns, so that both sides may come from one frame
-    right = sets.join(sizes, g).select(*[F.col(c).alias(c) for c in g], every.alias("lb"), block.alias("rb"), *[F.col(c).alias(c) for c in rest])
+    right = sets.join(sizes, g).withColumn("b", block).select(
+        *[F.col(c).alias(c) for c in g], F.explode(F.sequence(F.lit(0), F.col("b"))).alias("lb"), F.col("b").alias("rb"), *[F.col(c).alias(c) for c in rest])
 
     def total(a, b):
         import numpy as np
@@ -149,15 +121,14 @@ def _large_set_sums(large: DataFrame, sets: DataFrame, limit: int, block_rows: i
 
         inter = (matrix(a["tags"]) @ matrix(b["tags"]).T).astype("float64")
         sa, sb = a["size"].to_numpy()[:, None], b["size"].to_numpy()[None, :]
-        jac = inter / (sa + sb - inter)
         na, nb = a["n_works"].to_numpy(float)[:, None], b["n_works"].to_numpy(float)[None, :]
-        same = (inter == sa) & (inter == sb)
-        # a pair of two large sets is met from both sides, a mixed one only once
-        weight = np.where(sb > limit, 0.5, 1.0)
-        s = (jac * weight * (na * nb - np.where(same, na, 0.0))).sum()
+        # inside one block every pair is met from both sides, and a set meets itself with similarity 1
+        inside = a["lb"].iloc[0] == a["rb"].iloc[0]
+        s = (inter / (sa + sb - inter) * na * nb).sum()
+        s = (s - na.sum()) / 2 if inside else s
         return pd.DataFrame({"grouping": [a["grouping"].iloc[0]], "grp": [a["grp"].iloc[0]], "s": [float(s)]})
 
-    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # uneven groups: more tasks than slots
     parts = cogroup_blocks(left, right, [*g, "lb", "rb"], tasks, total, "grouping string, grp string, s double")
     return parts.groupBy(*g).agg(F.sum("s").alias("s"))
 

@@ -172,9 +172,9 @@ def _(t: Tables):
     # queries and works share one vocabulary
     texts = cut(works.unionByName(q.select(F.concat(F.lit("q"), "query").alias("id"), "text")), "texts")
     vectors = cut(semantic.embed(texts, "id", "text"), "vectors")
-    qv = vectors.filter("id LIKE 'q%'").select(F.substring("id", 2, 200).alias("query"), "embedding")
-    wv = vectors.filter("id LIKE 'w%'").select(F.substring("id", 2, 20).cast("bigint").alias("work_id"), "embedding")
-    found = semantic.search(qv, wv, 10, 0.0, "query", "work_id").select("query", "work_id", "score")
+    qv = vectors.filter("id LIKE 'q%'").select(F.expr("substr(id, 2)").alias("query"), "embedding")
+    wv = vectors.filter("id LIKE 'w%'").select(F.expr("substr(id, 2)").cast("bigint").alias("work_id"), "embedding")
+    found = semantic.search(qv, wv, 10, query_id="query", item_id="work_id").select("query", "work_id", "score")
     meta = with_composers(t.works, t.composers, ["period"]).select("work_id", "key", "period", "work_type")
     return ev.evaluate_queries(found.join(meta, "work_id", "left").join(tags_of_works(t.tags, 5), "work_id", "left"), expected)
 

@@ -131,8 +131,7 @@ _CTES, _BODY = _greedy_sql(10)
 
 @query("v9_diverse", WCG, _BODY, ALL | _CTES)
 def _(t: Tables):
-    seeds = [r[0] for r in first_per_type(t.works).select("work_id").collect()]  # one per work type
-    return rerank.diverse(content(t)[0], seeds, 10)
+    return rerank.diverse(content(t)[0], first_per_type(t.works).select("work_id"), 10)
 
 
 def _greedy_vectors_sql(rounds: int, weight: float) -> tuple[dict[str, str], str]:
@@ -160,7 +159,7 @@ _VCTES, _VBODY = _greedy_vectors_sql(5, 0.75)
 def _(t: Tables):
     from ostinato.operators.blocks import cosine_block
 
-    seeds = [r[0] for r in t.embeddings.groupBy("label").agg(F.min("vec_id")).select("min(vec_id)").collect()]  # one per label
+    seeds = t.embeddings.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     return rerank.diverse(t.embeddings.select("vec_id", "embedding"), seeds, 5, 0.75, cosine_block("embedding"), "vec_id")
 
 

@@ -242,3 +242,24 @@ def test_embedding_quality_with_zero_vectors(spark):
     r = semantic.embedding_quality(df).first()
     assert (r["num_works"], r["min"], r["max"]) == (4, 0.0, 1.0)
     assert abs(r["mean"] - 1 / 6) < 1e-9 and abs(r["std"] - (1 / 6 - 1 / 36) ** 0.5) < 1e-9
+
+
+def test_diverse_for_many_seeds(spark):
+    """More seeds and items than one block: seeds and picks stay in frames."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, v array<double>")
+    rows = rerank.diverse(df, df.select("id"), 2, 0.5, blocks.cosine_block("v"), "id", seed_rows=250, block_rows=300).collect()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    first = np.round(0.5 * s, 6).argmax(axis=1)
+    assert len(rows) == 1800
+    assert all(r.item_id == first[r.seed_id] for r in rows if r["rank"] == 1)
+    for r in rows[:200]:
+        if r["rank"] == 2:
+            value = np.round(0.5 * s[r.seed_id] - 0.5 * (u @ u[first[r.seed_id]]), 6)
+            value[[r.seed_id, first[r.seed_id]]] = -9
+            assert r.item_id == value.argmax()

@@ -28,11 +28,23 @@ def test_group_similarity_equals_pairs(spark):
     t = spark.createDataFrame(tags, "work_id int, tag string")
     w = spark.createDataFrame(works, "work_id int, g string")
     want = brute(tags, works)
-    for limit in (12, 3, 1):  # below 12 the block form for long sets is used as well
-        got = {r.grp: (r.works_count, r.sum_similarity) for r in tm.group_similarity(t, w, "g", limit).collect()}
-        assert got.keys() == want.keys()
-        for g in want:
-            assert got[g][0] == want[g][0] and abs(got[g][1] - want[g][1]) < 1e-9
+    got = {r.grp: (r.works_count, r.sum_similarity) for r in tm.group_similarity(t, w, "g").collect()}
+    assert got.keys() == want.keys()
+    for g in want:
+        assert got[g][0] == want[g][0] and abs(got[g][1] - want[g][1]) < 1e-9
+
+
+def test_long_tag_sets(spark):
+    """Sets of 13 to 30 tags in many blocks."""
+    rng = random.Random(6)
+    works = [(i, "g") for i in range(40)]
+    tags = [(w, f"t{x}") for w, _g in works for x in rng.sample(range(40), rng.randrange(13, 31))]
+    t, w = spark.createDataFrame(tags, "work_id int, tag string"), spark.createDataFrame(works, "work_id int, g string")
+    (count, total), = brute(tags, works).values()
+    sets = tm._tag_sets(t, w, ["g"])
+    for rows in (5, 2000):
+        assert abs(tm._set_sums(sets, rows).first().s - total) < 1e-9
+    assert tm.group_similarity(t, w, "g").first().works_count == count
 
 
 def test_hot_tag_set(spark):
