@@ -341,7 +341,7 @@ def encoder(path: str, alpha: float, seed: int):
         offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32()))
 
-    return encode
+    return encode.asNondeterministic()  # else the optimizer puts the whole encoding into each use of the ids
 
 
 def decoder(path: str):
