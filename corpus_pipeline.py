@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.llm import decontaminate, pieces, private, quality, simhash
-from ostinato.llm.common import table
-from ostinato.session import cut
+from ostinato.llm.common import remove_path, stored, table
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, applied to documents. The copy of a stage is deleted when the next one is written; that of the last stays."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs, done = stored(stage(spark, docs, sf_dir), name)
+        if path:
+            remove_path(spark, path)
+        path = done
     return docs

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOWER_FROM, LOWER_TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from ostinato.session import fresh_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,13 @@ def with_fields(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != struct and c.lower() not in names], *[F.col(struct)[n].alias(n) for n in fields])
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A copy in the shared folder and its path, for callers that delete it when they are done."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate copy from the shared folder."""
     jvm = spark._jvm

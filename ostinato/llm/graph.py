@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import remove_path
-from ostinato.session import fresh_path
-
-
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+from ostinato.llm.common import remove_path, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,16 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     grows with the logarithm of the longest chain. Loops, repeated and null edges are dropped.
     """
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now, path = _stored(down, "edges")
+    now, path = stored(down, "edges")
     spark, last = edges.sparkSession, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large, large_path = _stored(large, "edges")
+        large, large_path = stored(large, "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt, nxt_path = _stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        nxt, nxt_path = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         remove_path(spark, path)
         remove_path(spark, large_path)
         now, path = nxt, nxt_path

@@ -5,6 +5,7 @@ import pytest
 import corpus_pipeline
 from ostinato.llm import pieces
 from ostinato.llm.queries import ORACLES, QUERIES
+from ostinato.session import cut
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,7 +25,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     kept, columns = [set(r.doc_id for r in docs.collect())], docs.columns
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.cut(stage(spark, docs, FOLDER), name)
+        docs = cut(stage(spark, docs, FOLDER), name)
         kept.append(set(r.doc_id for r in docs.select("doc_id").collect()))
         assert kept[-1] <= kept[-2]
         if name != corpus_pipeline.STAGES[-1][0]:
@@ -39,5 +40,5 @@ def test_stages(spark):
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.cut(stage(spark, docs, FOLDER), name)
+        docs = cut(stage(spark, docs, FOLDER), name)
         assert docs.count() == 0
