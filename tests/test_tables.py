@@ -151,3 +151,10 @@ def test_issue_finder(spark):
     assert sorted((r.type, r.work_id) for r in quality.find_issues(w).collect()) == [("generic_title", "4"), ("missing_title", "2"), ("missing_title", "3"), ("uuid_title", "1")]
     assert {r.type: r.n for r in quality.issue_counts(w).collect()}["duplicate_titles"] == 1
     assert F is not None
+
+
+def test_csv_line_breaks_only_when_asked(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('work_id,tag,source\n1,"a\nb",x\n2,c,y\n')
+    path = str(tmp_path / "t.csv")
+    assert {r.tag for r in tables.scan_csv(spark, path, schemas.PLAIN_TAGS, multi_line=True).collect()} == {"a\nb", "c"}
+    assert tables.scan_csv(spark, path, schemas.PLAIN_TAGS).count() == 3
