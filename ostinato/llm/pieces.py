@@ -26,40 +26,30 @@ from pyspark.sql import functions as F
 
 from ostinato.llm.common import text_or_empty, with_fields, worker_cached
 
-CHUNK, EDGES, LONG_UNIT = 1 << 17, 6 << 20, 40
+CHUNK, EDGES, LONG_UNIT, ROWS = 1 << 16, 3 << 20, 40, 512
 GOLDEN, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-class Model:
-    """Pieces of a model file; the blank mark is held as a blank."""
+class Texts:
+    """Bytes of the pieces of a model file, end to end; the blank mark is held as a blank."""
 
-    def __init__(self, path: str, alpha: float):
+    def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))]
-        scores = {i: sp.get_score(i) for i in plain}
-        ranked = all(s <= 0 and s == int(s) for s in scores.values())
+        texts = [b""] * n
         self.byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.texts = [b""] * n
         for b, i in self.byte_ids.items():
-            self.texts[i] = bytes([b])
-        self.prefixes: dict[str, tuple[int, float]] = {}
-        for i in plain:
-            piece = sp.id_to_piece(i).replace("▁", " ")
-            self.texts[i] = piece.encode("utf-8")
-            weight = (1.0 - scores[i]) ** -alpha if ranked else float(np.exp(alpha * scores[i]))
-            for k in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:k], (-1, 0.0))
-            self.prefixes[piece] = (i, weight)
-        self.byte_weight = float(1 + n) ** -alpha if ranked else float(np.exp(alpha * (min(scores.values()) - 10)))
-        self.table = PrefixTable(self.prefixes, float(1 + n) ** (alpha / 2) if ranked else 1.0)
-        self.singles = {p for p, (i, _) in self.prefixes.items() if len(p) == 1 and i >= 0}
-        apart = "".join(c for c in "\n\r\t" if c not in self.prefixes and not any(c in p for p in self.prefixes))
-        self.unit = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +")
-        self.blob = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
-        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+            texts[i] = bytes([b])
+        self.plain = {}
+        for i in range(n):
+            if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)):
+                piece = sp.id_to_piece(i).replace("▁", " ")
+                texts[i] = piece.encode("utf-8")
+                self.plain[i] = (piece, sp.get_score(i))
+        self.blob = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
 
     def text_of(self, ids: np.ndarray) -> bytes:
@@ -69,6 +59,25 @@ class Model:
         return self.blob[np.arange(total) + np.repeat(self.starts[ids] - ends + sizes, sizes)].tobytes()
 
 
+class Model(Texts):
+    """Pieces with their weights."""
+
+    def __init__(self, path: str, alpha: float):
+        super().__init__(path)
+        n, scores = len(self.sizes), [s for _, s in self.plain.values()]
+        ranked = all(s <= 0 and s == int(s) for s in scores)
+        self.prefixes: dict[str, tuple[int, float]] = {}
+        for i, (piece, score) in self.plain.items():
+            for k in range(1, len(piece)):
+                self.prefixes.setdefault(piece[:k], (-1, 0.0))
+            self.prefixes[piece] = (i, (1.0 - score) ** -alpha if ranked else float(np.exp(alpha * score)))
+        self.byte_weight = float(1 + n) ** -alpha if ranked else float(np.exp(alpha * (min(scores) - 10)))
+        self.table = PrefixTable(self.prefixes, float(1 + n) ** (alpha / 2) if ranked else 1.0)
+        self.singles = {p for p, (i, _) in self.prefixes.items() if len(p) == 1 and i >= 0}
+        apart = "".join(c for c in "\n\r\t" if c not in self.prefixes and not any(c in p for p in self.prefixes))
+        self.unit = re.compile(rf" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +")
+
+
 class PrefixTable:
     """Prefixes of pieces by two rolling hashes, for look-ups in arrays: the first finds a slot, the second must agree too.
 
@@ -337,9 +346,14 @@ def encoder(path: str, alpha: float, seed: int):
     def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
         lattices = worker_cached("pieces", token, lambda: Lattices(Model(path, alpha)))
         salted = mixed(np.array(keys.fill_null(0), dtype=np.int64).view(np.uint64) + np.uint64(seed) * STEP)
-        ids = encode_texts(lattices, texts.to_pylist(), salted)
+        ids: list = []
+        for at in range(0, len(texts), ROWS):
+            ids += encode_texts(lattices, texts.slice(at, ROWS).to_pylist(), salted[at:at + ROWS])
         offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), type=pa.int32()))
+        out = np.empty(offsets[-1], dtype=np.int32)
+        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            out[a:b], ids[k] = ids[k], None  # let go part by part: a batch is held once
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
 
     return encode.asNondeterministic()  # else the optimizer puts the whole encoding into each use of the ids
 
@@ -350,7 +364,7 @@ def decoder(path: str):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        model = worker_cached("piece_texts", token, lambda: Model(path, 1.0))
+        model = worker_cached("piece_texts", token, lambda: Texts(path))
         values = np.asarray(ids.values)
         offsets = np.asarray(ids.offsets)
         texts = (model.text_of(values[a:b])[1:].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:]))
