@@ -116,3 +116,29 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in [*range(101, 160), 200]}, 401: 400}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shared_hashes(rng, n, count, kept):
+    """Hashes of ``count`` unrelated pairs of long texts; ``kept`` of the second text's shingles come from the first."""
+    for _ in range(count):
+        a, b = rng.integers(0, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2)
+        yield a, np.concatenate([a[:int(kept * n)], b[int(kept * n):]])
+
+
+def test_sketches_of_very_long_texts(monkeypatch):
+    rng = np.random.default_rng(8)
+    multipliers = rng.integers(0, 1 << 31, simhash.SKETCH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    monkeypatch.setattr(simhash, "shingle_hashes", lambda hashes, size: [hashes])
+
+    def sketch(hashes):
+        return np.frombuffer(simhash.sketch(hashes, 5, multipliers)[1], dtype="<u2")
+
+    for n in (20_000, 120_000, 300_000):
+        alone, near = [], []
+        for a, b in shared_hashes(rng, n, 3, 0):
+            alone += [sketch(a), sketch(b)]
+        for a, b in shared_hashes(rng, n, 2, 0.9):  # similarity 0.9 / 1.1
+            near.append((sketch(a) == sketch(b)).mean())
+        assert max((alone[i] == alone[j]).mean() for i in range(6) for j in range(i)) < 0.03
+        assert all(0.66 < x < 0.96 for x in near)
+        assert len({x[i:i + 4].tobytes() for x in alone for i in range(0, 64, 4)}) == 6 * 16
