@@ -146,7 +146,11 @@ SKETCH, BAND, BANDS = 128, 4, 16
 #: Multiplier that spreads small and neighbouring numbers over the high bits.
 MIX = np.uint32(0x9E3779B1)
 #: Sketches estimate similarities to 0.035 (standard deviation); pairs go to the exact test from this much below.
-MARGIN = 0.12
+MARGIN, WIDE_MARGIN = 0.12, 0.2
+#: Members of a band's bucket up to which all its pairs are compared.
+SMALL_BUCKET = 16
+#: Cells in which shingles are counted to put the frequent ones last, and the most cells that a task reports.
+CELLS, TASK_CELLS = 1 << 20, 1 << 16
 
 
 def sketch(text: str, size: int, multipliers: np.ndarray) -> tuple[int, bytes]:
@@ -192,11 +196,74 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")).where(F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c"))).select("a", "b")
 
 
+def close_sketches(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The different pairs ``a < b`` whose sketches agree in a share of at least ``least``."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = distinct.select("node", "sketch")
+    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(-1, SKETCH) for v in (a, b))
+        return pd.Series((x == y).mean(axis=1) >= least)
+
+    return pairs.where(near("sa", "sb")).select("a", "b")
+
+
+def frequent_cells(sets: DataFrame) -> np.ndarray:
+    """About how many texts hold the shingles of each cell; CELLS numbers come to the driver. They only order shingles."""
+    def count(batches):
+        held = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            np.add.at(held, batch.column(0).flatten().to_numpy().view(np.uint32) % CELLS, 1)
+        cells = np.argpartition(held, -TASK_CELLS)[-TASK_CELLS:]
+        cells = cells[held[cells] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
+
+    import pyarrow as pa
+
+    counts = np.zeros(CELLS, dtype=np.int64)
+    rows = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return counts
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """All candidate pairs of ``node, root, shingles`` with different roots, by an exact prefix filter.
+
+    Shingles are put in one order, frequent ones last. Similar sets share a shingle among their first n - ceil(similarity * n) + 1, and
+    their first shared one leaves enough places after it on both sides. In a shingle's bucket those outside its most
+    common root meet all members, so texts that are linked already are not paired again.
+    """
+    cells = sets.sparkSession.sparkContext.broadcast(frequent_cells(sets))
+
+    @F.pandas_udf("array<int>")
+    def prefixes(shingles: pd.Series) -> pd.Series:
+        def first(x):
+            x = np.asarray(x, dtype=np.int32)
+            n = len(x) - int(np.ceil(similarity * len(x) - 1e-6)) + 1
+            return x[np.lexsort((x, cells.value[x.view(np.uint32) % CELLS]))[:n]]
+
+        return pd.Series([first(x) for x in shingles])
+
+    keys = cut(sets.select("node", "root", F.size("shingles").alias("n"), F.posexplode(prefixes("shingles")).alias("at", "key")), "prefixes")
+    roots = keys.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = roots.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "main")
+    mixed = cut(keys.join(mixed, "key"), "mixed")
+    one = mixed.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), (F.col("n") - F.col("at")).alias("left_a"), F.col("n").alias("na"))
+    two = mixed.select(F.col("key").alias("key_b"), F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("n") - F.col("at")).alias("left_b"), F.col("n").alias("nb"))
+    enough = F.least("left_a", "left_b") * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+    return one.join(two, (F.col("key") == F.col("key_b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of texts whose sets of shingles of ``size`` words are similar, by chains of similar pairs.
 
-    Texts with equal sketches count as copies and meet first. Each band's bucket compares its members with two of them, others
-    in each band, so work grows with the members and not with their pairs. Rows without id are in no group.
+    Texts with equal sketches count as copies and meet first. Small buckets of a band compare all pairs, large ones their members with
+    two of them. Members of large buckets that are not all in one group by then meet again by shared rare shingles
+    (``prefix_pairs``), so no similar pair of a bucket is left out. Rows without id are in no group.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     rows = sketches(rows, "_text", size).select("doc_id", F.xxhash64("_s.bits", "_s.sketch").alias("node"), "_s.bits", "_s.sketch")
@@ -205,28 +272,28 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
     keys = cut(distinct.select("node", F.explode(bands).alias("key")), "bands")
     order = F.xxhash64("node", "key")
-    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", order).alias("one"), F.max_by("node", order).alias("two")).where("n > 1")
-    leaders = leaders.select("key", F.explode(F.array("one", "two")).alias("a"))
-    stars = keys.join(leaders, "key").select("a", F.col("node").alias("b"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", order).alias("one"), F.max_by("node", order).alias("two")).where("m > 1")
+    members = cut(keys.join(buckets, "key"), "members")
+    large = members.where(F.col("m") > SMALL_BUCKET)
+    stars = large.select(F.explode(F.array("one", "two")).alias("a"), F.col("node").alias("b"))
+    few = members.where(F.col("m") <= SMALL_BUCKET)
+    left, right = few.select("key", F.col("node").alias("a")), few.select(F.col("key").alias("key_b"), F.col("node").alias("b"))
+    stars = stars.unionByName(left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b"))
     by_bits = distinct.groupBy("bits").agg(F.min("node").alias("node"))
     close = links(by_bits.select("bits"))
     close = close.join(by_bits.select(F.col("bits").alias("a"), F.col("node").alias("na")), "a").join(by_bits.select(F.col("bits").alias("b"), F.col("node").alias("nb")), "b")
     same_bits = distinct.join(by_bits.withColumnRenamed("node", "na"), "bits").select("na", F.col("node").alias("nb"))
     pairs = stars.unionByName(close.select(F.col("na").alias("a"), F.col("nb").alias("b"))).unionByName(same_bits.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = distinct.select("node", "sketch")
-    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    least = similarity - MARGIN
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(v), dtype="<u2").reshape(-1, SKETCH) for v in (a, b))
-        return pd.Series((x == y).mean(axis=1) >= least)
-
-    pairs = cut(pairs.where(near("sa", "sb")).select("a", "b"), "pairs")
-    roots = components(similar_pairs(pairs, shingle_sets(docs, pairs, distinct, doc_id, text, size), similarity))
+    pairs = cut(close_sketches(pairs, distinct, similarity - MARGIN), "pairs")
+    linked = cut(similar_pairs(pairs, shingle_sets(docs, pairs, distinct, doc_id, text, size), similarity), "similar")
+    roots = components(linked)
+    grouped = large.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    open_keys = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    again = cut(grouped.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "open")
+    if not again.isEmpty():
+        sets = shingle_sets(docs, again.select(F.col("node").alias("a"), F.col("node").alias("b")), distinct, doc_id, text, size)
+        more = cut(close_sketches(prefix_pairs(sets.join(again, "node"), similarity), distinct, similarity - WIDE_MARGIN), "pairs")
+        roots = components(linked.unionByName(similar_pairs(more, sets, similarity)))
     rooted = distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut(rooted.join(smallest, "root").select("node", "component_id"), "named")

@@ -142,3 +142,18 @@ def test_sketches_of_very_long_texts(monkeypatch):
         assert max((alone[i] == alone[j]).mean() for i in range(6) for j in range(i)) < 0.03
         assert all(0.66 < x < 0.96 for x in near)
         assert len({x[i:i + 4].tobytes() for x in alone for i in range(0, 64, 4)}) == 6 * 16
+
+
+def test_pairs_inside_families_of_one_template(spark):
+    rng = np.random.default_rng(12)
+    template, texts = [f"t{i}" for i in range(340)], []
+
+    def words(n):
+        return [f"w{int(x)}" for x in rng.integers(0, 10**9, n)]
+
+    for g in range(150):  # similarity of about 0.75 in the family and 0.85 in a pair
+        shared = words(28)
+        texts += [" ".join(template + shared + words(30)) for _ in range(2)]
+    assert jaccard(texts[0], texts[1]) > 0.8 > 0.78 > jaccard(texts[0], texts[2])
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_frame(spark, texts)).collect()}
+    assert groups == {i: i - i % 2 for i in range(len(texts))}
