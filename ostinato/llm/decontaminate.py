@@ -1,6 +1,7 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
+"""Benchmark decontamination with Aho-Corasick automata.
 
-All runs of ``window`` words of the benchmark items become patterns of one automaton, which scans each text once.
+All runs of ``window`` words of the benchmark items become patterns of one automaton, which scans each text once; a benchmark
+beyond ``MAX_WINDOW_BYTES`` is dealt to automata of bounded size by the hash of window and item.
 Patterns are whole words between blanks, so a match starts and ends at words; match ends lead back to word numbers and
 these to code-point offsets of the original text.
 
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.llm.common import text_or_empty, with_fields, worker_cached
+from ostinato.session import cut
 
 #: Words before folding: the contract's class, with A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -44,8 +46,8 @@ def windows_of(items, window: int) -> dict[str, tuple[int, list[str]]]:
     return {k: (n, sorted(ids)) for k, (n, ids) in found.items()}
 
 
-def scanner(windows: dict[str, tuple[int, list[str]]]):
-    """A function from a text to (n_words, n_hit, item ids, spans)."""
+def matcher(windows: dict[str, tuple[int, list[str]]]):
+    """A function from folded words to (ranges of hit words, item ids)."""
     import ahocorasick
     import numpy as np
 
@@ -57,30 +59,120 @@ def scanner(windows: dict[str, tuple[int, list[str]]]):
         owners.append(ids)
     if sizes:
         automaton.make_automaton()
-    words_at = re.compile(WORD)
+    sizes = np.array(sizes)
 
-    def scan(text: str):
-        words = folded_words(text)
-        if not words or not sizes:
-            return len(words), 0, [], []
+    def match(words: list[bytes]):
+        if not words or not len(sizes):
+            return [], []
         hay = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
         found = list(automaton.iter(hay))
         if not found:
-            return len(words), 0, [], []
+            return [], []
         blanks = np.flatnonzero(np.frombuffer(hay.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 32)
         ends, which = np.array(found, dtype=np.int64).T
         after = np.searchsorted(blanks, ends)
-        step = np.zeros(len(words) + 1, dtype=np.int64)
-        np.add.at(step, after - np.array(sizes)[which], 1)
-        np.add.at(step, after, -1)
-        hit = np.cumsum(step[:-1]) > 0
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-        place = [(m.start(), m.end()) for m in words_at.finditer(text)]
-        spans = [(place[a][0], place[b - 1][1]) for a, b in zip(edges[::2], edges[1::2])]
-        items = {i for w in set(which.tolist()) for i in owners[w]}
-        return len(words), int(hit.sum()), sorted(items), spans
+        return joined(zip((after - sizes[which]).tolist(), after.tolist())), sorted({i for w in set(which.tolist()) for i in owners[w]})
 
-    return scan
+    return match
+
+
+def joined(ranges) -> list[tuple[int, int]]:
+    """Overlapping and touching ranges as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+WORDS_AT = re.compile(WORD)
+
+
+def judged(text: str, n_words: int, ranges: list[tuple[int, int]], items: list[str]):
+    """(n_words, n_hit, item ids, spans) of a text with hit words."""
+    if not ranges:
+        return n_words, 0, [], []
+    place = [(m.start(), m.end()) for m in WORDS_AT.finditer(text)]
+    return n_words, sum(b - a for a, b in ranges), items, [(place[a][0], place[b - 1][1]) for a, b in ranges]
+
+
+def result_frame(rows) -> pd.DataFrame:
+    return pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows],
+                         "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows]})
+
+
+def scanned_at_once(docs: DataFrame, items: DataFrame, window: int, text: str) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    token = uuid.uuid4().hex
+
+    @F.pandas_udf(RESULT)
+    def scan_texts(texts: pd.Series) -> pd.DataFrame:
+        match = worker_cached("decontaminate", token, lambda: matcher(windows_of(sent.value, window)))
+        rows = []
+        for t in texts:
+            words = folded_words(t)
+            rows.append(judged(t, len(words), *match(words)))
+        return result_frame(rows)
+
+    return docs.withColumn("_scan", scan_texts(text_or_empty(text)))
+
+
+def item_windows(items: DataFrame, window: int) -> DataFrame:
+    """``pattern, n, item`` of all windows of all items."""
+    def cut_up(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = [w.decode("utf-8", "surrogatepass") for w in folded_words(text or "")]
+                n = min(window, len(words))
+                for at in range(0, len(words) - n + 1 if n else 0, 4096):
+                    made = [f" {' '.join(words[i:i + n])} " for i in range(at, min(at + 4096, len(words) - n + 1))]
+                    yield pa.RecordBatch.from_pydict({"pattern": made, "n": [n] * len(made), "item": [str(item)] * len(made)})
+
+    return items.mapInArrow(cut_up, "pattern string, n long, item string")
+
+
+def part_matches(sent):
+    token = uuid.uuid4().hex
+
+    @F.pandas_udf("ranges array<struct<a:int,b:int>>, items array<string>")
+    def match_texts(texts: pd.Series) -> pd.DataFrame:
+        match = worker_cached("decontaminate", token, lambda: matcher(sent.value))
+        out = [match(folded_words(t)) for t in texts]
+        return pd.DataFrame({"ranges": [[{"a": a, "b": b} for a, b in r[0]] for r in out], "items": [r[1] for r in out]})
+
+    return match_texts
+
+
+def scanned_in_parts(docs: DataFrame, items: DataFrame, window: int, text: str) -> DataFrame:
+    """The same with an automaton for each part of the windows, one after another; what the parts hit is united by document."""
+    spark = docs.sparkSession
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    windows = cut(item_windows(items, window).distinct(), "windows")
+    size = windows.agg(F.sum(F.octet_length("pattern") + F.octet_length("item"))).first()[0] or 0
+    parts = 1 + 2 * size // MAX_WINDOW_BYTES
+    windows = cut(windows.withColumn("part", F.pmod(F.xxhash64("pattern", "item"), F.lit(parts))), "windows")
+    hits = None
+    for part in range(parts):
+        found: dict[str, tuple[int, list[str]]] = {}
+        for pattern, n, item in windows.where(F.col("part") == part).select("pattern", "n", "item").collect():
+            found.setdefault(pattern, (n, []))[1].append(item)
+        sent = spark.sparkContext.broadcast(found)
+        new = cut(rows.select("_row", part_matches(sent)(text_or_empty(text)).alias("_m")).where(F.size("_m.items") > 0).select("_row", "_m.ranges", "_m.items"), "hits")
+        hits = new if hits is None else hits.unionByName(new)
+        sent.unpersist()
+    hits = hits.groupBy("_row").agg(F.flatten(F.collect_list("ranges")).alias("_ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_items"))
+
+    @F.pandas_udf(RESULT)
+    def unite(texts: pd.Series, ranges: pd.Series, names: pd.Series) -> pd.DataFrame:
+        return result_frame([judged(t, len(folded_words(t)), [] if r is None else joined((x["a"], x["b"]) for x in r), [] if i is None else sorted(i))
+                             for t, r, i in zip(texts, ranges, names)])
+
+    both = rows.join(hits, "_row", "left")
+    return both.withColumn("_scan", unite(text_or_empty(text), "_ranges", "_items")).drop("_row", "_ranges", "_items")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, text: str = "text",
@@ -88,23 +180,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13, shar
     """The documents with n_words, n_hit, items (sorted as strings), spans and contaminated.
 
     A word is hit if it lies in any occurrence of a window; a document is contaminated if ``share * n_hit >= n_words``
-    and there is a hit. The benchmark is checked to be small before it is sent to the workers.
+    and there is a hit. A benchmark too large for one automaton is dealt to several, which scan the texts in turn.
     """
-    spark = docs.sparkSession
+    items = items.select(item_id, item_text)
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size * window > MAX_WINDOW_BYTES:
-        raise ValueError(f"windows of about {size * window} bytes: split the benchmark and join the results of the parts")
-    sent = spark.sparkContext.broadcast([tuple(r) for r in items.select(item_id, item_text).collect()])
-    token = uuid.uuid4().hex
-
-    @F.pandas_udf(RESULT)
-    def scan_texts(texts: pd.Series) -> pd.DataFrame:
-        scan = worker_cached("decontaminate", token, lambda: scanner(windows_of(sent.value, window)))
-        rows = [scan(t) for t in texts]
-        return pd.DataFrame({"n_words": [r[0] for r in rows], "n_hit": [r[1] for r in rows], "items": [r[2] for r in rows],
-                             "spans": [[{"start": a, "end": b} for a, b in r[3]] for r in rows]})
-
-    found = with_fields(docs.withColumn("_scan", scan_texts(text_or_empty(text))), "_scan", FIELDS)
+    scan = scanned_at_once if size * window <= MAX_WINDOW_BYTES else scanned_in_parts
+    found = with_fields(scan(docs, items, window, text), "_scan", FIELDS)
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 

@@ -51,3 +51,14 @@ def test_empty_tables(spark):
     docs, none = docs_frame(spark, ["a b"]), spark.createDataFrame([], "item_id long, text string")
     assert [r.n_hit for r in decontaminate.find_contamination(docs, none).collect()] == [0]
     assert decontaminate.find_contamination(docs.limit(0), none).count() == 0
+
+
+def test_benchmark_beyond_one_automaton(spark, monkeypatch):
+    docs = with_odd_rows(docs_frame(spark, TEXTS), spark)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.find_contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_WINDOW_BYTES", 600)
+    found = decontaminate.find_contamination(docs, items)
+    assert sorted(map(str, found.collect())) == whole
+    for r in decontaminate.digest(found).collect():
+        assert tuple(r)[1:] == brute(None if r.doc_id is None else TEXTS[r.doc_id], ITEMS), r.doc_id
