@@ -1,8 +1,9 @@
 """Licence scans, in column expressions and joins only.
 
-Lines and paragraphs of every file are compared with licence templates by the cosine of sparse TF-IDF vectors (a token counts once
-a text). Document frequencies come from all files and are kept for the tokens of templates only; other tokens weigh most. A part that
-shares none of a template's heaviest tokens cannot reach the least cosine, so most parts are passed over by one regex.
+Lines and paragraphs of every file, and windows around their anchors, are compared with licence templates by the cosine of sparse TF-IDF
+vectors (a token counts once a text). Document frequencies of all tokens come from all files; weights have a ceiling, so that they depend on
+the share of files that hold a token and not on the number of files. A part that shares none of a template's heaviest
+tokens (anchors) cannot reach the least cosine, so most parts are passed over by one regex.
 
 A file whose name is that of a licence file, or whose whole text is a template, licenses its directory. Files without a header of their own
 inherit from the nearest directory above them, by equi-joins of distinct directories with their ancestors.
@@ -48,6 +49,10 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 TOKEN = "[a-z0-9]+"
+#: Tokens in fewer than one of so many files weigh most.
+RARE = 1024
+#: Tokens on either side of an anchor that a window holds.
+WINDOWS = (4, 8, 16)
 
 
 def template_tokens(text: str) -> list[str]:
@@ -60,8 +65,9 @@ class Weights:
     def __init__(self, files: int, counts: dict[str, int], templates: dict[str, list[str]]):
         self.rows = [(name, template_tokens(t)) for name, texts in sorted(templates.items()) for t in texts]
         self.vocabulary = sorted({t for _, tokens in self.rows for t in tokens})
-        self.idf = {t: math.log((files + 1) / (counts.get(t, 0) + 1)) + 1 for t in self.vocabulary}
-        self.most = math.log(files + 1) + 1
+        self.files = files
+        self.most = math.log(min(files + 1, RARE)) + 1
+        self.idf = {t: min(math.log((files + 1) / (counts.get(t, 0) + 1)) + 1, self.most) for t in self.vocabulary}
 
     def norm(self, tokens: list[str]) -> float:
         return math.sqrt(sum(self.idf[t] ** 2 for t in tokens))
@@ -93,8 +99,11 @@ def weigh(files: DataFrame, text: str = "text", templates: dict[str, list[str]]
     return Weights(counts.get("", 0), counts, templates)
 
 
-def cosines(part: Column, w: Weights) -> Column:
-    """The best template of a part of text: struct (score, license), null without tokens."""
+def cosines(part: Column, w: Weights, others: Column | None = None) -> Column:
+    """The best template of a part of text: struct (score, license), null without tokens.
+
+    ``others`` is the sum of squared weights of the tokens outside the templates; without it they weigh most.
+    """
     idf2 = F.create_map(*[x for t in w.vocabulary for x in (F.lit(t), F.lit(w.idf[t] ** 2))])
     rows = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(w.norm(tokens)).alias("norm"), F.array(*[F.lit(t) for t in tokens]).alias("tokens"))
                      for name, tokens in w.rows])
@@ -103,10 +112,10 @@ def cosines(part: Column, w: Weights) -> Column:
         return F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + F.element_at(idf2, t))
 
     known = F.array_intersect(part, F.array(*[F.lit(t) for t in w.vocabulary]))
-    one = F.struct(known.alias("known"), F.size(part).alias("n"))
+    one = F.struct(known.alias("known"), ((F.size(part) - F.size(known)) * F.lit(w.most ** 2) if others is None else others).alias("others"))
 
     def scored(p: Column) -> Column:
-        norm = F.sqrt(mass(p["known"]) + (p["n"] - F.size(p["known"])) * F.lit(w.most ** 2))
+        norm = F.sqrt(mass(p["known"]) + p["others"])
         return F.transform(rows, lambda t: F.struct(
             (-F.round(mass(F.array_intersect(p["known"], t["tokens"])) / (norm * t["norm"]), 6)).alias("minus"), t["license"].alias("license")))
 
@@ -114,17 +123,50 @@ def cosines(part: Column, w: Weights) -> Column:
     return F.when(F.size(part) > 0, F.struct((-best["minus"]).alias("score"), best["license"].alias("license")))
 
 
-def headers(files: DataFrame, w: Weights, text: str = "text", least: float = 0.6) -> DataFrame:
+def parts_of(text: Column, anchors: list[str]) -> Column:
+    """Token sets of the lines and paragraphs that hold an anchor, and of windows around each anchor; empty for most texts."""
+    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
+    parts = F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: p.contains("\n")))
+    lines = F.transform(F.filter(parts, lambda p: p.rlike(anchor)), tokens_of)
+
+    def windows(words: Column) -> Column:
+        at = F.filter(F.transform(words, lambda t, i: F.when(t.isin(anchors), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(at, lambda i: F.array(*[
+            F.array_distinct(F.slice(words, F.greatest(i - k, F.lit(0)) + 1, i + k + 1 - F.greatest(i - k, F.lit(0)))) for k in WINDOWS])))
+
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    around = F.flatten(F.transform(F.array(words), windows))
+    return F.when(text.rlike(anchor), F.array_distinct(F.concat(lines, around))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def judged(parts: DataFrame, files: DataFrame, w: Weights, text: str, least: float) -> DataFrame:
+    """``part, best`` of the different parts that reach ``least``; tokens outside the templates weigh by their counts over all files."""
+    vocabulary = F.array(*[F.lit(t) for t in w.vocabulary])
+    words = files.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty(text)), "[^a-z0-9]+"))).alias("t"))
+    common = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") + 1) * RARE > F.lit(w.files + 1))
+    weight = F.coalesce(F.log(F.lit(float(w.files + 1)) / (F.col("n") + 1)) + 1, F.lit(w.most))
+    others = parts.select("part", F.explode(F.array_except("part", vocabulary)).alias("t")).join(common, "t", "left")
+    others = others.groupBy("part").agg(F.sum(F.least(weight, F.lit(w.most)) ** 2).alias("others"))
+    best = parts.join(others, "part", "left").select("part", ranked(cosines(F.col("part"), w, F.coalesce("others", F.lit(0.0)))).alias("best"))
+    return cut(best.where(F.col("best.score") >= least), "judged")
+
+
+def headers(files: DataFrame, w: Weights, text: str = "text", least: float = 0.6, keep_text: bool = True) -> DataFrame:
     """Adds ``_header`` (score, license; null below ``least``) and ``_whole``, the same for the whole text."""
     t = text_or_empty(text)
-    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(w.anchors(least))})(?![a-z0-9])"
-    parts = F.concat(F.split(t, "\n"), F.filter(F.split(t, r"\n[ \t]*\n"), lambda p: p.contains("\n")))
-    parts = F.when(t.rlike(anchor), F.transform(F.filter(parts, lambda p: p.rlike(anchor)), tokens_of)).otherwise(F.array().cast("array<array<string>>"))
-    files = files.withColumn("_parts", parts)
-    best = F.array_max(F.transform(F.array_distinct("_parts"), lambda p: ranked(cosines(p, w))))
-    files = files.withColumn("_header", F.when(best["score"] >= least, best))
-    whole = F.when(F.col("_header").isNotNull(), ranked(cosines(tokens_of(t), w)))
-    return files.withColumn("_whole", F.when(whole["score"] >= 0.98, whole)).drop("_parts")
+    found = files.withColumn("_row", F.monotonically_increasing_id()).withColumn("_parts", parts_of(t, w.anchors(least)))
+    # beyond a cosine of 0.98 the other tokens, of a weight of 1 at least, sum to less than 0.0413 of a template's squared norm
+    longest = max(len(tokens) + int(0.0413 * w.norm(tokens) ** 2) + 1 for _, tokens in w.rows)
+    whole = F.when(F.size("_parts") > 0, tokens_of(t))
+    found = found.withColumn("_all", F.filter(F.array(whole), lambda a: a.isNotNull() & (F.size(a) <= longest)))
+    if not keep_text:
+        found = found.drop(text)
+    found = cut(found, "parts")
+    parts = found.where(F.size("_parts") > 0).select(F.explode(F.concat("_parts", "_all")).alias("part")).distinct()
+    best = judged(cut(parts, "different"), files, w, text, least)
+    own = found.select("_row", F.explode("_parts").alias("part")).join(best, "part").groupBy("_row").agg(F.max("best").alias("_header"))
+    whole = found.select("_row", F.explode("_all").alias("part")).join(best, "part").where(F.col("best.score") >= 0.98).select("_row", F.col("best").alias("_whole"))
+    return found.drop("_parts", "_all").join(own, "_row", "left").join(whole, "_row", "left").drop("_row")
 
 
 def ranked(best: Column) -> Column:
@@ -147,9 +189,7 @@ def ancestors(folder: Column) -> Column:
 def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.6, keep_text: bool = True, templates: dict | None = None) -> DataFrame:
     """The files with ``license``, ``basis`` ('file', 'header', 'inherited' or null), ``license_score`` and ``license_folder``."""
     w = weigh(files, text, templates)
-    found = headers(files, w, text, least)
-    if not keep_text:
-        found = found.drop(text)
+    found = headers(files, w, text, least, keep_text)
     clean = F.array_join(F.filter(F.split(F.coalesce(F.col(path), F.lit("")), "/"), lambda x: x != ""), "/")
     found = found.withColumn("_clean", clean)
     found = cut(found.withColumn("_folder", parent(F.col("_clean"))), "headers")

@@ -54,3 +54,23 @@ def test_anchors_lose_nothing():
     anchors = set(w.anchors(0.6))
     for _, tokens in w.rows:
         assert w.norm([t for t in tokens if t not in anchors]) < 0.6 * w.norm(tokens)
+
+
+def test_same_licence_at_any_number_of_files(spark):
+    lines = ["Licensed under the Apache License, Version 2.0. foo bar baz", "Copyright 2020 Jane Doe. Licensed under the Apache License, Version 2.0."]
+    df = spark.createDataFrame([(t,) for t in lines], "text string")
+    share = {"license": 100, "licensed": 200, "under": 20, "the": 2, "version": 50, "0": 10, "2": 8, "apache": 500}
+    found = []
+    for files in (10**4, 10**6, 10**8):
+        w = licenses.Weights(files, {t: files // n for t, n in share.items()}, licenses.TEMPLATES)
+        found.append([(r.text, r._header and (r._header.license, round(r._header.score, 2))) for r in licenses.headers(df, w).orderBy("text").collect()])
+    assert found[0] == found[1] == found[2] and all(h and h[0] == "Apache-2.0" for _, h in found[0])
+
+
+def test_common_words_weigh_little(spark):
+    rows = [("Alpha beta gamma delta",)] * 30 + [("Alpha beta",)] * 30 + [("x",)] * 4
+    df = spark.createDataFrame(rows, "text string")
+    w = licenses.weigh(df)
+    parts = spark.createDataFrame([(["mit", "license", "alpha", "beta"],), (["mit", "license", "qq", "rr"],)], "part array<string>")
+    got = {r.part[2]: r.best.score for r in licenses.judged(parts, df, w, "text", 0.0).collect()}
+    assert got["alpha"] > got["qq"] + 0.1
