@@ -1,6 +1,6 @@
 """Licence scans, in column expressions and joins only.
 
-Lines and paragraphs of every file, and windows around their anchors, are compared with licence templates by the cosine of sparse TF-IDF
+Lines and paragraphs of every file, and their sentences, are compared with licence templates by the cosine of sparse TF-IDF
 vectors (a token counts once a text). Document frequencies of all tokens come from all files; weights have a ceiling, so that they depend on
 the share of files that hold a token and not on the number of files. A part that shares none of a template's heaviest
 tokens (anchors) cannot reach the least cosine, so most parts are passed over by one regex.
@@ -51,8 +51,6 @@ LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][^/]*)?$"
 TOKEN = "[a-z0-9]+"
 #: Tokens in fewer than one of so many files weigh most.
 RARE = 1024
-#: Tokens on either side of an anchor that a window holds.
-WINDOWS = (4, 8, 16)
 
 
 def template_tokens(text: str) -> list[str]:
@@ -123,20 +121,25 @@ def cosines(part: Column, w: Weights, others: Column | None = None) -> Column:
     return F.when(F.size(part) > 0, F.struct((-best["minus"]).alias("score"), best["license"].alias("license")))
 
 
-def parts_of(text: Column, anchors: list[str]) -> Column:
-    """Token sets of the lines and paragraphs that hold an anchor, and of windows around each anchor; empty for most texts."""
-    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
-    parts = F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: p.contains("\n")))
-    lines = F.transform(F.filter(parts, lambda p: p.rlike(anchor)), tokens_of)
+def parts_of(text: Column, w: Weights, least: float) -> Column:
+    """Token sets of the lines, paragraphs and sentences that hold an anchor and may reach ``least``; empty for most texts.
 
-    def windows(words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda t, i: F.when(t.isin(anchors), i)), lambda i: i.isNotNull())
-        return F.flatten(F.transform(at, lambda i: F.array(*[
-            F.array_distinct(F.slice(words, F.greatest(i - k, F.lit(0)) + 1, i + k + 1 - F.greatest(i - k, F.lit(0)))) for k in WINDOWS])))
+    The shared squared weight is at most that of a part's template tokens, and other tokens weigh 1 at least: this bounds the cosine.
+    """
+    anchor = rf"(?i)(?<![a-z0-9])(?:{'|'.join(w.anchors(least))})(?![a-z0-9])"
+    blocks = F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t]*\n"), lambda p: p.contains("\n")))
+    blocks = F.filter(blocks, lambda p: p.rlike(anchor))
+    sentences = F.filter(F.flatten(F.transform(blocks, lambda p: F.split(p, r"(?<=[.;!?])\s+"))), lambda p: p.rlike(anchor))
+    parts = F.transform(F.array_distinct(F.concat(blocks, sentences)), tokens_of)
+    idf2 = F.create_map(*[x for t in w.vocabulary for x in (F.lit(t), F.lit(w.idf[t] ** 2))])
+    smallest = min(w.norm(tokens) ** 2 for _, tokens in w.rows if tokens)
+
+    def possible(p: Column) -> Column:
+        known = F.array_intersect(p, F.array(*[F.lit(t) for t in w.vocabulary]))
+        mass = F.aggregate(known, F.lit(1e-6), lambda acc, t: acc + F.element_at(idf2, t))
+        return mass >= F.greatest(F.lit(smallest), mass + F.size(p) - F.size(known)) * F.lit(least ** 2)
 
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    around = F.flatten(F.transform(F.array(words), windows))
-    return F.when(text.rlike(anchor), F.array_distinct(F.concat(lines, around))).otherwise(F.array().cast("array<array<string>>"))
+    return F.when(text.rlike(anchor), F.array_distinct(F.filter(parts, possible))).otherwise(F.array().cast("array<array<string>>"))
 
 
 def judged(parts: DataFrame, files: DataFrame, w: Weights, text: str, least: float) -> DataFrame:
@@ -154,7 +157,7 @@ def judged(parts: DataFrame, files: DataFrame, w: Weights, text: str, least: flo
 def headers(files: DataFrame, w: Weights, text: str = "text", least: float = 0.6, keep_text: bool = True) -> DataFrame:
     """Adds ``_header`` (score, license; null below ``least``) and ``_whole``, the same for the whole text."""
     t = text_or_empty(text)
-    found = files.withColumn("_row", F.monotonically_increasing_id()).withColumn("_parts", parts_of(t, w.anchors(least)))
+    found = files.withColumn("_row", F.monotonically_increasing_id()).withColumn("_parts", parts_of(t, w, least))
     # beyond a cosine of 0.98 the other tokens, of a weight of 1 at least, sum to less than 0.0413 of a template's squared norm
     longest = max(len(tokens) + int(0.0413 * w.norm(tokens) ** 2) + 1 for _, tokens in w.rows)
     whole = F.when(F.size("_parts") > 0, tokens_of(t))
