@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, sharding, simhash, token_counts, topk
+from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, sharding, simhash, token_counts, topk, vector_codes
 from ostinato.llm.common import table
 
 import corpus_pipeline  # isort: skip
@@ -108,3 +108,10 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Documents after all stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op11_vector_codes", vector_codes.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors in 16 parts of 64 entries, with errors a row and a label."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.digest(*vector_codes.compress(vectors))
