@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, sharding, simhash, token_counts, topk, vector_codes
+from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, repair, sharding, simhash, token_counts, topk, vector_codes
 from ostinato.llm.common import table
 
 import corpus_pipeline  # isort: skip
@@ -115,3 +115,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of all vectors in 16 parts of 64 entries, with errors a row and a label."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
     return vector_codes.digest(*vector_codes.compress(vectors))
+
+
+@query("op12_conversation_repair", repair.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, damaged and repaired with the fewest edits."""
+    return repair.digest(table(spark, folder, "conversations"))
