@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, repair, sharding, simhash, token_counts, topk, vector_codes
+from ostinato.llm import chat, decontaminate, licenses, pieces, private, quality, repair, sharding, simhash, token_counts, topk, vector_codes, warc
 from ostinato.llm.common import table
+from ostinato.session import fresh_path
 
 import corpus_pipeline  # isort: skip
 
@@ -121,3 +122,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, damaged and repaired with the fewest edits."""
     return repair.digest(table(spark, folder, "conversations"))
+
+
+@query("op13_warc", warc.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives with revisit records, and read back."""
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.resolved(warc.read(spark, path, with_payload=False))
