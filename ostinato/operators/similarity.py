@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.vectors import sparse_dot
-from ostinato.operators.blocks import CHUNK, cogroup_blocks, top_items, top_within
+from ostinato.operators.blocks import CHUNK, top_items, top_within
 from ostinato.operators.features import Weights
 from ostinato.operators.shape import ranked
 from ostinato.session import cut
@@ -282,61 +282,3 @@ def all_edges(
     own = F.slice(F.filter("l", lambda x: x["dst"] != F.col("src")), 1, k)
     return j.select("src", F.posexplode(own).alias("rank", "x")).select(
         "src", F.col("x.dst").alias("dst"), F.col("x.score").alias("score"), (F.col("rank") + 1).alias("rank"))
-
-
-# --- approximate neighbours -------------------------------------------------------------------------------
-
-def lsh_neighbours(
-    vectors: DataFrame, k: int = 10, vector: str = "embedding", id_col: str = "vec_id", bucket_length: float = 0.5,
-    tables: int = 8, seed: int = 42, block_rows: int = 2000,
-) -> DataFrame:
-    """Approximate cosine neighbours ``(src, dst, score, rank)`` by random projections on unit vectors.
-
-    Vectors meet in the buckets they share.  A bucket is cut into blocks and scored block against
-    block with only the best rows kept, so a full bucket is many tasks and emits no pairs.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from ostinato.functions.vectors import norm
-    from ostinato.operators.blocks import _best, matrix
-
-    n = norm(F.col(vector))
-    unit = F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
-    data = vectors.select(F.col(id_col).alias("id"), unit.alias("u"))
-    vec = data.withColumn("v", array_to_vector("u"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(vec)
-    hashed = model.transform(vec).select("id", "u", F.posexplode("h").alias("t", "b"))
-    hashed = cut(hashed.select("id", "u", "t", vector_to_array("b")[0].cast("long").alias("b")), "lsh")
-    sizes = hashed.groupBy("t", "b").agg(F.count("*").alias("n")).filter("n > 1").select(
-        "t", "b", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = lambda: F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = hashed.join(sizes, ["t", "b"]).withColumn("_o", own)
-    left = placed.select("t", "b", F.col("_o").alias("lb"), every().alias("rb"), "id", "u")
-    right = placed.select(
-        *[F.col(c).alias(c) for c in ("t", "b")], every().alias("lb"), F.col("_o").alias("rb"), *[F.col(c).alias(c) for c in ("id", "u")])
-    id_type = vectors.schema[id_col].dataType.simpleString()
-
-    def score(a, c):
-        import numpy as np
-        import pandas as pd
-
-        if a.empty or c.empty:
-            return pd.DataFrame({"src": a["id"].iloc[:0], "dst": a["id"].iloc[:0], "score": np.array([], float)})
-        ia, ic = a["id"].to_numpy(), c["id"].to_numpy()
-        r, col, v = _best(matrix(a["u"]) @ matrix(c["u"]).T, ic, k, DIGITS, ia[:, None] == ic[None, :])
-        return pd.DataFrame({"src": ia[r], "dst": ic[col], "score": v})
-
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cogroup_blocks(left, right, ["t", "b", "lb", "rb"], tasks, score, f"src {id_type}, dst {id_type}, score double")
-    once = found.groupBy("src", "dst").agg(F.max("score").alias("score"))
-    return ranked(once, ["src"], [F.desc("score"), F.asc("dst")], k)
-
-
-def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
-    """One row: shared edges over exact edges."""
-    hit = exact.select("src", "dst").withColumn("_e", F.lit(1)).join(
-        approx.select("src", "dst").withColumn("_a", F.lit(1)), ["src", "dst"], "left")
-    return hit.agg(F.count("*").alias("edges"), F.count("_a").alias("found"), (F.count("_a") / F.count("*")).alias("recall"))

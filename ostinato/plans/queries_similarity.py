@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions.fixed_values import CATALOG_FLAGS
 from ostinato.operators import features as ft
-from ostinato.operators import rerank, similarity
+from ostinato.operators import neighbours, rerank, similarity
 from ostinato.operators.catalog import first_per_type
 from ostinato.plans.common import DOT_SQL, FEATURES_SQL, LISTS_SQL, content, embedding_edges
 from ostinato.plans.registry import query
@@ -163,15 +163,46 @@ def _(t: Tables):
     return rerank.diverse(t.embeddings.select("vec_id", "embedding"), seeds, 5, 0.75, cosine_block("embedding"), "vec_id")
 
 
-@query("v14_approximate_neighbours")
+def _near_sql(tables: int = 4, probes: int = 3, bucket: int = 256, k: int = 10) -> dict[str, str]:
+    """The hashes, probes and sketches of the approximate search, spelled out; buckets above the cap do not occur here."""
+    bit = "(CAST('0x' || substr(md5(concat(d, ':', j // 128)), CAST(1 + (j % 128) // 4 AS INT), 1) AS INT) >> CAST(3 - j % 4 AS INT)) & 1"
+    own = f"CAST(list_sum(list_transform(range(bits), lambda i: (CASE WHEN p[t * bits + i + 1] > 0 THEN 1 ELSE 0 END) << CAST(i AS INT))) AS BIGINT)"
+    doubt = f"list_transform(list_slice(list_sort(list_transform(range(bits), lambda i: {{'m': abs(p[t * bits + i + 1]), 'i': i}})), 1, {probes - 1}), lambda x: x.i)"
+    return {
+        "e": LISTS_SQL["e"],
+        "sizes": f"""SELECT n, dims, bits, CASE WHEN bits > 0 THEN {tables} ELSE 1 END AS tables FROM (SELECT count(*) AS n, max(len(v)) AS dims,
+ CASE WHEN count(*) > {bucket} THEN CAST(floor(log2(count(*) / {bucket})) AS BIGINT) ELSE 0 END AS bits FROM e)""",
+        "proj": f"SELECT j, list(2 * ({bit}) - 1 ORDER BY d) AS r FROM (SELECT unnest(range(dims)) AS d FROM sizes), (SELECT unnest(range(tables * bits + 1024)) AS j FROM sizes) GROUP BY j",
+        "steps": "SELECT vec_id, list_transform(v, lambda x: floor(x / m * 1048576 + 0.5)) AS q FROM (SELECT vec_id, v, list_max(list_transform(v, lambda x: abs(x))) AS m FROM e)",
+        "projected": "SELECT vec_id, list(list_inner_product(q, CAST(r AS DOUBLE[])) ORDER BY j) AS p FROM steps, proj GROUP BY vec_id",
+        "sketch": """SELECT vec_id, CAST(array_to_string(list_transform(list_slice(p, tables * bits + 1, tables * bits + 1024), lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS BIT) AS s
+ FROM projected, sizes""",
+        "keyed": f"SELECT vec_id, t, key, doubt FROM (SELECT vec_id, t, coalesce({own}, 0) AS key, coalesce({doubt}, []) AS doubt FROM projected, sizes, (SELECT unnest(range(tables)) AS t FROM sizes))",
+        "asked": "SELECT vec_id, t, unnest(list_concat([key], list_transform(doubt, lambda i: xor(key, CAST(1 AS BIGINT) << CAST(i AS INT))))) AS key FROM keyed",
+        "met": "SELECT DISTINCT a.vec_id AS src, b.vec_id AS dst FROM asked a JOIN keyed b ON a.t = b.t AND a.key = b.key AND a.vec_id <> b.vec_id",
+        "smp": "SELECT s FROM sketch ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 1024",
+        "lim": f"SELECT vec_id, list_sort(list(bit_count(xor(a.s, b.s))))[least({4 * k}, count(*))] AS h FROM sketch a, smp b GROUP BY vec_id",
+        "near": f"""SELECT src, dst, round(list_cosine_similarity(ea.v, eb.v), 6) AS score FROM met JOIN sketch a ON a.vec_id = src JOIN sketch b ON b.vec_id = dst JOIN lim ON lim.vec_id = src
+ JOIN e ea ON ea.vec_id = src JOIN e eb ON eb.vec_id = dst WHERE bit_count(xor(a.s, b.s)) <= h""",
+        "approx": f"SELECT src, dst, score, CAST(row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS INT) AS rank FROM near QUALIFY rank <= {k}",
+    }
+
+
+NEAR_SQL = _near_sql()
+
+
+@query("v14_approximate_neighbours", "", "SELECT src, dst, score, rank FROM approx", NEAR_SQL)
 def _(t: Tables):
-    return similarity.lsh_neighbours(t.embeddings, 10)
+    return neighbours.neighbours(t.embeddings, 10)
 
 
-@query("v14_recall")
+@query("v14_recall", "", """, exact AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM e a JOIN e b ON a.vec_id <> b.vec_id
+ QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 6) DESC, b.vec_id) <= 10)
+SELECT count(*) AS edges, count(p.src) AS found, round(count(p.src) / greatest(count(*), 1), 6) AS recall, round((SELECT count(*) FROM met) / max(n * (n - 1.0)), 6) AS met_share,
+ round((SELECT count(*) FROM near) / max(n * (n - 1.0)), 6) AS scored_share FROM exact x LEFT JOIN approx p ON x.src = p.src AND x.dst = p.dst, sizes""", NEAR_SQL)
 def _(t: Tables):
     exact = embedding_edges(t).select(F.col("list_id").alias("src"), F.col("work_id").alias("dst"))
-    return similarity.recall(similarity.lsh_neighbours(t.embeddings, 10), exact)
+    return neighbours.recall(t.embeddings, exact, 10)
 
 
 @query("v15_group_ranges", WCG, """SELECT 'composer' AS feature_group, CAST(count(DISTINCT name) AS BIGINT) AS n_features FROM feat UNION ALL SELECT 'period', count(DISTINCT period) FROM feat
