@@ -9,13 +9,13 @@ from pyspark.sql.window import Window
 from ostinato.operators.shape import one_row
 
 
-def trailing_counts(events: DataFrame, window_seconds: int, client: str = "user_id", ts: str = "ts", name: str = "recent") -> DataFrame:
+def trailing_counts(events: DataFrame, window_seconds: float, client: str = "user_id", ts: str = "ts", name: str = "recent") -> DataFrame:
     """At each event the client's events in ``(ts - window, ts]``, this one included.
 
     Time is cut into slots of the window's length and each event is also shown to the next slot, so
     the ordered pass runs per client and slot: a client with very many events is many groups.
     """
-    w = window_seconds * 1_000_000
+    w = int(window_seconds * 1_000_000)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     slot = F.floor(us / w)
     shown = F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot + 1).alias("slot"), F.lit(False).alias("own"))))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
 from ostinato.operators.monitor import trailing_counts
+from ostinato.streaming.state import FRAME, keyed_rows, keyed_state, order_key
 
 
 def spend(times, rate: float, period: float, tokens: float | None, last: float | None, keys=None, current=None):
@@ -42,7 +44,7 @@ def independent_runs(requests: DataFrame, period: float, client: str, ts: str) -
     """
     w = int(period * 1_000_000)
     us = F.unix_micros(F.col(ts))
-    c = trailing_counts(requests, int(period), client, ts, "_recent").withColumn("_slot", F.floor(us / w))
+    c = trailing_counts(requests, period, client, ts, "_recent").withColumn("_slot", F.floor(us / w))
     c = c.withColumn("_start", F.when(F.col("_recent") == 1, 1).otherwise(0))
     slots = c.groupBy(client, "_slot").agg(F.sum("_start").alias("_n"))
     before = Window.partitionBy(client).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,38 +82,71 @@ def replay(requests: DataFrame, rate: int = 60, period: float = 60, client: str
 
 
 def limit_stream(requests: DataFrame, rate: int = 60, period: float = 60, client: str = "client_id", ts: str = "ts",
-                 tie: str = "event_id", watermark: str = "10 minutes", idle_seconds: float = 3600) -> DataFrame:
-    """The same decisions as a stream; a bucket not used for ``idle_seconds`` is dropped.
+                 tie: str = "event_id", watermark: str = "10 minutes", idle_seconds: float = 3600, slot_seconds: float = 60) -> DataFrame:
+    """The same decisions as a stream; a bucket not used for ``idle_seconds``, and long enough to be full again, is dropped.
 
-    A request is decided once the watermark has passed it, so requests may arrive in any order inside the watermark; until
-    then it waits in its client's state.
+    A request is decided once the watermark has passed its time slot, so requests may arrive in any order inside the watermark. Until then it waits in
+    its client's state: requests are kept slot by slot in parts that are written once and read once; the bucket is two numbers.
     """
     ct, tt = requests.schema[client].dataType.simpleString(), requests.schema[tie].dataType.simpleString()
-
-    def step(key, batches, state):
-        import pandas as pd
-
-        passed = state.getCurrentWatermarkMs() * 1000
-        times, ties, tokens, last = (list(state.get[0]), list(state.get[1]), *state.get[2:]) if state.exists else ([], [], None, None)
-        if not state.hasTimedOut:
-            for rows in batches:
-                times += rows["us"].tolist()
-                ties += rows[tie].tolist()
-        waiting = sorted(zip(times, ties), key=lambda r: (r[0], r[1] is None, r[1]))
-        ready = [r for r in waiting if r[0] <= passed]
-        waiting = waiting[len(ready):]
-        a, m, w, tokens, last = spend([r[0] / 1e6 for r in ready], rate, period, tokens, last)
-        idle_us = int(((last or 0) + idle_seconds) * 1e6)
-        if waiting or (last is not None and idle_us > passed):
-            state.update(([r[0] for r in waiting], [r[1] for r in waiting], None if tokens is None else float(tokens), None if last is None else float(last)))
-            state.setTimeoutTimestamp(max((waiting[0][0] if waiting else idle_us) // 1000, passed // 1000) + 1)
-        elif state.exists:
-            state.remove()
-        if ready:
-            yield pd.DataFrame({client: [key[0]] * len(ready), "ts_us": [r[0] for r in ready], tie: [r[1] for r in ready], "allowed": a, "remaining": m,
-                                "retry_after": pd.array(w, dtype="Int64")})
-
-    src = requests.withWatermark(ts, watermark).withColumn("us", F.unix_micros(ts))
-    return src.groupBy(client).applyInPandasWithState(
-        step, f"`{client}` {ct}, ts_us bigint, `{tie}` {tt}, allowed boolean, remaining int, retry_after bigint",
-        f"times array<bigint>, ties array<{tt}>, tokens double, last double", "append", "EventTimeTimeout")
+    tied = order_key(tt)
+    width, idle = int(slot_seconds * 1_000_000), int(max(idle_seconds, period) * 1_000_000)
+
+    class Bucket(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.bucket = handle.getValueState("bucket", "tokens double, last double")
+            self.slots = handle.getMapState("slots", "slot bigint", "parts int")
+            self.parts = handle.getMapState("parts", "slot bigint, part int", "us array<bigint>, ids array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for frame in rows:
+                frame = frame.assign(slot=frame["us"] // width)
+                for slot, own in frame.groupby("slot", sort=False):
+                    slot = int(slot)
+                    n = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
+                    if n == 0:
+                        self.handle.registerTimer(-(-(slot + 1) * width // 1000))
+                    for at in range(0, len(own), FRAME):
+                        part = own.iloc[at:at + FRAME]
+                        self.parts.updateValue((slot, n), (part["us"].tolist(), part["id"].tolist()))
+                        n += 1
+                    self.slots.updateValue((slot,), (n,))
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted((slot, n) for (slot,), (n,) in self.slots.iterator())
+            due = [(slot, n) for slot, n in waiting if (slot + 1) * width <= passed]
+            tokens, last = self.bucket.get() if self.bucket.exists() else (None, None)
+            for slot, n in due:
+                found = []
+                for i in range(n):
+                    found += zip(*self.parts.getValue((slot, i)))
+                    self.parts.removeKey((slot, i))
+                self.slots.removeKey((slot,))
+                found.sort(key=lambda r: (r[0], tied(r[1])))
+                for at in range(0, len(found), FRAME):
+                    ready = found[at:at + FRAME]
+                    a, m, w, tokens, last = spend([r[0] / 1e6 for r in ready], rate, period, tokens, last)
+                    yield pd.DataFrame({"k": pd.Series([key[0]] * len(ready), dtype=object), "ts_us": [r[0] for r in ready], "id": pd.Series([r[1] for r in ready], dtype=object),
+                                        "allowed": a, "remaining": m, "retry_after": pd.array(w, dtype="Int64")})
+            if last is None:
+                return
+            unused = int(last * 1_000_000) + idle
+            if unused <= passed and len(due) == len(waiting):
+                self.bucket.clear()
+            elif due:
+                self.bucket.update((float(tokens), float(last)))
+                self.handle.registerTimer(max(unused, passed) // 1000 + 1)
+
+        def close(self) -> None:
+            pass
+
+    keyed_state(requests.sparkSession)
+    rows = keyed_rows(requests.withWatermark(ts, watermark), client, ts, tie)
+    found = rows.groupBy("k").transformWithStateInPandas(
+        Bucket(), "k string, ts_us bigint, id string, allowed boolean, remaining int, retry_after bigint", "append", "EventTime")
+    return found.select(F.col("k").cast(ct).alias(client), "ts_us", F.col("id").cast(tt).alias(tie), "allowed", "remaining", "retry_after")

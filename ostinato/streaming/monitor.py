@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from ostinato.streaming.state import FRAME, keyed_rows, keyed_state
 
 
 def alert_stream(
@@ -13,45 +16,55 @@ def alert_stream(
     """Stream of ``(client, ts_us, event_id)``: events at which the client's count in ``(ts - window, ts]``
     reaches the threshold.
 
-    An event is judged once the watermark has passed it, when all events before it are known; so the arrival order inside the
-    watermark does not matter, and the result is that of the batch form.  A client's state is its events newer than the
-    watermark less one window.  Rows behind the watermark are dropped (and counted by Spark).
+    Time is cut into slots of the window's length, and state belongs to a client and slot: the events of the slot and of the one before,
+    appended as they come and read once, when the watermark has passed the slot and all its events are known. So the arrival order inside the
+    watermark does not matter, the result is that of the batch form, nothing is rewritten batch by batch, and a busy client is many
+    keys. Rows behind the watermark are dropped (and counted by Spark).
     """
     id_type = events.schema[client].dataType.simpleString()
     ev_type = events.schema[event_id].dataType.simpleString()
     width = int(window_seconds * 1_000_000)
 
-    def step(key, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        passed = state.getCurrentWatermarkMs() * 1000
-        times, ids, done = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], -1)
-        if not state.hasTimedOut:
-            for rows in batches:
-                times += rows["us"].tolist()
-                ids += rows[event_id].tolist()
-        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i] is None, ids[i]))
-        ids, us = [ids[i] for i in order], np.array([times[i] for i in order], dtype=np.int64)
-        final = (us > done) & (us <= passed)
-        # events at the same instant count for each other
-        count = np.searchsorted(us, us, side="right") - np.searchsorted(us, us - width, side="right")
-        out = np.flatnonzero(final & (count >= threshold))
-        keep = np.flatnonzero(us > passed - width)
-        if len(keep):
-            state.update((us[keep].tolist(), [ids[i] for i in keep], max(done, passed)))
-            waiting = us[us > passed]
-            next_ms = int(waiting[0]) // 1000 if len(waiting) else int(us[-1] + width) // 1000
-            state.setTimeoutTimestamp(max(next_ms, passed // 1000) + 1)
-        elif state.exists:
-            state.remove()
-        if len(out):
-            yield pd.DataFrame({client: [key[0]] * len(out), "ts_us": us[out], event_id: [ids[i] for i in out]})
-
-    src = events.withWatermark(ts, watermark).withColumn("us", F.unix_micros(ts))
-    return src.groupBy(client).applyInPandasWithState(
-        step, f"`{client}` {id_type}, ts_us bigint, `{event_id}` {ev_type}", f"times array<bigint>, ids array<{ev_type}>, done bigint",
-        "append", "EventTimeTimeout")
+    class Alerts(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.parts = handle.getListState("parts", "us array<bigint>, ids array<string>")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for frame in rows:
+                for at in range(0, len(frame), FRAME):
+                    part = frame.iloc[at:at + FRAME]
+                    self.parts.appendValue((part["us"].tolist(), part["id"].tolist()))
+            self.handle.registerTimer(-(-(key[1] + 1) * width // 1000))
+            yield from ()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import numpy as np
+            import pandas as pd
+
+            times, ids = [], []
+            for us, own in self.parts.get():
+                times.append(np.array(us, dtype=np.int64))
+                ids += own
+            self.parts.clear()
+            us = np.concatenate(times) if times else np.array([], np.int64)
+            order = np.argsort(us, kind="stable")
+            us = us[order]
+            # events at the same instant count for each other
+            count = np.searchsorted(us, us, side="right") - np.searchsorted(us, us - width, side="right")
+            out = np.flatnonzero((us >= key[1] * width) & (count >= threshold))
+            for at in range(0, len(out), FRAME):
+                here = out[at:at + FRAME]
+                yield pd.DataFrame({"k": pd.Series([key[0]] * len(here), dtype=object), "ts_us": us[here], "id": pd.Series([ids[order[i]] for i in here], dtype=object)})
+
+        def close(self) -> None:
+            pass
+
+    keyed_state(events.sparkSession)
+    slot = F.floor(F.unix_micros(ts) / width)
+    rows = keyed_rows(events.withWatermark(ts, watermark), client, ts, event_id, F.explode(F.array(slot, slot + 1)).alias("slot"))
+    found = rows.groupBy("k", "slot").transformWithStateInPandas(Alerts(), "k string, ts_us bigint, id string", "append", "EventTime")
+    return found.select(F.col("k").cast(id_type).alias(client), "ts_us", F.col("id").cast(ev_type).alias(event_id))
 
 
 def repeated_violation_stream(violations: DataFrame, threshold: int = 5, window_minutes: float = 10, **kw) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyed upsert and delete streams to a current-state table."""
+"""Keyed state of streams, and keyed upsert and delete streams to a current-state table."""
 
 from __future__ import annotations
 
@@ -9,6 +9,31 @@ from pyspark.sql import functions as F
 from ostinato.operators.interactions import latest_per_key
 
 
+#: Rows that a state entry or an emitted frame holds at most.
+FRAME = 10_000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in the store that knows lists, maps and timers; those restarted keep the one of their checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+
+def keyed_rows(stream: DataFrame, client: str, ts: str, event_id: str, *more: Column) -> DataFrame:
+    """Columns k (client) and id as text, the time, us, and more; rows without a time belong to no window and go.
+
+    Whole numbers beside nulls reach Python as floats, as keys and inside arrays too: so both pass as text.
+    """
+    rows = stream.where(F.col(ts).isNotNull())
+    return rows.select(F.col(client).cast("string").alias("k"), F.col(ts), F.col(event_id).cast("string").alias("id"), F.unix_micros(ts).alias("us"), *more)
+
+
+def order_key(type_name: str):
+    """Order of ids given as text, nulls first as in a sort."""
+    number = int if type_name in ("tinyint", "smallint", "int", "bigint") else float if type_name in ("float", "double") or type_name.startswith("decimal") else str
+    return lambda x: (x is not None, number(x) if x is not None else 0)
+
+
 class KeyedTable:
     """Current rows per key, kept as a base and per-batch deltas.
 

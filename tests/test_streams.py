@@ -149,3 +149,44 @@ def test_migration(spark):
 def test_latency_ratings(spark):
     df = spark.createDataFrame([("search_fetch", 800.0), ("search_fetch", 2000.0), ("save_action", 301.0), ("other", 3001.0), ("api_x", 1000.0), ("api_x", 3000.0)], "n string, v double")
     assert [r[0] for r in df.select(it.latency_rating(F.col("n"), F.col("v"))).collect()] == ["good", "needs-improvement", "needs-improvement", "poor", "needs-improvement", "poor"]
+
+
+def test_bucket_is_not_forgotten_before_its_period(spark, tmp_path):
+    """Pauses longer than the idle time and shorter than the period, over many micro-batches."""
+    rng = random.Random(7)
+    rows = sorted((rng.randrange(0, 40) * 3700.0 + rng.randrange(0, 50), rng.choice("abc")) for _ in range(160))
+    df = events(spark, rows)
+    decided = {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in limiter.replay(df, 2, 21600).collect()}
+    assert {i: a for i, (a, _, _) in decided.items()} == twin(rows, 2, 21600)
+    write_parts(df, str(tmp_path / "in"), parts=8)
+    last = df.limit(1).select(*[(F.lit(CLOSE) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in df.dtypes])
+    last.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = limiter.limit_stream(ingest.file_stream(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger=1), 2, 21600)
+    ingest.drain(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == decided
+
+
+def test_periods_below_and_between_seconds(spark):
+    rng = random.Random(8)
+    rows = sorted((round(rng.uniform(0, 30), 3), rng.choice("ab")) for _ in range(300))
+    df = events(spark, rows)
+    for rate, period in ((1, 0.5), (2, 2.5)):
+        assert {r.event_id: r.allowed for r in limiter.replay(df, rate, period).collect()} == twin(rows, rate, period)
+
+
+def test_hot_client_in_one_batch(spark, tmp_path):
+    """A client with most of the rows: its state is many parts, its answers many frames, and equal to the batch forms."""
+    n = 120_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 2000).alias("ts"),
+                               F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("client_id"))
+    df = df.union(spark.createDataFrame([(None, CLOSE, None)], "event_id bigint, ts timestamp, client_id string"))
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    source = ingest.file_stream(spark, str(tmp_path / "in"), df.schema)
+    ingest.drain(monitor.alert_stream(source, 1000, 30), str(tmp_path / "out"), str(tmp_path / "cp"))
+    want = batch.alerts(df.filter("event_id IS NOT NULL"), 1000, 30, "client_id").agg(F.count("*"), F.sum("event_id")).first()
+    assert tuple(spark.read.parquet(str(tmp_path / "out")).agg(F.count("*"), F.sum("event_id")).first()) == tuple(want) and want[0] > 80_000
+    ingest.drain(limiter.limit_stream(source, 100, 10), str(tmp_path / "out2"), str(tmp_path / "cp2"))
+    figures = [F.count("*"), F.count_if("allowed"), F.sum(F.when(F.col("allowed"), F.col("event_id")))]
+    want = limiter.replay(df.filter("event_id IS NOT NULL"), 100, 10).agg(*figures).first()
+    assert tuple(spark.read.parquet(str(tmp_path / "out2")).agg(*figures).first()) == tuple(want)
