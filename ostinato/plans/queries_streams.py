@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.plans.queries_interactions import _TRAIL, EVENT_SQL, analytics
-from ostinato.plans.registry import query
+from ostinato.plans.registry import ORACLES, query
 from ostinato.plans.views import Tables
 from ostinato.session import fresh_path
 from ostinato.streaming import ingest, limiter, monitor
@@ -95,3 +95,15 @@ def _(t: Tables):
     out = drained(t, ingest.count_stream(closed(t, event_stream(t))), "windows")
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
+
+@query("r8_session_stream", "", ORACLES["r8_session_counts"])
+def _(t: Tables):
+    out = drained(t, ingest.session_stream(closed(t, event_stream(t)), "2 hours"), "sessions")
+    return out.filter("user_id IS NOT NULL").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("r8_funnel_stream", "", ORACLES["r8_funnel"])
+def _(t: Tables):
+    e = event_stream(t).withColumn("work_id", F.get_json_object("props", "$.k").cast("bigint"))
+    found = drained(t, ingest.funnel_stream(closed(t, e), horizon="40 days", then_watermark="1 hour"), "funnel")
+    return ingest.funnel_figures(found).withColumn("conversion_rate", F.round("conversion_rate", 6))

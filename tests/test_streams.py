@@ -190,3 +190,34 @@ def test_hot_client_in_one_batch(spark, tmp_path):
     figures = [F.count("*"), F.count_if("allowed"), F.sum(F.when(F.col("allowed"), F.col("event_id")))]
     want = limiter.replay(df.filter("event_id IS NOT NULL"), 100, 10).agg(*figures).first()
     assert tuple(spark.read.parquet(str(tmp_path / "out2")).agg(*figures).first()) == tuple(want)
+
+
+def shuffled(spark, df, path, delays, parts=4):
+    """Files in order of arrival: each row comes late by its delay, inside the watermark; a closing row ends the log."""
+    late = F.unix_micros("ts") + F.element_at(F.array(*[F.lit(x) for x in delays]), (F.col("event_id") % len(delays) + 1).cast("int")) * 1_000_000
+    write_parts(df.withColumn("arrival", late), path, "arrival", parts)
+    spark.read.parquet(path).limit(1).select(*[(F.lit(CLOSE) if c == "ts" else F.lit(None).cast(t)).alias(c) for c, t in [*df.dtypes, ("arrival", "bigint")]]).coalesce(1).write.mode("append").parquet(path)
+    return ingest.file_stream(spark, path, df.schema, maxFilesPerTrigger=1)
+
+
+def test_session_and_funnel_streams_equal_batch(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, T0 + dt.timedelta(seconds=rng.randrange(0, 5 * 86400)), rng.choice([1, 2, 3, None]), rng.choice([7, 8, 9]), rng.choice(["view", "purchase", "click"])) for i in range(260)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, work_id bigint, event_type string")
+    s = shuffled(spark, df, str(tmp_path / "in"), [0, 500, 120, 590, 30])
+    ingest.drain(ingest.session_stream(s, "1 hour"), str(tmp_path / "s"), str(tmp_path / "s-cp"))
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "s")).collect() if r.start < CLOSE}
+    assert got == {tuple(r) for r in it.session_counts(df, "1 hour").collect()} and len(got) > 100
+    ingest.drain(ingest.funnel_stream(s, horizon="20 days", then_watermark="15 minutes"), str(tmp_path / "f"), str(tmp_path / "f-cp"))
+    found = spark.read.parquet(str(tmp_path / "f"))
+    assert tuple(ingest.funnel_figures(found).first()) == tuple(it.funnel(df).first())
+    assert found.filter("then_ts < first_ts").isEmpty() and found.count() == found.distinct().count()
+
+
+def test_funnel_horizon(spark, tmp_path):
+    rows = [(0, 0, "view"), (1, 1, "purchase"), (2, 9, "purchase"), (3, 12, "view"), (4, 20, "click")]
+    df = spark.createDataFrame([(i, T0 + dt.timedelta(days=d), 1, 1, k) for i, d, k in rows], "event_id bigint, ts timestamp, user_id bigint, work_id bigint, event_type string")
+    s = shuffled(spark, df, str(tmp_path / "in"), [0])
+    ingest.drain(ingest.funnel_stream(s, horizon="3 days"), str(tmp_path / "f"), str(tmp_path / "f-cp"))
+    got = sorted((r.first_ts.day, r.then_ts and r.then_ts.day) for r in spark.read.parquet(str(tmp_path / "f")).collect())
+    assert got == [(1, 2), (13, None)]
