@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ostinato.operators.shape import ranked
+from ostinato.session import cut
 
 BLOCK_ROWS = 8192
 #: Tasks of one pass; beyond it a task walks several block pairs, so that the driver's task table stays small.
@@ -110,20 +112,29 @@ def top_items(
 
 
 def top_within(
-    items: DataFrame, key: str, k: int, score: Callable, item_id: str, digits: int = 6, block_rows: int = 1024,
+    items: DataFrame, keys: list[str], k: int, score: Callable, item_id: str, digits: int = 6, block_rows: int = 1024,
+    queries: DataFrame | None = None,
 ) -> DataFrame:
-    """For each item the k best items with the same key, itself included: ``(item_id as query_id, item_id, score, rank)``.
+    """For each query the k best items with the same keys, itself included: ``(query_id, item_id, score, rank)``.
 
-    A large key is cut into blocks, so it is many tasks; each task returns at most k rows per item.
+    Queries are some rows of the items (by default all).  A large class is cut into blocks, so it is many tasks; each task
+    returns at most k rows per query.
     """
+    queries = items if queries is None else queries
     id_type = items.schema[item_id].dataType.simpleString()
-    sizes = items.groupBy(key).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
-    own = F.pmod(F.xxhash64(item_id), F.col("_blocks")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    cols = [c for c in items.columns if c != key]
-    placed = items.join(sizes, key)
-    left = placed.select(key, own.alias("_lb"), every.alias("_rb"), *cols)
-    right = placed.select(F.col(key).alias(key), every.alias("_lb"), own.alias("_rb"), *[F.col(c).alias(c) for c in cols])
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+
+    shared = [f"_k{i}" for i in range(len(keys))]
+    both = cut(sizes(queries, "_lbs").join(sizes(items, "_rbs"), shared), "classes")
+    tasks = both.agg(F.coalesce(F.sum(F.col("_lbs").cast("long") * F.col("_rbs")), F.lit(0))).first()[0]
+    same = reduce(lambda a, b: a & b, [F.col(f"_k{i}").eqNullSafe(F.col(c)) for i, c in enumerate(keys)])
+
+    def placed(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))
+        cols = [F.col(c).alias(c) for c in [*shared, *df.columns]]  # renewed, as both sides come from the same frames
+        return df.join(both, same).select(F.pmod(F.xxhash64(item_id), F.col(n_own)).cast("int").alias(own), every.alias(other), *cols)
 
     def block(q, i):
         import numpy as np
@@ -135,8 +146,8 @@ def top_within(
         r, c, v = _best(score(q, i), i[item_id].to_numpy(), k, digits)
         return pd.DataFrame({"query_id": q[item_id].to_numpy()[r], "item_id": i[item_id].to_numpy()[c], "score": v})
 
-    tasks = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # uneven keys: more tasks than slots
-    partial = cogroup_blocks(left, right, [key, "_lb", "_rb"], tasks, block, f"query_id {id_type}, item_id {id_type}, score double")
+    partial = cogroup_blocks(placed(queries, "_lb", "_lbs", "_rb", "_rbs"), placed(items, "_rb", "_rbs", "_lb", "_lbs"), [*shared, "_lb", "_rb"], tasks, block,
+                             f"query_id {id_type}, item_id {id_type}, score double")
     return ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
 
 

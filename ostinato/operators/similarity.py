@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -228,35 +230,65 @@ def profiles(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return members, distinct
 
 
-def other_composer_bound(w: Weights) -> float:
-    """No two works of different composers have a larger cosine.
+#: Works are compared class by class: those that share all columns of a class, one class after another.
+CLASSES = (("name",), ("period", "work_type"), ("period",), ("work_type",), ("country",))
 
-    Let B be the most they can share in the categories, N the squared norm of all categories, and r
-    the most that key, tags and flags can give: the cosine is at most (B + r) / (N + r).
+
+def shared_most(tested: tuple[tuple[str, ...], ...], w: Weights, power: int = 2) -> float:
+    """The most of the categories' weight that two works share which share no tested class."""
+    parts = _one_hot(w)
+    columns = sorted({c for _, cols in parts for c in cols})
+    best = 0.0
+    for n in range(len(columns) + 1):
+        for same in combinations(columns, n):
+            if not any(set(t) <= set(same) for t in tested):
+                best = max(best, sum(x**power for x, cols in parts if set(cols) <= set(same)))
+    return best
+
+
+def class_bound(tested: tuple[tuple[str, ...], ...], metric: str, w: Weights, rest: float) -> float:
+    """No two works that share no tested class have a better score.
+
+    Let N be the squared norm of all categories, B the most of it that they can share, and ``rest`` the largest squared norm of
+    key, tags and flags of any work: their cosine is at most (B + rest) / (N + rest).  Distances are at least those of the
+    categories that they do not share.
     """
     parts = _one_hot(w)
-    total = sum(x * x for x, _ in parts)
-    shared = sum(x * x for x, cols in parts if "name" not in cols)
-    rest = w.key**2 + w.tags**2 + 8 * w.catalog**2
-    return (shared + rest) / (total + rest)
+    if metric == "manhattan":
+        return 1 / (1 + 2 * (sum(x for x, _ in parts) - shared_most(tested, w, 1)))
+    total, shared = sum(x * x for x, _ in parts), shared_most(tested, w)
+    if metric == "euclidean":
+        return 1 / (1 + (2 * (total - shared)) ** 0.5)
+    return shared + rest if metric == "dot" else (shared + rest) / (total + rest)
 
 
-def near_profiles(distinct: DataFrame, k: int, metric: str, w: Weights) -> DataFrame:
+def near_profiles(distinct: DataFrame, k: int, metric: str, w: Weights, classes: tuple[tuple[str, ...], ...] = CLASSES) -> DataFrame:
     """The k best profiles of each profile: ``(profile_id, item_id, score, rank)``.
 
-    For the cosine, profiles are first compared inside their composer.  A list whose last score
-    beats everything other composers can reach is final; only the others are compared with all.
+    Profiles are first compared inside their composer, then inside wider classes.  A list whose last score beats everything
+    outside the classes so far is final; only the others go on, and only those still open at the end are compared with all.
     """
     score = content_block(w, metric)
-    if metric != "cosine":
-        return top_items(distinct, distinct, k, score, "profile_id", "profile_id", DIGITS)
-    inside = cut(top_within(distinct.withColumn("_composer", F.col("name")), "_composer", k, score, "profile_id", DIGITS), "inside")
-    line = other_composer_bound(w) + 10.0**-DIGITS
-    final = inside.filter((F.col("rank") == k) & (F.col("score") > line)).select("query_id")
-    open_ = cut(distinct.join(final, distinct["profile_id"] == final["query_id"], "left_anti"), "open")
-    rest = top_items(open_, distinct, k, score, "profile_id", "profile_id", DIGITS)
-    done = inside.join(final, "query_id", "left_semi").withColumnRenamed("query_id", "profile_id")
-    return done.unionByName(rest)
+    total = sum(x * x for x, _ in _one_hot(w))
+    rest = (distinct.agg(F.max("norm2")).first()[0] or total) - total
+    open_, known, done = distinct, None, []
+    for i, keys in enumerate(classes):
+        found = top_within(distinct, list(keys), k, score, "profile_id", DIGITS, queries=None if i == 0 else open_).select("query_id", "item_id", "score")
+        if known is not None:
+            found = ranked(known.unionByName(found).distinct(), ["query_id"], [F.desc("score"), F.asc("item_id")], k).select("query_id", "item_id", "score")
+        best = cut(found, "best")
+        line = class_bound(classes[:i + 1], metric, w, rest) + 10.0**-DIGITS
+        full = best.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("last"))
+        final = full.filter((F.col("n") == k) & (F.col("last") > line)).select("query_id")
+        done.append(best.join(final, "query_id", "left_semi"))
+        known = best.join(final, "query_id", "left_anti")
+        open_ = cut(open_.join(final, open_["profile_id"] == final["query_id"], "left_anti"), "open")
+        if open_.isEmpty():
+            break
+    else:
+        done.append(top_items(open_, distinct, k, score, "profile_id", "profile_id", DIGITS).select(F.col("profile_id").alias("query_id"), "item_id", "score"))
+    lists = reduce(lambda a, b: a.unionByName(b), done)
+    return ranked(lists, ["query_id"], [F.desc("score"), F.asc("item_id")], k).withColumnRenamed("query_id", "profile_id")
 
 
 def all_edges(

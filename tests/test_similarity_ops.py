@@ -230,9 +230,53 @@ def test_large_composer_is_final_without_others(spark, catalogue):
     fast = similarity.near_profiles(distinct, 6, "cosine", Weights())
     full = blocks.top_items(distinct, distinct, 6, similarity.content_block(), "profile_id", "profile_id")
     assert sorted(map(tuple, fast.select(full.columns).collect())) == sorted(map(tuple, full.collect()))
-    inside = blocks.top_within(distinct.withColumn("c", F.col("name")), "c", 6, similarity.content_block(), "profile_id", block_rows=30)
-    line = similarity.other_composer_bound(Weights())
-    assert inside.filter((F.col("rank") == 6) & (F.col("score") > line)).count() > 0
+    inside = blocks.top_within(distinct, ["name"], 6, similarity.content_block(), "profile_id", block_rows=30)
+    line = similarity.class_bound((("name",),), "cosine", Weights(), 9.25)
+    assert abs(line - 37 / 62) < 1e-9 and inside.filter((F.col("rank") == 6) & (F.col("score") > line)).count() > 0
+
+
+@pytest.fixture(scope="module")
+def small_composers(spark):
+    """900 works of 400 composers, one to four works each, in few periods and types."""
+    rng = random.Random(17)
+    names = [(i, f"c{i}", f"p{rng.randrange(6)}", f"n{rng.randrange(9)}") for i in range(400)]
+    works = [(i, rng.randrange(400), f"t{i}", rng.choice(["Sonata", "Mass", "Trio", "Suite", None]), rng.choice(["Op. 1", "BWV 2", None]),
+              rng.choice(["C major", "A minor", None])) for i in range(900)]
+    w = spark.createDataFrame(works, "work_id int, composer_id int, title string, work_type string, catalog_number string, key string")
+    c = spark.createDataFrame(names, "composer_id int, name string, period string, country string")
+    g = spark.createDataFrame([(i, rng.choice(["dark", "solo", "calm"]), "m") for i in range(900) if i % 3], "work_id int, tag string, source string")
+    return cut(feature_rows(w, c, tag_tfidf(w, g)[0]))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan", "dot"])
+def test_small_composers_are_settled_inside_wider_classes(spark, small_composers, metric, monkeypatch):
+    """Lists that one composer cannot fill are settled by period and type: exact, and with a part of all pairs."""
+    _members, distinct = similarity.profiles(small_composers, 6)
+    distinct = cut(distinct.drop("ids"))
+    full = blocks.top_items(distinct, distinct, 6, similarity.content_block(Weights(), metric), "profile_id", "profile_id")
+    full = sorted(map(tuple, full.collect()))
+    pairs, top_within = [], similarity.top_within
+
+    def counted(items, keys, *args, queries=None, **kw):
+        q = (items if queries is None else queries).groupBy(*keys).agg(F.count("*").alias("a"))
+        pairs.append(q.join(items.groupBy(*keys).agg(F.count("*").alias("b")), keys).agg(F.sum(F.col("a") * F.col("b"))).first()[0])
+        return top_within(items, keys, *args, queries=queries, **kw)
+
+    monkeypatch.setattr(similarity, "top_within", counted)
+    monkeypatch.setattr(similarity, "top_items", lambda open_, *a, **k: pairs.append(open_.count() * distinct.count()) or blocks.top_items(open_, *a, **k))
+    fast = similarity.near_profiles(distinct, 6, metric, Weights())
+    assert sorted(map(tuple, fast.select("profile_id", "item_id", "score", "rank").collect())) == full
+    if metric in ("cosine", "dot"):
+        assert sum(pairs) < 0.25 * distinct.count() ** 2
+
+
+def test_bounds_hold():
+    """The best score of works that share no tested class, against all ways to share columns."""
+    w, rest = Weights(), 9.25
+    known = [similarity.class_bound(similarity.CLASSES[:i], "cosine", w, rest) for i in range(6)]
+    assert [round(x, 4) for x in known] == [1.0, 0.5968, 0.4315, 0.25, 0.1855, 0.1492]
+    assert similarity.class_bound(similarity.CLASSES, "dot", w, rest) == rest
+    assert [similarity.class_bound((), m, w, rest) for m in ("euclidean", "manhattan")] == [1.0, 1.0]
 
 
 def test_embedding_quality_with_zero_vectors(spark):
