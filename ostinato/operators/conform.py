@@ -117,33 +117,50 @@ def composer_aliases(composers: DataFrame, order: str = "composer_id") -> DataFr
     return best.select("alias", "ord", F.coalesce("writer", "first_writer").alias("composer_id"))
 
 
+#: Length of the pieces by which titles and aliases meet.
+GRAM = 4
+
+
+def grams(text: Column, n: int) -> Column:
+    """The different pieces of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda p: F.substr(text, p, F.lit(n))))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def alias_index(aliases: DataFrame) -> DataFrame:
+    """Each alias under one gram, the one that the fewest aliases have; shorter aliases are their own gram."""
+    own = F.when(F.length("alias") < GRAM, F.array("alias")).otherwise(grams(F.col("alias"), GRAM))
+    rows = aliases.select("alias", "ord", "composer_id", F.explode(own).alias("gram"))
+    shared = rows.groupBy("gram").agg(F.count("*").alias("n"))
+    return rows.join(shared, "gram").groupBy("alias", "ord", "composer_id").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+
+
+def title_grams(titles: DataFrame, short: list[int]) -> DataFrame:
+    """Rows (work_id, t, gram): about one a character of the title, and one more for each length of a short alias."""
+    t = F.lower("title")
+    pieces = F.concat(*[grams(t, n) for n in [*short, GRAM]])
+    return titles.select("work_id", t.alias("t"), F.explode(pieces).alias("gram"))
+
+
 def infer_composer_links(
     works: DataFrame, composers: DataFrame, catalog_map: dict | None = None, order: str = "composer_id"
 ) -> DataFrame:
     """Fill missing ``composer_id`` from names found in titles, then from catalogue prefixes.
 
-    The substring search is an equi-join: each title yields its distinct substrings of the lengths
-    that aliases have, and these are matched against the alias table by value.
+    The substring search is an equi-join on grams: an alias stands under its rarest gram only, so the few aliases that a
+    title meets are then looked for in it.
     """
     catalog_map = CATALOG_COMPOSERS if catalog_map is None else catalog_map
     id_type = works.schema["composer_id"].dataType
     aliases = composer_aliases(composers, order).filter(F.length("alias") > 0)
-    lengths = sorted(r[0] for r in aliases.select(F.length("alias")).distinct().collect())  # at most the longest name
+    short = sorted(r[0] for r in aliases.select(F.length("alias").alias("n")).filter(F.col("n") < GRAM).distinct().collect())  # at most three
     missing = works.filter("composer_id IS NULL AND title IS NOT NULL")
+    found = (
+        title_grams(missing, short).join(alias_index(aliases), "gram").filter(F.contains("t", "alias"))
+        .groupBy("work_id").agg(F.min_by("composer_id", "ord").alias("_by_name"))
+    )
+    works = works.join(found, "work_id", "left")
     t = F.lower("title")
-    if lengths:
-        pieces = F.flatten(F.transform(
-            F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(t)),
-            lambda n: F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda p: F.substr(t, p, n)),
-        ))
-        found = (
-            missing.select("work_id", F.explode(F.array_distinct(pieces)).alias("alias"))
-            .join(aliases, "alias")
-            .groupBy("work_id").agg(F.min_by("composer_id", "ord").alias("_by_name"))
-        )
-        works = works.join(found, "work_id", "left")
-    else:
-        works = works.withColumn("_by_name", F.lit(None).cast(id_type))
     prefixes = [F.when(t.contains(p), F.lit(c).cast(id_type)) for p, c in catalog_map.items() if c is not None]
     by_catalog = F.coalesce(*prefixes) if prefixes else F.lit(None).cast(id_type)
     return works.withColumn("composer_id", F.coalesce("composer_id", "_by_name", by_catalog)).drop("_by_name")

@@ -158,3 +158,26 @@ def test_csv_line_breaks_only_when_asked(spark, tmp_path):
     path = str(tmp_path / "t.csv")
     assert {r.tag for r in tables.scan_csv(spark, path, schemas.PLAIN_TAGS, multi_line=True).collect()} == {"a\nb", "c"}
     assert tables.scan_csv(spark, path, schemas.PLAIN_TAGS).count() == 3
+
+
+def test_aliases_meet_titles_by_their_rarest_gram(spark):
+    """Every substring search by brute force; a title makes about one row a character before the join."""
+    import random
+
+    from ostinato.operators import conform
+
+    rng = random.Random(6)
+    names = ["Bo", "J", "Ann Lee", "Anna Leeds", "Johann Bach", "Bach", "Li Bo", "Symphony Man", "ymph", "Özgür Ünal", "a.b c%d", "Lee, Ann"] + [f"Name {i:03d}" for i in range(40)]
+    composers = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "composer_id int, name string")
+    titles = [None, "", "J", "Bo", "ann", "LEE, ANN", "özgür ünal!"] + ["".join(rng.choice(["Bach", "Symphony ", "Name 0", "17", "Ann", " Lee", "x", "bo", "J", "a.b c%d"]) for _ in range(rng.randrange(1, 7))) for _ in range(120)]
+    works = spark.createDataFrame([(i, None, t) for i, t in enumerate(titles)] + [(999, 5, "Name 001")], "work_id int, composer_id int, title string")
+    aliases = sorted((r.ord, r.alias, r.composer_id) for r in conform.composer_aliases(composers).collect() if r.alias)
+    got = {r.work_id: r.composer_id for r in conform.infer_composer_links(works, composers, {}).collect()}
+    for i, t in enumerate(titles):
+        hits = [c for _, a, c in aliases if t is not None and a in t.lower()]
+        assert got[i] == (hits[0] if hits else None), t
+    assert got[999] == 5
+    long_titles = works.filter("title IS NOT NULL").withColumn("title", F.rpad("title", 43, "abcdefgh ijk"))
+    assert conform.title_grams(long_titles, []).groupBy("work_id").count().agg(F.max("count")).first()[0] <= 40
+    index = conform.alias_index(conform.composer_aliases(composers).filter("alias <> ''"))
+    assert index.count() == len(aliases)
