@@ -70,45 +70,83 @@ def _best_rows(s, id_rank, k, digits, exclude, floor, offset):
     return rows[first] + offset, cols[first], vals[first]
 
 
+def packed(batches, rows: int):
+    """Arrow batches as rows ``(n, blob)`` of at most ``rows`` rows each, in the stream format of Arrow."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part, sink = batch.slice(at, rows), pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(pa.RecordBatch.from_pydict({n: pa.concat_arrays([c]) for n, c in zip(part.schema.names, part.columns)}, schema=part.schema))
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n", "blob"])
+
+
+def unpacked(blob):
+    """The rows of a blob as a pandas frame."""
+    import pyarrow as pa
+
+    return pa.ipc.open_stream(blob).read_pandas()
+
+
+def numbered_blocks(df: DataFrame, key: str, rows: int, name: str) -> tuple[DataFrame, int]:
+    """Hash blocks of about ``rows`` rows as stored blobs ``(name, blob)``, and their number."""
+    n = max(1, math.ceil(df.count() / rows))
+
+    def pack(table):
+        import pyarrow as pa
+
+        own = table.drop_columns([name])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, own.schema) as out:
+            out.write_table(own)
+        return pa.table({name: pa.array([table.column(name)[0].as_py()], pa.int32()), "blob": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    return cut(df.withColumn(name, block).groupBy(name).applyInArrow(pack, f"{name} int, blob binary"), "packed"), n
+
+
 def top_items(
     queries: DataFrame, items: DataFrame, k: int, score: Callable, query_id: str, item_id: str, digits: int = 6,
     exclude_same: bool = False, min_score: float | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """For each query the k best items: ``(query_id, item_id, score, rank)``, ties by item id.
 
-    ``score(query_pdf, item_pdf)`` gives the dense score block of two pandas frames.  Both sides are cut into hash blocks; each pair
-    of blocks is scored in one task, some hundred queries at a time, and leaves at most k rows per query.  There is no pair table,
-    nothing is collected or broadcast, and the plan is the same for any number of queries.
+    ``score(query_pdf, item_pdf)`` gives the dense score block of two pandas frames.  Queries are stored as hash blocks, items are packed
+    where they are read, both as one binary row a block, and meet by an equi-join on the query block; the planner may broadcast the query blocks
+    when their stored size is small.  Queries of one block leave the items where they are; for more, each pair of blocks is dealt to a task of its own.
+    A pair of blocks is scored some hundred queries at a time and leaves at most k rows per query.
     """
     out_item = item_id if item_id != query_id else "item_id"
     qt, it = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"query_id {qt}, item_id {it}, score double"
-
-    def block(q, i):
+    asked, n = numbered_blocks(queries, query_id, block_rows, "_qb")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_qb")
+    blobs = items.mapInArrow(lambda batches: packed(batches, block_rows), "n int, blob binary").select("n", F.col("blob").alias("_items"), every)
+    if n > 1:
+        tasks = min(MAX_TASKS, n * max(1, math.ceil(items.count() / block_rows)))
+        blobs = blobs.repartition(tasks, "_qb", F.xxhash64("_items"))
+
+    def best(batches):
         import numpy as np
-        import pandas as pd
-
-        found = [pd.DataFrame({"query_id": q[query_id].iloc[:0], "item_id": i[item_id].iloc[:0], "score": np.array([], float)})]
-        for at in range(0, len(q) if len(i) else 0, CHUNK_ROWS):
-            part = q.iloc[at:at + CHUNK_ROWS]
-            same = part[query_id].to_numpy()[:, None] == i[item_id].to_numpy()[None, :] if exclude_same else None
-            r, c, v = _best(score(part, i), i[item_id].to_numpy(), k, digits, same, min_score)
-            found.append(pd.DataFrame({"query_id": part[query_id].to_numpy()[r], "item_id": i[item_id].to_numpy()[c], "score": v}))
-        return pd.concat(found[1:], ignore_index=True) if len(found) > 1 else found[0]
-
-    nq, ni = (max(1, math.ceil(df.count() / block_rows)) for df in (queries, items))
-
-    def blocked(df, key, own, others, n_own, n_others):
-        every = F.explode(F.sequence(F.lit(0), F.lit(n_others - 1)))
-        # renewed columns, so that both sides may come from one frame
-        fresh = df.select(*[F.col(c).alias(c) for c in df.columns])
-        return fresh.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int")).withColumn(others, every)
-
-    q = blocked(queries, query_id, "_qb", "_ib", nq, ni)
-    i = blocked(items, item_id, "_ib", "_qb", ni, nq)
-    partial = cogroup_blocks(q, i, ["_qb", "_ib"], nq * ni, block, schema)
-    best = ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
-    return best.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
+        import pyarrow as pa
+
+        shape = pa.schema([("query_id", types[0]), ("item_id", types[1]), ("score", pa.float64())])
+        for batch in batches:
+            for at in range(batch.num_rows):
+                q, i = (unpacked(batch.column(c)[at].as_buffer()) for c in ("blob", "_items"))
+                for first in range(0, len(q), CHUNK_ROWS):
+                    part = q.iloc[first:first + CHUNK_ROWS]
+                    same = part[query_id].to_numpy()[:, None] == i[item_id].to_numpy()[None, :] if exclude_same else None
+                    r, c, v = _best(score(part, i), i[item_id].to_numpy(), k, digits, same, min_score)
+                    found = [pa.array(part[query_id].to_numpy()[r], types[0]), pa.array(i[item_id].to_numpy()[c], types[1]), pa.array(np.asarray(v, float))]
+                    yield pa.RecordBatch.from_arrays(found, schema=shape)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(items.schema[item_id].dataType)]
+    partial = blobs.join(asked, "_qb").select("blob", "_items").mapInArrow(best, f"query_id {qt}, item_id {it}, score double")
+    top = ranked(partial, ["query_id"], [F.desc("score"), F.asc("item_id")], k)
+    return top.select(F.col("query_id").alias(query_id), F.col("item_id").alias(out_item), "score", "rank")
 
 
 def top_within(

@@ -20,7 +20,7 @@ from ostinato.functions.fixed_values import (
 )
 from ostinato.functions.titles import plain_key
 from ostinato.functions.vectors import cosine
-from ostinato.operators.blocks import cogroup_blocks, cosine_block, matrix, top_items
+from ostinato.operators.blocks import MAX_TASKS, cosine_block, matrix, numbered_blocks, top_items, unpacked
 from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.operators.shape import one_row, ranked
 from ostinato.session import cut
@@ -234,36 +234,48 @@ def pair_moments(items: DataFrame, vector: str = "embedding") -> DataFrame:
         F.sqrt(F.greatest((F.col("g2") - F.col("own")) / pairs - mean * mean, F.lit(0.0))).alias("std"))
 
 
-def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = 2048) -> DataFrame:
-    """``(score, n)`` over all pairs of different items, scores rounded; each block task counts its own values.
+#: Pairs of blocks whose scores one task counts.
+PAIRS_A_TASK = 8
 
-    The table has at most ``2 * 10^digits + 1`` rows.
-    """
-    import math
 
-    blocks = max(1, math.ceil(items.count() / block_rows))
-    own = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    base = items.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), own.alias("o"))
-    left = base.select(F.col("o").alias("lb"), F.explode(F.sequence(F.col("o"), F.lit(blocks - 1))).alias("rb"), "id", "v")
-    right = base.select(
-        F.explode(F.sequence(F.lit(0), F.col("o"))).alias("lb"), F.col("o").alias("rb"), F.col("id").alias("id"), F.col("v").alias("v"))
+def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = 2048) -> DataFrame:
+    """``(score, n)`` over all pairs of different items, scores rounded.
 
-    def count(a, b):
+    Blocks are stored as binary rows and meet in pairs; a task counts the scores of its pairs in one array of ``2 * 10^digits + 1`` cells
+    and leaves the cells that are not empty, at the end.
+    """
+    rows = items.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    asked, n = numbered_blocks(rows, "id", block_rows, "_qb")
+    left = asked.select(F.col("_qb").alias("lb"), F.col("blob").alias("a"), F.explode(F.sequence(F.col("_qb"), F.lit(n - 1))).alias("rb"))
+    pairs = left.join(asked.select(F.col("_qb").alias("rb"), F.col("blob").alias("b")), "rb")
+    pairs = pairs.repartition(min(MAX_TASKS, -(-(n * (n + 1) // 2) // PAIRS_A_TASK)), "lb", "rb")
+    scale = 10**digits
+
+    def count(batches):
         import numpy as np
         import pandas as pd
 
-        if a.empty or b.empty:
-            return pd.DataFrame({"score": np.array([], float), "n": np.array([], int)})
-        ma, mb = matrix(a["v"]), matrix(b["v"])
-        norms = np.linalg.norm(ma, axis=1)[:, None] * np.linalg.norm(mb, axis=1)[None, :]
-        dots = ma @ mb.T
-        s = np.round(np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), digits)
-        if a["lb"].iloc[0] == a["rb"].iloc[0]:
-            s = s[a["id"].to_numpy()[:, None] < b["id"].to_numpy()[None, :]]
-        values, counts = np.unique(s, return_counts=True)
-        return pd.DataFrame({"score": values + 0.0, "n": counts})
-
-    parts = cogroup_blocks(left, right, ["lb", "rb"], blocks * (blocks + 1) // 2, count, "score double, n bigint")
+        cells = np.zeros(2 * scale + 1, np.int64)
+        for batch in batches:
+            for pair in batch.itertuples(index=False):
+                a = unpacked(pair.a)
+                b = a if pair.lb == pair.rb else unpacked(pair.b)
+                ma, mb = matrix(a["v"]), matrix(b["v"])
+                na, nb = np.linalg.norm(ma, axis=1), np.linalg.norm(mb, axis=1)
+                ids = pd.factorize(a["id"], sort=True)[0]
+                for at in range(0, len(a), 256):
+                    here = slice(at, at + 256)
+                    norms = na[here, None] * nb[None, :]
+                    dots = ma[here] @ mb.T
+                    s = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+                    if pair.lb == pair.rb:
+                        s = s[ids[here, None] < ids[None, :]]
+                    places = np.clip(np.rint(s * scale).astype(np.int64), -scale, scale) + scale
+                    cells += np.bincount(places.ravel(), minlength=len(cells))
+        full = np.flatnonzero(cells)
+        yield pd.DataFrame({"score": (full - scale) / scale + 0.0, "n": cells[full]})
+
+    parts = pairs.mapInPandas(count, "score double, n bigint")
     return parts.groupBy("score").agg(F.sum("n").alias("n"))
 
 
