@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.fixed_values import EXPECTATION_CASES, MOOD_QUERIES
+from ostinato.operators.rerank import uniform
 from ostinato.operators.shape import long_metrics, one_row
 from ostinato.operators.tags import unite
 
@@ -122,7 +123,7 @@ def full_report(lists: DataFrame, works: DataFrame, composers: DataFrame, checke
     """Long ``(section, metric, value)``: distribution, coverage, mean diversity of some lists, cases."""
     div = list_diversity(lists)
     if n_lists is not None:
-        div = div.orderBy(F.xxhash64("list_id", F.lit(seed)), "list_id").limit(n_lists)
+        div = div.orderBy(uniform("list_id", seed=seed), "list_id").limit(n_lists)
     mean_div = div.agg(
         F.avg("avg_pairwise_dissimilarity").alias("avg_pairwise_dissimilarity"),
         F.avg("unique_composers_ratio").alias("unique_composers_ratio"), F.avg("gini_coefficient").alias("gini_coefficient"))

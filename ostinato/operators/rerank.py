@@ -88,10 +88,10 @@ def diverse(
     return chosen.select(F.col("_seed").alias("seed_id"), F.col(item_id).alias("item_id"), F.col("_rel").alias("score"), "rank")
 
 
-def uniform(*cols, seed: int):
-    """Number in (0, 1) from the hash of the columns and a seed."""
-    h = F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 11)
-    return (h.cast("double") + 0.5) / float(1 << 53)
+def uniform(*cols, seed):
+    """Number in (0, 1) that the columns, as text, and a seed (or column of seeds) decide: 52 bits of their MD5, so any engine can repeat it."""
+    text = F.concat_ws("|", *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in [*cols, F.lit(seed)]])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def sample_by_score(valid: DataFrame, n: int, key: str, item: str, multiplier: int = 3, seed: int = 42) -> DataFrame:
@@ -107,20 +107,32 @@ def sample_by_score(valid: DataFrame, n: int, key: str, item: str, multiplier: i
     return ranked(drawn.drop("_p", "_k", "_d"), [key], [F.desc("score"), F.asc(item)])
 
 
+def sampled_runs(valid: DataFrame, n: int, key: str, item: str, runs: int = 5, multiplier: int = 3, seed: int = 42) -> DataFrame:
+    """The same search drawn ``runs`` times, each with a seed of its own: ``(key, run, item, score, rank)``.
+
+    The pool is cut once; each run is a draw of its rows, so the search itself is not repeated.
+    """
+    pool = ranked(valid, [key], [F.desc("score"), F.asc(item)], multiplier * n, "_p").select(key, item, "score")
+    drawn = pool.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    race = -F.log(uniform(key, item, seed=F.col("run") + (seed - 1))) / F.greatest("score", F.lit(1e-12))
+    kept = ranked(drawn.withColumn("_k", race), [key, "run"], [F.asc("_k"), F.asc(item)], n, "_d").drop("_k", "_d")
+    return ranked(kept, [key, "run"], [F.desc("score"), F.asc(item)])
+
+
 def sample_works(works: DataFrame, k: int, seed: int = 42, with_composer: bool = False, id_col: str = "work_id") -> DataFrame:
     """k works without replacement, reproducible for a seed."""
     pool = works.filter("composer_id IS NOT NULL") if with_composer else works
-    return pool.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(k)
+    return pool.orderBy(uniform(id_col, seed=seed), id_col).limit(k)
 
 
 def pick_one(scored: DataFrame, seed: int = 42, top: int = 5, item: str = "work_id") -> DataFrame:
-    """One of the best ``top`` rows, by seeded hash."""
+    """One of the best ``top`` rows, by a seeded draw."""
     best = scored.orderBy(F.desc("score"), item).limit(top)
-    return best.orderBy(F.xxhash64(item, F.lit(seed)), item).limit(1)
+    return best.orderBy(uniform(item, seed=seed), item).limit(1)
 
 
 def pick_one_per(scored: DataFrame, key: str, seed: int = 42, top: int = 5, item: str = "work_id") -> DataFrame:
     """The same for each key of a batch."""
     best = ranked(scored, [key], [F.desc("score"), F.asc(item)], top, "_t")
-    w = Window.partitionBy(key).orderBy(F.xxhash64(F.col(item), F.lit(seed)), F.col(item))
+    w = Window.partitionBy(key).orderBy(uniform(key, item, seed=seed), F.col(item))
     return best.withColumn("_h", F.row_number().over(w)).filter("_h = 1").drop("_h", "_t")

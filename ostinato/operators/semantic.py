@@ -122,10 +122,10 @@ def hashed_tfidf(df: DataFrame, id_col: str, text: str, dim: int = 384) -> DataF
     tf = cut(df.select(id_col, words.alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf")), "words")  # read twice below
     n = df.count()
     df_w = tf.groupBy("w").agg(F.count("*").alias("df"))
-    h = F.xxhash64("w")
+    h = F.md5("w")  # the place from its first 32 bits, the sign from the next four: any engine can repeat it
     weighted = tf.join(df_w, "w").select(
-        id_col, F.pmod(h, F.lit(dim)).cast("int").alias("i"),
-        (F.when(F.hash("w") % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("x"))
+        id_col, (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("i"),
+        (F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("x"))
     cells = weighted.groupBy(id_col, "i").agg(F.sum("x").alias("x"))
     packed = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # <= dim entries
     length = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))

@@ -17,6 +17,7 @@ from ostinato.functions.fixed_values import (
     TAXONOMY,
 )
 from ostinato.functions.titles import plain_key
+from ostinato.operators.rerank import uniform
 from ostinato.operators.shape import one_row, pct
 
 AUTO, SOURCE, HUMAN = "auto-tagger", "musicbrainz", "human-review"
@@ -115,7 +116,7 @@ def review_selection(tags: DataFrame, mode: str = "quick", sample_size: int = 10
         return tags.filter(F.col("confidence") < threshold).select("work_id").distinct()
     ids = tags.select("work_id").distinct()
     if mode == "quick" and sample_size:
-        return ids.orderBy(F.xxhash64("work_id", F.lit(seed)), "work_id").limit(sample_size)
+        return ids.orderBy(uniform("work_id", seed=seed), "work_id").limit(sample_size)
     return ids
 
 

@@ -12,6 +12,13 @@ from ostinato.operators.semantic import search
 from ostinato.plans.views import Tables
 from ostinato.session import cut
 
+# --- draws: the same numbers in both engines ------------------------------------------------------------------
+
+def draw_sql(*cols: str, seed: int | str = 42) -> str:
+    """The number in (0, 1) of ``rerank.uniform`` for the checking engine."""
+    return f"((CAST('0x' || substr(md5(concat_ws('|', {', '.join(cols)}, {seed})), 1, 13) AS BIGINT) + 0.5) / 4503599627370496)"
+
+
 # --- edits: the tagger's tags against all tags without two words -----------------------------------------
 
 OLD_NEW_SQL = {
@@ -151,3 +158,15 @@ def centroid_results(t: Tables, n: int = 10, min_score: float | None = 0.15) ->
     return search(centroids(t), t.embeddings, n, min_score)
 
 
+# --- texts as hashed vectors ---------------------------------------------------------------------------------------------
+
+def hashed_sql(source: str, dim: int) -> dict[str, str]:
+    """``hv(id, v)``: the built-in encoder over the rows (id, txt) of ``source``."""
+    return {
+        "tok": f"SELECT id, unnest(regexp_extract_all(lower(txt), '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{Pc}}]+')) AS w FROM ({source})",
+        "tfs": "SELECT id, w, count(*) AS tf FROM tok GROUP BY 1, 2",
+        "hcell": f"""SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dim} AS i, sum((CASE WHEN CAST('0x' || substr(md5(w), 9, 1) AS INT) % 2 = 0 THEN 1.0 ELSE -1.0 END)
+ * (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM ({source}))) / (1.0 + df)) + 1)) AS x FROM tfs JOIN (SELECT w, count(*) AS df FROM tfs GROUP BY 1) USING (w) GROUP BY 1, 2""",
+        "hv": f"""SELECT id, list(CAST(CAST(coalesce(x / nullif(n, 0), 0) AS FLOAT) AS DOUBLE) ORDER BY k.i) AS v FROM (SELECT id, unnest(range({dim})) AS i FROM ({source})) k LEFT JOIN hcell USING (id, i)
+ LEFT JOIN (SELECT id, sqrt(sum(x * x)) AS n FROM hcell GROUP BY 1) USING (id) GROUP BY id""",
+    }

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ostinato.functions.fixed_values import MOOD_QUERIES
 from ostinato.operators import evaluate as ev
 from ostinato.operators import rerank, semantic
 from ostinato.operators.catalog import search_titles, tags_of_works, with_composers
 from ostinato.operators.tags import unite
-from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, content, embedding_lists
-from ostinato.plans.registry import query
+from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, content, draw_sql, embedding_lists, hashed_sql
+from ostinato.plans.queries_semantic import EXPANSION_SQL
+from ostinato.plans.registry import ORACLES, query
 from ostinato.plans.views import Tables
 from ostinato.session import cut
 
@@ -75,11 +77,13 @@ def _(t: Tables):
     return ev.most_recommended(embedding_lists(t))
 
 
-@query("e2_sampled_coverage")
+@query("e2_sampled_coverage", WC, COV.replace("(SELECT count(DISTINCT work_type) FROM works)", "(SELECT count(DISTINCT work_type) FROM works JOIN e ON e.vec_id = work_id)").replace("FROM lists", "FROM few"),
+       LISTS_SQL | {"few": f"SELECT * FROM lists WHERE list_id IN (SELECT vec_id FROM embeddings ORDER BY {draw_sql('vec_id')}, vec_id LIMIT 100)"})
 def _(t: Tables):
     lists = embedding_lists(t)
     seeds = rerank.sample_works(t.embeddings, 100, id_col="vec_id").select(F.col("vec_id").alias("list_id"))
-    return ev.catalog_coverage(lists.join(seeds, "list_id", "left_semi"), catalog_of_vectors(t), t.composers)
+    c = ev.catalog_coverage(lists.join(seeds, "list_id", "left_semi"), catalog_of_vectors(t), t.composers)
+    return _round(c.drop("composers_total"), "coverage_ratio", "avg_recommendations_per_work")
 
 
 DIST = """SELECT round(avg(score), 6) AS mean, round(median(score), 6) AS median, round(stddev_pop(score), 6) AS std, min(score) AS min, max(score) AS max,
@@ -163,7 +167,22 @@ def _(t: Tables):
     return _round(out, "feature_coverage").withColumn("avg_similarity", F.round("avg_similarity", 9))
 
 
-@query("e6_mood_query_evaluation")
+_QUOTED = [(q.replace("'", "''"), [f.replace("'", "''") for f in fs]) for q, fs in MOOD_QUERIES]
+MOOD_SQL = {
+    "mq": f"SELECT query, CASE WHEN e <> '' THEN concat(query, ' ', e) ELSE query END AS txt FROM (SELECT *, {EXPANSION_SQL} AS e FROM (VALUES {', '.join(f"('{q}')" for q, _ in _QUOTED)}) AS x(query))",
+    "mx": f"SELECT * FROM (VALUES {', '.join(f"('{q}', '{f}')" for q, fs in _QUOTED for f in fs)}) AS x(query, feature)",
+    "texts": f"SELECT concat('w', work_id) AS id, description AS txt FROM ({ORACLES['f6_descriptions']}) UNION ALL SELECT concat('q', query), txt FROM mq",
+    **hashed_sql("SELECT id, txt FROM texts", 384),
+    "hits": """SELECT substr(q.id, 2) AS query, CAST(substr(w.id, 2) AS BIGINT) AS work_id, coalesce(round(list_cosine_similarity(q.v, w.v), 6), 0) AS score FROM hv q JOIN hv w ON q.id LIKE 'q%' AND w.id LIKE 'w%'
+ WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY score DESC, CAST(substr(w.id, 2) AS BIGINT)) <= 10""",
+    "hx": """SELECT query, score, lower(concat_ws(' ', coalesce(key, ''), coalesce(period, ''), coalesce(work_type, ''), coalesce(tg, ''))) AS x FROM hits JOIN works w USING (work_id)
+ LEFT JOIN composers c ON c.composer_id = w.composer_id LEFT JOIN (SELECT work_id, string_agg(tag, ' ' ORDER BY tag) AS tg FROM (SELECT * FROM tags QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY tag, source) <= 5) GROUP BY 1) g USING (work_id)""",
+}
+
+
+@query("e6_mood_query_evaluation", "works composers tags", """SELECT m.query, coalesce(any_value(b.n), 0) AS num_results, round(coalesce(any_value(b.s), 0), 9) AS avg_similarity,
+ round(count(*) FILTER (EXISTS (SELECT 1 FROM hx WHERE hx.query = m.query AND contains(x, lower(m.feature)))) / count(*), 6) AS feature_coverage
+ FROM mx m LEFT JOIN (SELECT query, count(*) AS n, avg(score) AS s FROM hx GROUP BY 1) b ON b.query = m.query GROUP BY m.query""", MOOD_SQL)
 def _(t: Tables):
     """The fixed mood queries against descriptions of all works, with the built-in encoder."""
     expected = ev.expectations(t.spark)
@@ -176,7 +195,8 @@ def _(t: Tables):
     wv = vectors.filter("id LIKE 'w%'").select(F.expr("substr(id, 2)").cast("bigint").alias("work_id"), "embedding")
     found = semantic.search(qv, wv, 10, query_id="query", item_id="work_id").select("query", "work_id", "score")
     meta = with_composers(t.works, t.composers, ["period"]).select("work_id", "key", "period", "work_type")
-    return ev.evaluate_queries(found.join(meta, "work_id", "left").join(tags_of_works(t.tags, 5), "work_id", "left"), expected)
+    out = ev.evaluate_queries(found.join(meta, "work_id", "left").join(tags_of_works(t.tags, 5), "work_id", "left"), expected)
+    return _round(out, "feature_coverage").withColumn("avg_similarity", F.round("avg_similarity", 9))
 
 
 @query("e7_result_coverage", "works composers tags", """SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS total_works_in_catalog, CAST(count(DISTINCT work_id) AS BIGINT) AS works_returned,
@@ -192,16 +212,19 @@ def _(t: Tables):
     return _round(ev.result_diversity(search_results(t)), "composer_diversity_ratio", "period_diversity_ratio", "work_type_diversity_ratio")
 
 
-RUNS = {"runs": """SELECT query, 1 AS run, work_id FROM res UNION ALL SELECT query, 2, work_id FROM res WHERE key IS NOT NULL UNION ALL SELECT query, 3, work_id FROM res WHERE period IS DISTINCT FROM 'Baroque'""",
-        "ovl": """SELECT q.query, coalesce(sum(CASE WHEN x.work_id IS NOT NULL THEN 1 ELSE 0 END), 0) / 3 / 10 AS avg_overlap_ratio FROM (SELECT DISTINCT query FROM runs) q
+RUNS = {
+    "pool": "SELECT query_id, vec_id, score FROM scored WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 30",
+    "runs": f"""SELECT CAST(query_id AS VARCHAR) AS query, run, vec_id AS work_id FROM pool, (SELECT unnest(range(1, 6)) AS run)
+ QUALIFY row_number() OVER (PARTITION BY query_id, run ORDER BY -ln({draw_sql('query_id', 'vec_id', seed='41 + run')}) / greatest(score, 1e-12), vec_id) <= 10""",
+    "ovl": """SELECT q.query, coalesce(sum(CASE WHEN x.work_id IS NOT NULL THEN 1 ELSE 0 END), 0) / 10 / 10 AS avg_overlap_ratio FROM (SELECT DISTINCT query FROM runs) q
  LEFT JOIN (SELECT a.query, a.work_id FROM runs a JOIN runs b ON a.query = b.query AND a.work_id = b.work_id AND a.run < b.run) x ON x.query = q.query GROUP BY 1"""}
 
 
 def result_runs(t: Tables):
-    """Three runs that differ by what they leave out."""
-    r = search_results(t)
-    keep = F.filter(F.array(F.lit(1), F.when(F.col("key").isNotNull(), 2), F.when(~F.coalesce(F.col("period") == "Baroque", F.lit(False)), 3)), lambda x: x.isNotNull())
-    return r.select("query", F.explode(keep).alias("run"), "work_id")
+    """Five runs of the sampling search, each with a seed of its own."""
+    valid = centroid_results(t, 30, 0.15).select("query_id", "vec_id", "score")
+    runs = rerank.sampled_runs(valid, 10, "query_id", "vec_id", 5)
+    return runs.select(F.col("query_id").cast("string").alias("query"), "run", F.col("vec_id").alias("work_id"))
 
 
 @query("u6_run_overlap", "works composers tags", "SELECT query, round(avg_overlap_ratio, 6) AS avg_overlap_ratio FROM ovl", SEARCH_SQL | RUNS)
@@ -215,8 +238,7 @@ def _(t: Tables):
 SELECT round(s, 6) AS health_score, CASE WHEN s >= 0.75 THEN 'excellent' WHEN s >= 0.6 THEN 'good' WHEN s >= 0.4 THEN 'fair' ELSE 'poor' END AS overall_health FROM h""", SEARCH_SQL | RUNS)
 def _(t: Tables):
     r = cut(search_results(t), "results")
-    keep = F.filter(F.array(F.lit(1), F.when(F.col("key").isNotNull(), 2), F.when(~F.coalesce(F.col("period") == "Baroque", F.lit(False)), 3)), lambda x: x.isNotNull())
-    runs = r.select("query", F.explode(keep).alias("run"), "work_id")
+    runs = result_runs(t)
     quality = r.groupBy("query").agg(F.avg("score").alias("avg_similarity"))
     out = ev.comprehensive(quality, ev.run_overlap(runs, 10), ev.result_coverage(r, t.embeddings), ev.result_diversity(r))
     return _round(out.select("health_score", "overall_health"), "health_score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ostinato.functions.fixed_values import CHARACTER_WORDS, KEY_MOODS, MAJOR_MOODS, MINOR_MOODS, QUERY_EXPANSIONS
 from ostinato.operators import explain, interactions, rerank, semantic
 from ostinato.operators.catalog import tags_of_works, with_composers
-from ostinato.plans.common import CENTROID_SQL, centroid_results, centroids
+from ostinato.plans.common import CENTROID_SQL, centroid_results, centroids, draw_sql, hashed_sql
 from ostinato.plans.registry import ORACLES, query
 from ostinato.plans.views import Tables
 
@@ -34,10 +34,10 @@ def _(t: Tables):
 
 
 _QUERY = "CASE WHEN context <> '' THEN concat(activity, ' ', context) ELSE activity END"
-_EXP = "concat_ws(' ', " + ", ".join(f"CASE WHEN contains(lower(query), '{k}') THEN '{v}' END" for k, v in QUERY_EXPANSIONS.items()) + ")"
+EXPANSION_SQL = "concat_ws(' ', " + ", ".join(f"CASE WHEN contains(lower(query), '{k}') THEN '{v}' END" for k, v in QUERY_EXPANSIONS.items()) + ")"
 
 
-@query("f8_expand_queries", "query_log", f", q AS (SELECT query_id, {_QUERY} AS query FROM query_log), x AS (SELECT *, {_EXP} AS e FROM q) "
+@query("f8_expand_queries", "query_log", f", q AS (SELECT query_id, {_QUERY} AS query FROM query_log), x AS (SELECT *, {EXPANSION_SQL} AS e FROM q) "
        "SELECT query_id, CASE WHEN e <> '' THEN concat(query, ' ', e) ELSE query END AS expanded FROM x")
 def _(t: Tables):
     q = t.query_log.select("query_id", semantic.activity_query(F.col("activity"), F.col("context")).alias("query"))
@@ -71,7 +71,7 @@ def work_cards(t: Tables):
 
 
 @query("f10_explain_similarity", "works composers tags", SIM_SQL, {"pairs": """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey"""})
+ ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"""})
 def _(t: Tables):
     from ostinato.plans.queries_similarity import bought_pairs
 
@@ -115,10 +115,13 @@ def _(t: Tables):
 
 # --- embeddings and search -------------------------------------------------------------------------------
 
-@query("v10_embed_documents")
+@query("v10_embed_documents", "", """SELECT id AS doc_id, 128 AS dim, CAST(len(list_filter(v, lambda x: abs(x) > 1e-9)) AS INT) AS cells, round(list_sum(list_transform(v, lambda x: x * x)), 3) AS length,
+ round(list_sum(list_transform(v, lambda x, i: x * i)), 3) + 0.0 AS moment FROM hv""", hashed_sql("SELECT doc_id AS id, text AS txt FROM documents", 128))
 def _(t: Tables):
-    e = semantic.embed(t.documents, "doc_id", "text", dim=128)
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 3).alias("length"))
+    e = semantic.embed(t.documents, "doc_id", "text", dim=128).withColumn("v", F.col("embedding").cast("array<double>"))
+    add = lambda col: F.aggregate(col, F.lit(0.0), lambda s, x: s + x)
+    return e.select("doc_id", F.size("v").alias("dim"), F.size(F.filter("v", lambda x: F.abs(x) > 1e-9)).alias("cells"), F.round(add(F.transform("v", lambda x: x * x)), 3).alias("length"),
+                    (F.round(add(F.transform("v", lambda x, i: x * (i + 1))), 3) + 0.0).alias("moment"))
 
 
 def letter_encoder():
@@ -151,7 +154,9 @@ def _(t: Tables):
     return semantic.best_query(t.embeddings, centroids(t))
 
 
-@query("v12_sample_by_score")
+@query("v12_sample_by_score", "", f""", pool AS (SELECT query_id, vec_id, score FROM scored WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 30),
+ drawn AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY -ln({draw_sql('query_id', 'vec_id')}) / greatest(score, 1e-12), vec_id) <= 10)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM drawn""", CENTROID_SQL)
 def _(t: Tables):
     valid = centroid_results(t, 30, 0.15).select("query_id", "vec_id", "score")  # the pool is three times the sample
     return rerank.sample_by_score(valid, 10, "query_id", "vec_id")

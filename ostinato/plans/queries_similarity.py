@@ -8,7 +8,7 @@ from ostinato.functions.fixed_values import CATALOG_FLAGS
 from ostinato.operators import features as ft
 from ostinato.operators import neighbours, rerank, similarity
 from ostinato.operators.catalog import first_per_type
-from ostinato.plans.common import DOT_SQL, FEATURES_SQL, LISTS_SQL, content, embedding_edges
+from ostinato.plans.common import DOT_SQL, FEATURES_SQL, LISTS_SQL, content, draw_sql, embedding_edges
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables, _re2
 
@@ -17,15 +17,13 @@ ALL = FEATURES_SQL
 
 
 def bought_pairs(t: Tables):
-    """Distinct pairs of works on neighbouring lines of one order."""
-    li = t.base("lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    a = li.select("l_orderkey", F.col("l_partkey").alias("src"), (F.col("l_linenumber") + 1).alias("line"))
-    b = li.select("l_orderkey", F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("line"))
-    return a.join(b, ["l_orderkey", "line"]).filter("src <> dst").select("src", "dst").distinct()
+    """Distinct pairs of different works of one order, which has few lines."""
+    li = t.base("lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
+    other = t.base("lineitem").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return li.join(other, "l_orderkey").filter("src <> dst").select("src", "dst").distinct()
 
 
-PAIRS_SQL = {"pairs": """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey"""}
+PAIRS_SQL = {"pairs": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"}
 
 
 @query("v1_one_hot", WC, """, p AS (SELECT work_id, coalesce(name, 'unknown') AS name, coalesce(period, 'unknown') AS period, coalesce(work_type, 'unknown') AS work_type, coalesce(country, 'unknown') AS country
@@ -241,11 +239,11 @@ def _(t: Tables):
     return embedding_edges(t).select("list_id", "work_id", "score").orderBy(F.desc("score"), "list_id", "work_id").limit(20)
 
 
-@query("t5_pick_one")
+@query("t5_pick_one", WC, f"SELECT list_id, work_id, score, rank FROM lists WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY list_id ORDER BY {draw_sql('list_id', 'work_id')}, work_id) = 1", LISTS_SQL)
 def _(t: Tables):
     return rerank.pick_one_per(embedding_edges(t), "list_id")
 
 
-@query("t6_sample_works")
+@query("t6_sample_works", W, f"SELECT work_id, title FROM works WHERE composer_id IS NOT NULL ORDER BY {draw_sql('work_id')}, work_id LIMIT 100")
 def _(t: Tables):
     return rerank.sample_works(t.works, 100, with_composer=True).select("work_id", "title")

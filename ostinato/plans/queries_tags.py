@@ -9,7 +9,7 @@ from ostinato.operators import corrections as corr
 from ostinato.operators import tag_metrics as tm
 from ostinato.operators import tags as tg
 from ostinato.operators.catalog import tags_of_works
-from ostinato.plans.common import CORRECTIONS_SQL, DECISIONS_SQL, OLD_NEW_SQL, decisions, derived_corrections, edits
+from ostinato.plans.common import CORRECTIONS_SQL, DECISIONS_SQL, OLD_NEW_SQL, decisions, derived_corrections, draw_sql, edits
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables
 
@@ -107,7 +107,7 @@ def _(t: Tables):
 
 @query("u4_common_tag", "works tags", """SELECT src, dst, list_min(list_intersect(a.l, b.l)) AS common_tag FROM pairs
  JOIN (SELECT work_id, list(tag) AS l FROM tags GROUP BY 1) a ON a.work_id = src JOIN (SELECT work_id, list(tag) AS l FROM tags GROUP BY 1) b ON b.work_id = dst""", {
-    "pairs": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey"})
+    "pairs": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"})
 def _(t: Tables):
     from ostinato.plans.queries_similarity import bought_pairs
 
@@ -337,7 +337,7 @@ def _(t: Tables):
     return tg.review_selection(t.tags, "full")
 
 
-@query("g3_review_quick")
+@query("g3_review_quick", "tags", f"SELECT work_id FROM (SELECT DISTINCT work_id FROM tags) ORDER BY {draw_sql('work_id')}, work_id LIMIT 25")
 def _(t: Tables):
     return tg.review_selection(t.tags, "quick", 25)
 

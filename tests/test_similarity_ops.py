@@ -307,3 +307,17 @@ def test_diverse_for_many_seeds(spark):
             value = np.round(0.5 * s[r.seed_id] - 0.5 * (u @ u[first[r.seed_id]]), 6)
             value[[r.seed_id, first[r.seed_id]]] = -9
             assert r.item_id == value.argmax()
+
+
+def test_draws_are_uniform_and_runs_repeat(spark):
+    """Draws spread over (0, 1); each run of a search equals the single draw of its seed, and runs differ."""
+    n = 20_000
+    r = spark.range(n).select(rerank.uniform("id", seed=1).alias("u")).agg(F.min("u"), F.max("u"), F.avg("u"), F.avg(F.col("u") * F.col("u")), F.count_distinct("u")).first()
+    assert 0 < r[0] and r[1] < 1 and abs(r[2] - 0.5) < 0.01 and abs(r[3] - 1 / 3) < 0.01 and r[4] == n
+    valid = spark.range(60).select((F.col("id") % 2).alias("q"), "id", (0.9 - F.col("id") / 100).alias("score"))
+    runs = rerank.sampled_runs(valid, 5, "q", "id", runs=4, seed=9).collect()
+    picked = {run: {r.id for r in runs if r.run == run} for run in range(1, 5)}
+    for run, ids in picked.items():
+        assert ids == {r.id for r in rerank.sample_by_score(valid, 5, "q", "id", seed=8 + run).collect()} and len(ids) == 10
+    assert len({frozenset(x) for x in picked.values()}) > 1
+    assert all(r.id < 30 for r in runs)  # the pool is three times the sample
