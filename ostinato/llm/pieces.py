@@ -16,17 +16,18 @@ handled in parts of bounded size. Columns of the input stay; those named like a
 from __future__ import annotations
 
 import re
-import uuid
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ostinato.llm.common import text_or_empty, with_fields, worker_cached
+from ostinato.llm.common import keeps_columns, text_or_empty, worker_cached
 
-CHUNK, EDGES, LONG_UNIT, ROWS = 1 << 16, 3 << 20, 40, 512
+CHUNK, EDGES, LONG_UNIT, ROWS = 1 << 16, 1 << 20, 40, 512
 GOLDEN, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -338,33 +339,17 @@ def encode_texts(lattices: Lattices, texts: list[str], keys: np.ndarray) -> list
     return [np.concatenate(p) if p else np.empty(0, dtype=np.int32) for p in parts]
 
 
-def encoder(path: str, alpha: float, seed: int):
-    """Column function ``(text, row key as long) -> array<int>``."""
-    token = uuid.uuid4().hex
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        lattices = worker_cached("pieces", token, lambda: Lattices(Model(path, alpha)))
-        salted = mixed(np.array(keys.fill_null(0), dtype=np.int64).view(np.uint64) + np.uint64(seed) * STEP)
-        ids: list = []
-        for at in range(0, len(texts), ROWS):
-            ids += encode_texts(lattices, texts.slice(at, ROWS).to_pylist(), salted[at:at + ROWS])
-        offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-        out = np.empty(offsets[-1], dtype=np.int32)
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            out[a:b], ids[k] = ids[k], None  # let go part by part: a batch is held once
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))
-
-    return encode.asNondeterministic()  # else the optimizer puts the whole encoding into each use of the ids
+def list_array(rows: list) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(i) for i in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, dtype=np.int32)))
 
 
 def decoder(path: str):
     """Column function ``array<int> -> string``; null for null."""
-    token = uuid.uuid4().hex
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        model = worker_cached("piece_texts", token, lambda: Texts(path))
+        model = worker_cached("piece_texts", path, lambda: Texts(path))
         values = np.asarray(ids.values)
         offsets = np.asarray(ids.offsets)
         texts = (model.text_of(values[a:b])[1:].decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:]))
@@ -373,12 +358,34 @@ def decoder(path: str):
     return decode
 
 
-def encode_pieces(docs: DataFrame, model: str, key: Column, text: str = "text", alpha: float = 1.0, seed: int = 0) -> DataFrame:
-    """The documents with ``ids`` and ``n_pieces``; ``model`` is the path of a model file that all workers can read."""
-    encode = encoder(model, alpha, seed)
-    out = docs.withColumn("_p", F.struct(encode(text_or_empty(text), F.xxhash64(key)).alias("ids")))
-    out = with_fields(out, "_p", ["ids"])
-    return out.withColumn("n_pieces", F.size("ids").cast("long"))
+@keeps_columns
+def encode_pieces(docs: DataFrame, model: str, key: Column, text: str = "text", alpha: float = 1.0, seed: int = 0, decoded: str | None = None) -> DataFrame:
+    """The documents with ``ids`` and ``n_pieces``; ``model`` is the path of a model file that all workers can read.
+
+    With ``decoded``, the ids are also decoded into a column of that name, by the same worker. Some hundred rows are encoded at a time and handed on.
+    """
+    made = {"ids": "array<int>", "n_pieces": "long"} | ({decoded: "string"} if decoded else {})
+    taken = {n.lower() for n in made}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text).alias("_text"), F.xxhash64(key).alias("_key"))
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in made.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        lattices = worker_cached("pieces", f"{model}:{alpha}", lambda: Lattices(Model(model, alpha)))
+        shape = to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                salted = mixed(np.array(part.column("_key").fill_null(0), dtype=np.int64).view(np.uint64) + np.uint64(seed) * STEP)
+                ids = encode_texts(lattices, part.column("_text").to_pylist(), salted)
+                new = [list_array(ids), pa.array([len(i) for i in ids], pa.int64())]
+                if decoded:
+                    new.append(pa.array([lattices.model.text_of(i)[1:].decode("utf-8", "replace") for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(k).cast(f.type) for k, f in enumerate(shape) if k < len(kept)] + [c.cast(shape.field(len(kept) + k).type) for k, c in enumerate(new)], schema=shape)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text") -> DataFrame:

@@ -94,7 +94,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    back = pieces.decode_pieces(pieces.encode_pieces(docs, model, F.col("doc_id")), model, name="decoded")
+    back = pieces.encode_pieces(docs, model, F.col("doc_id"), decoded="decoded")
     return back.select("doc_id", "n_pieces", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
