@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import text_or_empty
+from ostinato.llm.common import keeps_columns, text_or_empty
 from ostinato.session import cut
 
 #: Published notices and first sentences of licences.
@@ -143,14 +143,19 @@ def parts_of(text: Column, w: Weights, least: float) -> Column:
 
 
 def judged(parts: DataFrame, files: DataFrame, w: Weights, text: str, least: float) -> DataFrame:
-    """``part, best`` of the different parts that reach ``least``; tokens outside the templates weigh by their counts over all files."""
+    """``part, best`` of the different parts that reach ``least``; tokens outside the templates weigh by their counts over all files.
+
+    A part is known by a stored number where its tokens are apart. Tokens that weigh less than the most are in one file of ``RARE`` at least;
+    they are stored first, so that the planner knows how few they are.
+    """
     vocabulary = F.array(*[F.lit(t) for t in w.vocabulary])
     words = files.select(F.explode(F.array_distinct(F.split(F.lower(text_or_empty(text)), "[^a-z0-9]+"))).alias("t"))
-    common = words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") + 1) * RARE > F.lit(w.files + 1))
+    common = cut(words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") + 1) * RARE > F.lit(w.files + 1)), "common")
+    numbered = cut(parts.withColumn("p", F.monotonically_increasing_id()), "different")
     weight = F.coalesce(F.log(F.lit(float(w.files + 1)) / (F.col("n") + 1)) + 1, F.lit(w.most))
-    others = parts.select("part", F.explode(F.array_except("part", vocabulary)).alias("t")).join(common, "t", "left")
-    others = others.groupBy("part").agg(F.sum(F.least(weight, F.lit(w.most)) ** 2).alias("others"))
-    best = parts.join(others, "part", "left").select("part", ranked(cosines(F.col("part"), w, F.coalesce("others", F.lit(0.0)))).alias("best"))
+    others = numbered.select("p", F.explode(F.array_except("part", vocabulary)).alias("t")).join(common, "t", "left")
+    others = others.groupBy("p").agg(F.sum(F.least(weight, F.lit(w.most)) ** 2).alias("others"))
+    best = numbered.join(others, "p", "left").select("part", ranked(cosines(F.col("part"), w, F.coalesce("others", F.lit(0.0)))).alias("best"))
     return cut(best.where(F.col("best.score") >= least), "judged")
 
 
@@ -166,7 +171,7 @@ def headers(files: DataFrame, w: Weights, text: str = "text", least: float = 0.6
         found = found.drop(text)
     found = cut(found, "parts")
     parts = found.where(F.size("_parts") > 0).select(F.explode(F.concat("_parts", "_all")).alias("part")).distinct()
-    best = judged(cut(parts, "different"), files, w, text, least)
+    best = judged(parts, files, w, text, least)
     own = found.select("_row", F.explode("_parts").alias("part")).join(best, "part").groupBy("_row").agg(F.max("best").alias("_header"))
     whole = found.select("_row", F.explode("_all").alias("part")).join(best, "part").where(F.col("best.score") >= 0.98).select("_row", F.col("best").alias("_whole"))
     return found.drop("_parts", "_all").join(own, "_row", "left").join(whole, "_row", "left").drop("_row")
@@ -189,6 +194,7 @@ def ancestors(folder: Column) -> Column:
         n.alias("depth"), F.array_join(F.slice(names, F.lit(1), n), "/").alias("folder")))
 
 
+@keeps_columns
 def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.6, keep_text: bool = True, templates: dict | None = None) -> DataFrame:
     """The files with ``license``, ``basis`` ('file', 'header', 'inherited' or null), ``license_score`` and ``license_folder``."""
     w = weigh(files, text, templates)
