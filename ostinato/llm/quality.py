@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import text_or_empty, with_fields
+from ostinato.llm.common import keeps_columns, text_or_empty, with_fields
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, is it at most the value?, value)
 
@@ -94,22 +94,25 @@ def holds(rule: Rule, x: np.ndarray, names: list[str]) -> np.ndarray:
 
 
 def lasso_logistic(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 300) -> tuple[float, np.ndarray]:
-    """Intercept and weights by accelerated proximal gradient; the intercept is not penalised."""
+    """Intercept and weights by accelerated proximal gradient; the intercept is not penalised. The matrix (single precision) is scaled in place."""
     n = len(y)
-    center = m.mean(axis=0)
-    scale = np.maximum(m.std(axis=0), 0.02)
-    z = (m - center) / scale
-    v = np.random.default_rng(0).normal(size=z.shape[1])
+    center = m.mean(axis=0, dtype=np.float64)
+    scale = np.maximum(np.sqrt(np.maximum(np.einsum("ij,ij->j", m, m) / n - center ** 2, 0)), 0.02)
+    z = m
+    z -= center.astype(m.dtype)
+    z /= scale.astype(m.dtype)
+    v = np.random.default_rng(0).normal(size=z.shape[1]).astype(m.dtype)
     for _ in range(20):  # largest curvature
         v = z.T @ (z @ v)
-        v /= np.linalg.norm(v) + 1e-12
+        v /= np.linalg.norm(v) + m.dtype.type(1e-12)
     rate = 1 / (0.25 * max(float(v @ (z.T @ (z @ v))) / n, 1.0) * 1.1 + 0.25)
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     w, w0, t = np.zeros(z.shape[1]), float(np.log(p / (1 - p))), 1.0
     u, u0 = w.copy(), w0
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(z @ u + u0, -40, 40))) - y
-        g = u - rate * (z.T @ error) / n
+        # vectors take the matrix's precision, or each product would make a second matrix
+        error = 1 / (1 + np.exp(-np.clip((z @ u.astype(z.dtype)).astype(np.float64) + u0, -40, 40))) - y
+        g = u - rate * (z.T @ error.astype(z.dtype)) / n
         new, new0 = np.sign(g) * np.maximum(np.abs(g) - rate * penalty, 0), u0 - rate * float(error.mean())
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         u, u0 = new + (t - 1) / t2 * (new - w), new0 + (t - 1) / t2 * (new0 - w0)
@@ -128,7 +131,10 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], penalty: float = 0.003)
     rules = extract_rules(x, y, names)
     if not rules:
         return float(np.log(p / (1 - p))), []
-    start, w = lasso_logistic(np.column_stack([holds(r, x, names) for r in rules]).astype(np.float32), y, penalty)
+    m = np.empty((len(y), len(rules)), dtype=np.float32)
+    for k, r in enumerate(rules):
+        m[:, k] = holds(r, x, names)
+    start, w = lasso_logistic(m, y, penalty)
     return start, [(float(a), r) for a, r in zip(w, rules) if abs(a) > 1e-6]
 
 
@@ -150,13 +156,16 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     named = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("double").alias("_y")).where(f"_id IS NOT NULL AND _y IS NOT NULL")
     chosen = named.where(~held_out("_id")).distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     stats = statistics(text)
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("_id", "_y", *[c.cast("double").alias(n) for n, c in stats.items()])
+    # only what is needed meets the labels, whatever else the documents' columns are called
+    named_docs = docs.select(F.col(doc_id).alias("_d"), F.struct(*[c.cast("double").alias(n) for n, c in stats.items()]).alias("_s"))
+    rows = named_docs.join(F.broadcast(chosen), F.col("_d") == F.col("_id")).select("_id", "_y", "_s.*")
     # documents that share an id could exceed the sample: keep one of each
-    rows = rows.groupBy("_id", "_y").agg(*[F.min(n).alias(n) for n in stats]).orderBy("_id", "_y").collect()
-    x = np.array([r[2:] for r in rows], dtype=np.float64).reshape(len(rows), len(stats))
-    return fit(x, np.array([r[1] for r in rows], dtype=np.float64), list(stats))
+    rows = rows.groupBy("_id", "_y").agg(*[F.min(n).alias(n) for n in stats]).orderBy("_id", "_y").drop("_id").toArrow()
+    columns = [rows.column(n).to_numpy().astype(np.float64) for n in ["_y", *stats]]
+    return fit(np.column_stack(columns[1:]), columns[0], list(stats))
 
 
+@keeps_columns
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3, **kw) -> DataFrame:
     """The documents with held_out, score (0 to 1, higher: better) and predicted (1 if ``score >= threshold``)."""
     start, rules = learn(docs, labels, doc_id, text, **kw)
