@@ -140,8 +140,8 @@ def records_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     ``instruction`` record, all others as ``messages``."""
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("content"))
     grouped = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("t"))
-    roles, t = F.array_join("t.role", ","), F.col("t")
-    pair, three = roles == "user,assistant", roles == "system,user,assistant"
+    roles, t = F.col("t.role"), F.col("t")  # compared as lists: a role may hold any character
+    pair, three = (roles == F.array(*map(F.lit, x)) for x in (("user", "assistant"), ("system", "user", "assistant")))
 
     def content(i: int) -> Column:
         return F.get(t, F.lit(i))["content"]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ostinato.llm.common import text_or_empty
+from ostinato.llm.common import keeps_columns, text_or_empty
 from ostinato.llm.graph import components
 from ostinato.session import cut
 
@@ -300,6 +300,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
+@keeps_columns
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without those similar to one of a smaller id, by groups; rows without id stay, rows of one id stay or go together."""
     groups = similar_groups(docs, doc_id, text, size, similarity)

@@ -75,3 +75,13 @@ def test_escape_round_trip(spark):
     for r in out:
         assert r.u == r.t and r.r == r.t and "\n" not in r.er
         assert not any(m in r.e for m in ("<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>"))
+
+
+def test_roles_that_look_like_several(spark):
+    """A role with commas is one role, and its turn is not lost."""
+    rows = spark.createDataFrame([(1, 0, "user,assistant", "both"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (3, 0, "system,user", "x"), (3, 1, "assistant", "y")],
+                                 "conv_id long, turn long, role string, text string")
+    records = chat.records_of(rows)
+    done = chat.format_turns(chat.canonical_turns(records, ["prompt", "completion", "instruction", "input", "output", "messages"]))
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in done.select("conv_id", chat.read_turns(done["formatted"]).alias("turns")).collect()}
+    assert back == {1: [("user,assistant", "both")], 2: [("user", "a"), ("assistant", "b")], 3: [("system,user", "x"), ("assistant", "y")]}
