@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ostinato.operators import catalog
+from ostinato.operators import catalog, recommend
 from ostinato.operators.shape import ranked
 from ostinato.plans.common import LISTS_SQL, embedding_edges
+from ostinato.plans.queries_semantic import ROWS_SQL, SIM_SQL, shown
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables
 
@@ -33,6 +34,12 @@ def _(t: Tables):
     return catalog.browse(t.works, t.composers, composer="#000000004", work_type="Nocturne").select("work_id", "title", "score", "rank")
 
 
+@query("p7_browse_rows", "works composers tags", ROWS_SQL.format(first="", why="CAST(NULL AS VARCHAR)", more=""), {"pairs": """SELECT work_id AS dst, 1.0::DOUBLE AS score, CAST(row_number() OVER (ORDER BY work_id) AS INT) AS rank FROM works
+ WHERE composer_id = (SELECT min(composer_id) FROM composers WHERE contains(lower(name), '#000000004')) AND work_type = 'Nocturne' ORDER BY work_id LIMIT 10""", "five": SIM_SQL["five"]})
+def _(t: Tables):
+    return shown(recommend.browse(t.works, t.composers, t.cards, composer="#000000004", work_type="Nocturne"))
+
+
 @query("j2_works_with_composers", "works composers", """SELECT work_id, w.composer_id, name, period, country, birth_year, death_year FROM works w
  LEFT JOIN composers c ON w.composer_id = c.composer_id""")
 def _(t: Tables):

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ostinato.functions.fixed_values import MOOD_QUERIES
 from ostinato.operators import evaluate as ev
-from ostinato.operators import rerank, semantic
+from ostinato.operators import recommend, rerank, semantic
 from ostinato.operators.catalog import search_titles, tags_of_works, with_composers
 from ostinato.operators.tags import unite
-from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, content, draw_sql, embedding_lists, hashed_sql
-from ostinato.plans.queries_semantic import EXPANSION_SQL
+from ostinato.plans.common import CENTROID_SQL, DOT_SQL, FEATURES_SQL, LISTS_SQL, centroid_results, draw_sql, embedding_lists, hashed_sql
+from ostinato.plans.queries_semantic import EXPANSION_SQL, SEM_SENTENCE, SEM_STEPS, SIM_SQL, shown
 from ostinato.plans.registry import ORACLES, query
 from ostinato.plans.views import Tables
 from ostinato.session import cut
@@ -113,7 +113,7 @@ def case_lists(t: Tables):
     from ostinato.functions.fixed_values import EXPECTATION_CASES
     from ostinato.operators.similarity import similar_to
 
-    rows = content(t)[0]
+    rows = t.features
     lists = []
     for name, text, *_rest in EXPECTATION_CASES:
         seed = search_titles(t.works, text, 1).select("work_id").collect()
@@ -199,6 +199,20 @@ def _(t: Tables):
     return _round(out, "feature_coverage").withColumn("avg_similarity", F.round("avg_similarity", 9))
 
 
+@query("v11_mood_search", "works composers tags", f""", c0 AS (SELECT w.work_id, title, key AS pk, nullif(lower(work_type), '') AS wl, work_type AS wt, period, coalesce(string_split(five, '|'), CAST([] AS VARCHAR[])) AS l, query FROM mdrawn x
+  JOIN works w ON w.work_id = x.work_id LEFT JOIN composers c ON w.composer_id = c.composer_id LEFT JOIN five ON five.work_id = w.work_id),
+{SEM_STEPS}, sx AS ({SEM_SENTENCE})
+SELECT x.query, w.work_id, title, coalesce(name, 'Unknown') AS composer, work_type, key, period, score AS similarity_score, CAST(row_number() OVER (PARTITION BY x.query ORDER BY score DESC, w.work_id) AS INT) AS rank,
+ sx.explanation, five AS tags FROM mdrawn x JOIN works w ON w.work_id = x.work_id LEFT JOIN composers c ON c.composer_id = w.composer_id LEFT JOIN five ON five.work_id = w.work_id LEFT JOIN sx ON sx.work_id = x.work_id AND sx.query = x.query""",
+       {k: v for k, v in MOOD_SQL.items() if k not in ("mx", "hx")} | {
+           "hits": MOOD_SQL["hits"].replace("<= 10", "<= 30"), "five": SIM_SQL["five"],
+           "mdrawn": f"SELECT query, work_id, score FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY -ln({draw_sql('query', 'work_id')}) / greatest(score, 1e-12), work_id) <= 10"})
+def _(t: Tables):
+    """All fixed mood queries: expansion, encoder, threshold, draw, cards and explanations in one job."""
+    q = t.spark.createDataFrame([(x,) for x, _ in MOOD_QUERIES], "query string")
+    return shown(recommend.mood_search(q, semantic.describe_works(t.works, t.composers, t.tags), t.cards))
+
+
 @query("e7_result_coverage", "works composers tags", """SELECT CAST((SELECT count(*) FROM embeddings) AS BIGINT) AS total_works_in_catalog, CAST(count(DISTINCT work_id) AS BIGINT) AS works_returned,
  CAST(count(DISTINCT query) AS BIGINT) AS queries_tested, round(count(DISTINCT work_id) / (SELECT count(*) FROM embeddings), 6) AS coverage_ratio FROM res""", SEARCH_SQL)
 def _(t: Tables):

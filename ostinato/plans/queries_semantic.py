@@ -54,15 +54,26 @@ def _(t: Tables):
 
 # --- explanations ----------------------------------------------------------------------------------
 
-SIM_SQL = """, card AS (SELECT w.work_id, w.composer_id, work_type, key, period, coalesce(l, CAST([] AS VARCHAR[])) AS l FROM works w LEFT JOIN composers c ON w.composer_id = c.composer_id
- LEFT JOIN (SELECT work_id, list(tag) AS l FROM tags GROUP BY 1) g ON g.work_id = w.work_id),
- r AS (SELECT src, dst, coalesce(a.composer_id = b.composer_id, false) AS sc, CASE WHEN a.period = b.period THEN b.period END AS p, CASE WHEN a.work_type = b.work_type THEN b.work_type END AS t,
-  CASE WHEN a.key = b.key THEN concat('in ', b.key) END AS k, list_min(list_intersect(a.l, b.l)) AS style FROM pairs JOIN card a ON a.work_id = src JOIN card b ON b.work_id = dst),
- s AS (SELECT *, list_filter([p, t, k], lambda x: x IS NOT NULL) AS att FROM r)
-SELECT src, dst, CASE WHEN sc AND len(att) > 0 THEN concat('Like your selection, this is a ', array_to_string(att, ' '), ' by the same composer') WHEN sc THEN 'From the same composer as your selection'
+SIM_SQL = {
+    "card": """SELECT w.work_id, w.composer_id, work_type, key, period, coalesce(l, CAST([] AS VARCHAR[])) AS l FROM works w LEFT JOIN composers c ON w.composer_id = c.composer_id
+ LEFT JOIN (SELECT work_id, list(tag) AS l FROM tags GROUP BY 1) g ON g.work_id = w.work_id""",
+    "sr": """SELECT src, dst, coalesce(a.composer_id = b.composer_id, false) AS sc, CASE WHEN a.period = b.period THEN b.period END AS p, CASE WHEN a.work_type = b.work_type THEN b.work_type END AS t,
+  CASE WHEN a.key = b.key THEN concat('in ', b.key) END AS k, list_min(list_intersect(a.l, b.l)) AS style FROM pairs JOIN card a ON a.work_id = src JOIN card b ON b.work_id = dst""",
+    "expl": """SELECT src, dst, CASE WHEN sc AND len(att) > 0 THEN concat('Like your selection, this is a ', array_to_string(att, ' '), ' by the same composer') WHEN sc THEN 'From the same composer as your selection'
  WHEN len(att) = 1 THEN concat('Like your selection, this is also ', att[1]) WHEN len(att) = 2 THEN concat('Shares ', att[1], ' and ', att[2], ' with your selection')
  WHEN len(att) = 3 THEN concat('Shares ', att[1], ', ', att[2], ', and ', att[3], ' with your selection') WHEN style IS NOT NULL THEN concat('Features similar ', style, ' character to your selection')
- ELSE 'Recommended based on overall musical similarity' END AS explanation FROM s"""
+ ELSE 'Recommended based on overall musical similarity' END AS explanation FROM (SELECT *, list_filter([p, t, k], lambda x: x IS NOT NULL) AS att FROM sr)""",
+    "five": "SELECT work_id, string_agg(tag, '|' ORDER BY tag, source) AS five FROM (SELECT * FROM tags QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY tag, source) <= 5) GROUP BY 1",
+}
+#: Full rows of ``pairs (src, dst, score, rank)``.
+ROWS_SQL = """SELECT {first}w.work_id, title, coalesce(name, 'Unknown') AS composer, work_type, key, period, x.score AS similarity_score, x.rank, {why} AS explanation, five AS tags FROM pairs x JOIN works w ON w.work_id = x.dst
+ LEFT JOIN composers c ON c.composer_id = w.composer_id LEFT JOIN five ON five.work_id = w.work_id {more}"""
+EXPLAINED_SQL = ROWS_SQL.format(first="{first}", why="explanation", more="LEFT JOIN (SELECT src AS es, dst AS ed, explanation FROM expl) ON es = x.src AND ed = x.dst")
+
+
+def shown(df):
+    """Tags as one text, for comparison."""
+    return df.withColumn("tags", F.array_join("tags", "|"))
 
 
 def work_cards(t: Tables):
@@ -70,12 +81,12 @@ def work_cards(t: Tables):
         "work_id", "composer_id", "title", "work_type", "key", "period", "tags")
 
 
-@query("f10_explain_similarity", "works composers tags", SIM_SQL, {"pairs": """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
- ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"""})
+@query("f10_explain_similarity", "works composers tags", "SELECT src, dst, explanation FROM expl", {"pairs": """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+ ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"""} | SIM_SQL)
 def _(t: Tables):
     from ostinato.plans.queries_similarity import bought_pairs
 
-    return explain.explain_pairs(bought_pairs(t), work_cards(t))
+    return explain.explain_pairs(bought_pairs(t), t.cards)
 
 
 _LISTED = "[" + ", ".join(f"'{w}'" for w in CHARACTER_WORDS) + "]"
@@ -105,6 +116,11 @@ SELECT work_id, query, CASE WHEN p IS NOT NULL AND w IS NOT NULL AND ph IS NOT N
  WHEN p IS NOT NULL THEN 'Recommended based on musical similarity to your search' ELSE 'A piece that matches the mood you''re looking for' END AS explanation FROM c8"""
 
 
+#: The steps of SEM_SQL from rows ``c0`` on, and its sentence over the last of them.
+SEM_STEPS, SEM_SENTENCE = SEM_SQL[SEM_SQL.index(" c1 AS ("):].rsplit("\nSELECT ", 1)
+SEM_SENTENCE = "SELECT " + SEM_SENTENCE
+
+
 @query("f11_explain_search", "works composers tags query_log", SEM_SQL)
 def _(t: Tables):
     acts = t.query_log.select("activity").distinct().agg(F.array_sort(F.collect_set("activity")).alias("acts"))  # nine activities

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ostinato.functions.fixed_values import CATALOG_FLAGS
 from ostinato.operators import features as ft
-from ostinato.operators import neighbours, rerank, similarity
+from ostinato.operators import neighbours, recommend, rerank, similarity
 from ostinato.operators.catalog import first_per_type
-from ostinato.plans.common import DOT_SQL, FEATURES_SQL, LISTS_SQL, content, draw_sql, embedding_edges
+from ostinato.plans.common import DOT_SQL, FEATURES_SQL, LISTS_SQL, draw_sql, embedding_edges
+from ostinato.plans.queries_semantic import EXPLAINED_SQL, SIM_SQL, shown
 from ostinato.plans.registry import query
 from ostinato.plans.views import Tables, _re2
 
@@ -67,13 +68,13 @@ def _(t: Tables):
 
 @query("v4_composites", WCG, "SELECT work_id, concat(period, '_', work_type) AS a, concat(period, '_', key) AS b, round(n2, 6) AS norm2 FROM featn", ALL)
 def _(t: Tables):
-    return content(t)[0].select("work_id", ft.composite("period", "work_type").alias("a"), ft.composite("period", "key").alias("b"), F.round("norm2", 6).alias("norm2"))
+    return t.features.select("work_id", ft.composite("period", "work_type").alias("a"), ft.composite("period", "key").alias("b"), F.round("norm2", 6).alias("norm2"))
 
 
 @query("v5_pair_scores", WCG, f""", s AS (SELECT src, dst, {DOT_SQL} AS d, a.n2 AS na, b.n2 AS nb FROM pairs JOIN featn a ON a.work_id = src JOIN featn b ON b.work_id = dst)
 SELECT src, dst, round(d / sqrt(na * nb), 6) + 0.0 AS cosine, round(1 / (1 + sqrt(greatest(round(na + nb - 2 * d, 9), 0.0))), 6) AS euclidean, round(d, 6) + 0.0 AS dot FROM s""", ALL | PAIRS_SQL)
 def _(t: Tables):
-    return similarity.score_pairs(bought_pairs(t), content(t)[0], ["cosine", "euclidean", "dot"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["cosine", "euclidean", "dot"])
 
 
 L1_SQL = """10.0 * CAST(a.name <> b.name AS INT) + 6.0 * CAST(a.period <> b.period AS INT) + 4.0 * CAST(a.work_type <> b.work_type AS INT) + 3.0 * CAST(a.country <> b.country AS INT)
@@ -84,28 +85,32 @@ L1_SQL = """10.0 * CAST(a.name <> b.name AS INT) + 6.0 * CAST(a.period <> b.peri
 
 @query("v5_manhattan", WCG, f"SELECT src, dst, round(1 / (1 + {L1_SQL}), 6) AS manhattan FROM pairs JOIN featn a ON a.work_id = src JOIN featn b ON b.work_id = dst", ALL | PAIRS_SQL)
 def _(t: Tables):
-    return similarity.score_pairs(bought_pairs(t), content(t)[0], ["manhattan"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["manhattan"])
 
 
 @query("v6_top_edges", WCG, f"""SELECT a.work_id AS src, b.work_id AS dst, round({DOT_SQL.replace(chr(10), ' ')}, 12) AS d, round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) AS score,
  CAST(row_number() OVER (PARTITION BY a.work_id ORDER BY round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) DESC, b.work_id) AS INT) AS rank
  FROM featn a JOIN featn b ON a.work_id <> b.work_id QUALIFY rank <= 10""".replace(f"round({DOT_SQL.replace(chr(10), ' ')}, 12) AS d, ", ""), ALL)
 def _(t: Tables):
-    return similarity.all_edges(content(t, store=False)[0], 10)
+    return similarity.all_edges(t.features, 10)
 
 
 SEED_SQL = f"""SELECT work_id, score, CAST(row_number() OVER (ORDER BY score DESC, work_id) AS INT) AS rank FROM (SELECT b.work_id, round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) AS score
  FROM featn a JOIN featn b ON a.work_id <> b.work_id WHERE a.work_id = {{seed}}) ORDER BY score DESC, work_id LIMIT 10"""
 
 
-@query("v7_similar", WCG, SEED_SQL.format(seed=42), ALL)
+SEED = "SELECT {seed} AS src, work_id AS dst, score, rank FROM ({sql})"
+TITLE_SEED = "(SELECT min(work_id) FROM works WHERE contains(lower(title), 'nocturne in g'))"
+
+
+@query("v7_similar", WCG, EXPLAINED_SQL.format(first=""), ALL | {"pairs": SEED.format(seed=42, sql=SEED_SQL.format(seed=42))} | SIM_SQL)
 def _(t: Tables):
-    return similarity.similar_to(content(t)[0], 42)
+    return shown(recommend.similar(t.features, t.cards, 42))
 
 
-@query("v8_similar_to_title", WCG, SEED_SQL.format(seed="(SELECT min(work_id) FROM works WHERE contains(lower(title), 'nocturne in g'))"), ALL)
+@query("v8_similar_to_title", WCG, EXPLAINED_SQL.format(first=""), ALL | {"pairs": SEED.format(seed=TITLE_SEED, sql=SEED_SQL.format(seed=TITLE_SEED))} | SIM_SQL)
 def _(t: Tables):
-    return similarity.similar_to_title(content(t)[0], t.works, "Nocturne in G")
+    return shown(recommend.similar_to_title(t.features, t.cards, "Nocturne in G"))
 
 
 def _greedy_sql(rounds: int, weight: float = 0.3) -> tuple[dict[str, str], str]:
@@ -129,7 +134,12 @@ _CTES, _BODY = _greedy_sql(10)
 
 @query("v9_diverse", WCG, _BODY, ALL | _CTES)
 def _(t: Tables):
-    return rerank.diverse(content(t)[0], first_per_type(t.works).select("work_id"), 10)
+    return rerank.diverse(t.features, first_per_type(t.works).select("work_id"), 10)
+
+
+@query("v9_diverse_rows", WCG, EXPLAINED_SQL.format(first="x.src AS seed_id, "), ALL | _CTES | {"pairs": f"SELECT seed_id AS src, item_id AS dst, score, rank FROM ({_BODY})"} | SIM_SQL)
+def _(t: Tables):
+    return shown(recommend.diverse(t.features, t.cards, first_per_type(t.works).select("work_id"), 10))
 
 
 def _greedy_vectors_sql(rounds: int, weight: float) -> tuple[dict[str, str], str]:
@@ -208,14 +218,14 @@ def _(t: Tables):
  UNION ALL SELECT 'composite', count(DISTINCT concat(period, '_', work_type)) + count(DISTINCT concat(period, '_', key)) FROM feat
  UNION ALL SELECT 'key', 2 UNION ALL SELECT 'catalog', 8 UNION ALL SELECT 'tags', count(*) FROM vocab""", ALL)
 def _(t: Tables):
-    _rows, _vectors, vocabulary = content(t)
+    vocabulary = ft.tag_tfidf(t.works, t.tags)[1]
     return ft.group_ranges(t.works, t.composers, vocabulary)
 
 
 @query("v15_feature_group", WCG, "SELECT work_id, concat('tag_', term) AS feature, round(2.5 * weight, 6) AS value FROM tfidf", ALL)
 def _(t: Tables):
-    rows, _vectors, vocabulary = content(t)
-    return ft.feature_group(rows, "tags", vocabulary).withColumn("value", F.round("value", 6))
+    vocabulary = ft.tag_tfidf(t.works, t.tags)[1]
+    return ft.feature_group(t.features, "tags", vocabulary).withColumn("value", F.round("value", 6))
 
 
 @query("x4_custom_metric", WCG, "SELECT src, dst, round((CAST(a.name = b.name AS INT) + CAST(a.key = b.key AS INT)) / 2.0, 6) AS shared_facts FROM pairs JOIN featn a ON a.work_id = src JOIN featn b ON b.work_id = dst", ALL | PAIRS_SQL)
@@ -224,7 +234,7 @@ def _(t: Tables):
         return (F.when(a("name") == b("name"), 1.0).otherwise(0.0) + F.when(a("key") == b("key"), 1.0).otherwise(0.0)) / 2
 
     similarity.register_metric("shared_facts", shared_facts)
-    return similarity.score_pairs(bought_pairs(t), content(t)[0], ["shared_facts"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["shared_facts"])
 
 
 # --- top-k over embeddings ------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ Each view is one SQL text that both engines run.  ``Tables`` gives the views as
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import cached_property
 
@@ -23,7 +24,8 @@ from ostinato.functions.fixed_values import (
     WORK_TYPE_PATTERNS,
 )
 from ostinato.functions.titles import enrich_titles, period_of
-from ostinato.session import cut
+from ostinato.session import cut, shared_folder
+from ostinato.sources.catalogue import kept
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -188,10 +190,27 @@ class Tables:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
         return self.spark.sql(text, **{t: self.base(t) for t in used})
 
+    def _kept(self, name: str, sources: str, build, key: str = "work_id") -> DataFrame:
+        """A derived table stored for this folder's files, sorted by work; built by the first query that needs it."""
+        folder = f"{shared_folder(self.spark).rstrip('/')}/catalogue/{hashlib.md5(self.folder.encode()).hexdigest()}/{name}"
+        return kept(self.spark, folder, "1", [self.base(t) for t in sources.split()], build, key)
+
     # Works are parsed once and stored, as the conforming job does; queries then scan the stored columns.
     @cached_property
     def works(self) -> DataFrame:
-        return cut(enrich_titles(self._raw("raw_works")), "works")
+        return self._kept("works", "part", lambda: enrich_titles(self._raw("raw_works")))
+
+    @cached_property
+    def features(self) -> DataFrame:
+        from ostinato.operators.features import feature_rows, tag_tfidf
+
+        return self._kept("features", "part supplier nation", lambda: feature_rows(self.works, self.composers, tag_tfidf(self.works, self.tags)[0]))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        from ostinato.operators.recommend import cards
+
+        return self._kept("cards", "part supplier nation", lambda: cards(self.works, self.composers, self.tags))
 
     @cached_property
     def raw_works(self) -> DataFrame:

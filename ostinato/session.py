@@ -47,3 +47,22 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path whose writing has been committed; none if the path does not exist."""
+    p, fs = _file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory() and fs.exists(done(f.getPath(), "_SUCCESS"))]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _file_system(spark, path)
+    fs.delete(p, True)

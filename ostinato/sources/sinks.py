@@ -123,11 +123,11 @@ def content_stamp(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def load_or_build(
-    spark: SparkSession, folder: str, version: str, source: DataFrame, build, force_rebuild: bool = False
+    spark: SparkSession, folder: str, version: str, source: DataFrame, build, force_rebuild: bool = False, write=None
 ) -> tuple[DataFrame, bool]:
     """Reuse the artefact in ``folder`` when version, row count and content hash agree, else build it.
 
-    Returns the frame and whether it was reused.  A data folder is never overwritten: each build has
+    Returns the frame and whether it was reused; ``write(frame, path)`` sets the layout.  A data folder is never overwritten: each build has
     its own, and the metadata table names the current one.
     """
     stamp = content_stamp(source).first()
@@ -141,7 +141,7 @@ def load_or_build(
                 version, stamp["rows"], stamp["hash_xor"], stamp["hash_sum"]):
             return spark.read.parquet(meta["data"]), True
     data = f"{folder}/data-{uuid.uuid4().hex}"
-    build(source).write.parquet(data)
+    (write or (lambda df, path: df.write.parquet(path)))(build(source), data)
     row = (version, stamp["rows"], stamp["hash_xor"], stamp["hash_sum"], data, datetime.now(timezone.utc))
     spark.createDataFrame(
         [row], "version string, rows bigint, hash_xor bigint, hash_sum string, data string, created_at timestamp"

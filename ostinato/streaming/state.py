@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ostinato.operators.interactions import latest_per_key
+from ostinato.session import delete_folder, finished_folders
 
 
 #: Rows that a state entry or an emitted frame holds at most.
@@ -35,42 +38,71 @@ def order_key(type_name: str):
 
 
 class KeyedTable:
-    """Current rows per key, kept as a base and per-batch deltas.
+    """Current rows per key, kept as versions of a base, a manifest that names the current one, and a bounded number of deltas.
 
-    A micro-batch writes only its own latest rows, into a folder named by the batch id, so a repeated
-    batch overwrites itself.  Reading takes the latest row per key over base and deltas; ``compact``
-    folds the deltas into a new base.
+    A micro-batch writes only its own latest rows, into a folder named by the batch id, so a repeated batch overwrites itself.  Every ``fold_every``
+    deltas the stream folds them into the next base and then writes its manifest row, which is the switch: a crash before it leaves the old
+    version current, and the repeated batch folds again over the unfinished base.  The base before last and the deltas folded into it go after
+    the switch, so readers of the last version are not disturbed.  Tombstones stay in the base, so an older row that comes late stays deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], tombstone: str | None = None):
-        self.spark, self.path, self.keys, self.order, self.tombstone = spark, path, keys, order, tombstone
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], tombstone: str | None = None, fold_every: int = 20):
+        self.spark, self.path, self.keys, self.order, self.tombstone, self.fold_every = spark, path, keys, order, tombstone, fold_every
 
-    def _read(self, part: str) -> DataFrame | None:
+    def manifest(self) -> tuple[int, int, int]:
+        """The current version, the last batch folded into it, and that of the version before; (0, -1, -1) without a base."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{part}")
+            row = self.spark.read.schema("version int, folded bigint, before bigint").parquet(f"{self.path}/manifest").select("version", "folded", "before").orderBy(F.desc("version")).first()
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
+            row = None
+        return tuple(row) if row else (0, -1, -1)
+
+    def pending(self, folded: int) -> list[int]:
+        """Complete deltas after the folded ones."""
+        found = [int(n.removeprefix("batch=")) for n in finished_folders(self.spark, f"{self.path}/deltas")]
+        return sorted(i for i in found if i > folded)
+
+    def merge(self, batch: DataFrame, batch_id: int) -> None:
+        version, folded, _ = self.manifest()
+        if batch_id <= folded:
+            return  # a batch repeated after its fold
+        latest_per_key(batch, self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
+        if len(self.pending(folded)) >= self.fold_every:
+            self.fold()
+
+    def fold(self) -> None:
+        """Write base and pending deltas as the next base, switch to it, and delete what no version needs."""
+        version, folded, before = self.manifest()
+        waiting = self.pending(folded)
+        if not waiting:
+            return
+        latest_per_key(self._all(), self.keys, self.order).write.mode("overwrite").parquet(f"{self.path}/base/v={version + 1}")
+        row = self.spark.createDataFrame([(version + 1, waiting[-1], folded)], "version int, folded bigint, before bigint")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version + 1}")
+        for i in finished_folders(self.spark, f"{self.path}/deltas"):
+            if int(i.removeprefix("batch=")) <= folded:
+                delete_folder(self.spark, f"{self.path}/deltas/{i}")
+        if version > 1:
+            delete_folder(self.spark, f"{self.path}/base/v={version - 1}")
 
     def _all(self) -> DataFrame:
-        parts = [p for p in (self._read("base"), self._read("deltas")) if p is not None]
+        version, folded, _ = self.manifest()
+        parts = [f"{self.path}/base/v={version}"] * (version > 0) + [f"{self.path}/deltas/batch={i}" for i in self.pending(folded)]
         if not parts:
             raise FileNotFoundError(self.path)
-        parts = [p.drop("batch") for p in parts]
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return reduce(lambda a, b: a.unionByName(b), [self.spark.read.parquet(p) for p in parts])
 
     def current(self) -> DataFrame:
         gone: Column | None = F.expr(self.tombstone) if self.tombstone else None
         return latest_per_key(self._all(), self.keys, self.order, gone)
 
     def compact(self, new_path: str) -> "KeyedTable":
-        """Write the latest rows (tombstones too) as the base of a new folder."""
-        latest_per_key(self._all(), self.keys, self.order).write.parquet(f"{new_path}/base")
-        return KeyedTable(self.spark, new_path, self.keys, self.order, self.tombstone)
+        """Write the latest rows (tombstones too) as the first base of a new folder."""
+        latest_per_key(self._all(), self.keys, self.order).write.parquet(f"{new_path}/base/v=1")
+        self.spark.createDataFrame([(1, -1, -1)], "version int, folded bigint, before bigint").coalesce(1).write.parquet(f"{new_path}/manifest/v=1")
+        return KeyedTable(self.spark, new_path, self.keys, self.order, self.tombstone, self.fold_every)
 
     def follow(self, changes: DataFrame, checkpoint: str, **trigger):
         """Start the stream that merges changes into this table."""
