@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ostinato.functions.fixed_values import DEFAULT_LATENCY_LIMITS, LATENCY_LIMITS
-from ostinato.operators.shape import ranked
+from ostinato.operators.shape import numbered, ranked
 
 
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str], tombstone: Column | None = None) -> DataFrame:
@@ -81,7 +81,7 @@ def latency_summary(samples: DataFrame) -> DataFrame:
 
 def history_rows(results: DataFrame, session: list[str], order: list[Column]) -> DataFrame:
     """Recommendation history rows: each session's results with rank 1..n and the query as vibe."""
-    rows = ranked(results, session, order, None, "rank")
+    rows = numbered(results, session, order, "rank")
     return rows.withColumn("vibe", F.col("query"))
 
 

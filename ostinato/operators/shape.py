@@ -55,3 +55,28 @@ def numbered_in_order(df: DataFrame, column: str, name: str = "position") -> Dat
     inside = F.row_number().over(Window.partitionBy("_p").orderBy(column))
     return placed.withColumn("_i", inside).join(offsets, "_p").withColumn(
         name, (F.col("_before") + F.col("_i") - 1).cast("int")).drop("_p", "_i", "_before")
+
+
+def running_total(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
+    """Running sum of ``value`` in each key, this row included, for keys of any size.
+
+    Rows are range-partitioned by key and order, so a key with very many rows spans many tasks; each task sums its own part, and what came
+    before is joined to the few keys that span several tasks (at most two a task).
+    """
+    from ostinato.session import cut
+
+    placed = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()).withColumn("_v", value), "ranges")
+    sizes = placed.groupBy(*keys, "_p").agg(F.sum("_v").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    spanning = sizes.withColumn("_parts", F.count("*").over(whole)).filter("_parts > 1")
+    before = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spanning.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_p") == F.col("_q")])
+    inside = F.sum("_v").over(Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = placed.withColumn("_i", inside).join(offsets, same, "left")
+    return summed.select(*df.columns, (F.col("_i") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Rank 1.. of all rows of each key, for keys of any size; rows equal in the whole order are numbered as they come."""
+    return running_total(df, keys, order, F.lit(1), name).withColumn(name, F.col(name).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ostinato.operators import catalog, recommend
-from ostinato.operators.shape import ranked
+from ostinato.operators.shape import numbered
 from ostinato.plans.common import LISTS_SQL, embedding_edges
 from ostinato.plans.queries_semantic import ROWS_SQL, SIM_SQL, shown
 from ostinato.plans.registry import query
@@ -93,5 +93,5 @@ def _(t: Tables):
 
 @query("w1_rank_history", "history", """SELECT user_id, work_id, relevance_score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY relevance_score DESC, work_id, seq, rank) AS INT) AS place FROM history""")
 def _(t: Tables):
-    return ranked(t.history, ["user_id"], [F.desc("relevance_score"), "work_id", "seq", "rank"], None, "place").select(
+    return numbered(t.history, ["user_id"], [F.desc("relevance_score"), F.col("work_id"), F.col("seq"), F.col("rank")], "place").select(
         "user_id", "work_id", "relevance_score", "place")

@@ -181,3 +181,24 @@ def test_aliases_meet_titles_by_their_rarest_gram(spark):
     assert conform.title_grams(long_titles, []).groupBy("work_id").count().agg(F.max("count")).first()[0] <= 40
     index = conform.alias_index(conform.composer_aliases(composers).filter("alias <> ''"))
     assert index.count() == len(aliases)
+
+
+def test_numbering_of_a_hot_key(spark):
+    """A key with nine tenths of the rows spans several tasks and is numbered without gaps; nulls are a key."""
+    from ostinato.operators import shape
+
+    df = spark.range(20000).select((F.col("id") * 7919 % 20011).alias("v"), F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("k"), F.lit("x").alias("other"))
+    got = shape.numbered(df, ["k"], [F.desc("v")], "place")
+    assert got.columns == ["v", "k", "other", "place"]
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.k, []).append((r.place, -r.v))
+    assert len(rows["hot"]) == 18000 and len(rows[None]) == 1000
+    for found in rows.values():
+        found.sort()
+        assert [p for p, _ in found] == list(range(1, len(found) + 1)) and [v for _, v in found] == sorted(v for _, v in found)
+    totals = shape.running_total(df.filter("k = 'hot'"), ["k"], [F.col("v")], F.col("v"), "s").orderBy("v").collect()
+    run = 0
+    for r in totals:
+        run += r.v
+        assert r.s == run
