@@ -25,7 +25,7 @@ from ostinato.functions.fixed_values import (
 )
 from ostinato.functions.titles import enrich_titles, period_of
 from ostinato.session import cut, shared_folder
-from ostinato.sources.catalogue import kept
+from ostinato.sources.catalogue import kept, spread
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -190,15 +190,16 @@ class Tables:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
         return self.spark.sql(text, **{t: self.base(t) for t in used})
 
-    def _kept(self, name: str, sources: str, build, key: str = "work_id") -> DataFrame:
+    def _kept(self, name: str, sources: str, build, key: str = "work_id", ranged: bool = False) -> DataFrame:
         """A derived table stored for this folder's files, sorted by work; built by the first query that needs it."""
         folder = f"{shared_folder(self.spark).rstrip('/')}/catalogue/{hashlib.md5(self.folder.encode()).hexdigest()}/{name}"
-        return kept(self.spark, folder, "1", [self.base(t) for t in sources.split()], build, key)
+        return kept(self.spark, folder, "1", [self.base(t) for t in sources.split()], build, key, ranged=ranged)
 
     # Works are parsed once and stored, as the conforming job does; queries then scan the stored columns.
+    # They are spread before the parse: a file of part is small, but each title costs many patterns.
     @cached_property
     def works(self) -> DataFrame:
-        return self._kept("works", "part", lambda: enrich_titles(self._raw("raw_works")))
+        return self._kept("works", "part", lambda: enrich_titles(spread(self._raw("raw_works"), "work_id")), ranged=True)
 
     @cached_property
     def features(self) -> DataFrame:
@@ -218,11 +219,11 @@ class Tables:
 
     @cached_property
     def dirty_works(self) -> DataFrame:
-        return cut(enrich_titles(self._raw("raw_dirty_works"), "full_title").drop("full_title"), "dirty-works")
+        return cut(enrich_titles(spread(self._raw("raw_dirty_works"), "work_id"), "full_title").drop("full_title"), "dirty-works")
 
     @cached_property
     def named_works(self) -> DataFrame:
-        return cut(enrich_titles(self._raw("raw_named_works")), "named-works")
+        return cut(enrich_titles(spread(self._raw("raw_named_works"), "work_id")), "named-works")
 
     @cached_property
     def composers(self) -> DataFrame:

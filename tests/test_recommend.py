@@ -89,3 +89,27 @@ def test_mood_search_is_one_job(stored, tables, spark):
     assert rows == recommend.mood_search(q, descriptions, cards, 5).collect()
     best = recommend.mood_search(q, descriptions, cards, 5, multiplier=None).collect()
     assert len(best) == len(rows) and min(r.similarity_score for r in best) >= 0.15
+
+
+def test_works_are_spread_before_the_parse(spark, monkeypatch):
+    """One file of many works is many tasks, in ranges of the key; a key with most rows is not one task."""
+    monkeypatch.setattr(catalogue, "ROWS_A_TASK", 100)
+    df = spark.range(1000).selectExpr("id AS work_id", "concat('Sonata in C, Op. ', id) AS title").coalesce(1)
+    parts = catalogue.spread(df, "work_id").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("work_id").alias("a"), F.max("work_id").alias("b")).orderBy("a").collect()
+    assert len(parts) > 5 and sum(r.n for r in parts) == 1000 and all(x.b < y.a for x, y in zip(parts, parts[1:]))
+    nulls = df.withColumn("work_id", F.lit(None).cast("bigint"))
+    assert catalogue.spread(nulls, "work_id").select(F.spark_partition_id()).distinct().count() > 5
+
+
+def test_kept_works_are_parsed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    spark.range(500).withColumnRenamed("id", "work_id").write.parquet(str(tmp_path / "src"))
+    src = spark.read.parquet(str(tmp_path / "src"))
+    got = catalogue.kept(spark, str(tmp_path / "kept"), "1", [src], lambda: catalogue.spread(src, "work_id").mapInArrow(mark, "work_id bigint"), "work_id", ranged=True)
+    assert got.count() == 500 and seen.value == 500
