@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -86,7 +88,9 @@ def limit_stream(requests: DataFrame, rate: int = 60, period: float = 60, client
     """The same decisions as a stream; a bucket not used for ``idle_seconds``, and long enough to be full again, is dropped.
 
     A request is decided once the watermark has passed its time slot, so requests may arrive in any order inside the watermark. Until then it waits in
-    its client's state: requests are kept slot by slot in parts that are written once and read once; the bucket is two numbers.
+    its client's state, in sorted parts of at most FRAME rows; one value lists the parts with their first and last time, and a client has one timer, for
+    its next slot. So the state is touched some times a client and batch, not a slot. The bucket is two numbers. A client with more rows waiting
+    than FRAME keeps its parts in bins of time, the narrower the more rows wait, so that few parts overlap and are in memory at once.
     """
     ct, tt = requests.schema[client].dataType.simpleString(), requests.schema[tie].dataType.simpleString()
     tied = order_key(tt)
@@ -96,49 +100,88 @@ def limit_stream(requests: DataFrame, rate: int = 60, period: float = 60, client
         def init(self, handle) -> None:
             self.handle = handle
             self.bucket = handle.getValueState("bucket", "tokens double, last double")
-            self.slots = handle.getMapState("slots", "slot bigint", "parts int")
-            self.parts = handle.getMapState("parts", "slot bigint, part int", "us array<bigint>, ids array<string>")
+            self.waiting = handle.getValueState("waiting", "timer bigint, next bigint, no array<bigint>, first array<bigint>, last array<bigint>, n array<bigint>")
+            self.parts = handle.getMapState("parts", "part bigint", "us array<bigint>, ids array<string>")
+
+        def listed(self):
+            """The timer set, the number of the next part, and the waiting parts as (first, last, number, rows)."""
+            if not self.waiting.exists():
+                return None, 0, []
+            timer, number, no, first, last, n = self.waiting.get()
+            return timer, number, list(zip(first, last, no, n))
+
+        def keep(self, timer, number, parts) -> None:
+            """Store the list of parts, with a timer for the end of the first slot unless one is due by then."""
+            if not parts:
+                if self.waiting.exists():
+                    self.waiting.clear()
+                return
+            due = -(-(min(p[0] for p in parts) // width + 1) * width // 1000)
+            if timer is None or due < timer:
+                self.handle.registerTimer(due)
+                timer = due
+            first, last, no, n = (list(x) for x in zip(*parts))
+            self.waiting.update((timer, number, no, first, last, n))
+
+        def store(self, rows, number, parts) -> int:
+            """Write sorted rows (us, id) as parts behind the listed ones; returns the number of the next part."""
+            for at in range(0, len(rows), FRAME):
+                us, ids = zip(*rows[at:at + FRAME])
+                self.parts.updateValue((number,), (list(us), list(ids)))
+                parts.append((us[0], us[-1], number, len(us)))
+                number += 1
+            return number
 
         def handleInputRows(self, key, rows, timerValues):
+            timer, number, parts = self.listed()
+            total = sum(p[3] for p in parts)
             for frame in rows:
-                frame = frame.assign(slot=frame["us"] // width)
-                for slot, own in frame.groupby("slot", sort=False):
-                    slot = int(slot)
-                    n = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
-                    if n == 0:
-                        self.handle.registerTimer(-(-(slot + 1) * width // 1000))
-                    for at in range(0, len(own), FRAME):
-                        part = own.iloc[at:at + FRAME]
-                        self.parts.updateValue((slot, n), (part["us"].tolist(), part["id"].tolist()))
-                        n += 1
-                    self.slots.updateValue((slot,), (n,))
+                if frame.empty:
+                    continue
+                found = sorted(zip(frame["us"].tolist(), frame["id"].tolist()), key=lambda r: r[0])
+                total += len(found)
+                low, high = min([found[0][0], *(p[0] for p in parts)]), max([found[-1][0], *(p[1] for p in parts)])
+                span = max(width, (high - low) * 8 * FRAME // total + 1) if total > FRAME else high - low + 1
+                at = 0
+                while at < len(found):
+                    end, bin_ = at, (found[at][0] - low) // span
+                    while end < len(found) and (found[end][0] - low) // span == bin_:
+                        end += 1
+                    number = self.store(found[at:end], number, parts)
+                    at = end
+            self.keep(timer, number, parts)
             yield from ()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             passed = timerValues.getCurrentWatermarkInMs() * 1000
-            waiting = sorted((slot, n) for (slot,), (n,) in self.slots.iterator())
-            due = [(slot, n) for slot, n in waiting if (slot + 1) * width <= passed]
+            line = passed // width * width  # requests before it are due
+            _, number, parts = self.listed()
             tokens, last = self.bucket.get() if self.bucket.exists() else (None, None)
-            for slot, n in due:
-                found = []
-                for i in range(n):
-                    found += zip(*self.parts.getValue((slot, i)))
-                    self.parts.removeKey((slot, i))
-                self.slots.removeKey((slot,))
-                found.sort(key=lambda r: (r[0], tied(r[1])))
+            due, rest, open_, decided = sorted(p for p in parts if p[0] < line), [p for p in parts if p[0] >= line], [], False
+            for i, (_, _, no, _) in enumerate(due):
+                open_ += zip(*self.parts.getValue((no,)))
+                self.parts.removeKey((no,))
+                until = min(line, due[i + 1][0]) if i + 1 < len(due) else line  # nothing before it comes in a later part
+                open_.sort(key=lambda r: (r[0], tied(r[1])))
+                cut = bisect_left(open_, until, key=lambda r: r[0])
+                found, open_ = open_[:cut], open_[cut:]
                 for at in range(0, len(found), FRAME):
                     ready = found[at:at + FRAME]
                     a, m, w, tokens, last = spend([r[0] / 1e6 for r in ready], rate, period, tokens, last)
+                    decided = True
                     yield pd.DataFrame({"k": pd.Series([key[0]] * len(ready), dtype=object), "ts_us": [r[0] for r in ready], "id": pd.Series([r[1] for r in ready], dtype=object),
                                         "allowed": a, "remaining": m, "retry_after": pd.array(w, dtype="Int64")})
+            if due:
+                number = self.store(open_, number, rest)
+                self.keep(None, number, rest)
             if last is None:
                 return
             unused = int(last * 1_000_000) + idle
-            if unused <= passed and len(due) == len(waiting):
+            if unused <= passed and not rest:
                 self.bucket.clear()
-            elif due:
+            elif decided:
                 self.bucket.update((float(tokens), float(last)))
                 self.handle.registerTimer(max(unused, passed) // 1000 + 1)
 
