@@ -74,7 +74,7 @@ def explain_pairs(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     def side(name: str) -> DataFrame:
         return cards.select(F.col("work_id").alias(name), F.struct(*fields).alias(f"_{name}"))
 
-    j = pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    j = pairs.join(side("src"), "src", "left").join(side("dst").hint("shuffle_hash"), "dst", "left")  # pairs with their first card are not sorted again
     return j.select(*pairs.columns, similarity_sentence(similarity_reasons(F.col("_src"), F.col("_dst"))).alias("explanation"))
 
 

@@ -94,11 +94,14 @@ FEATURES = ["name", "period", "country", "work_type", "key", "key_pos", "terms",
 
 
 def score_pairs(pairs: DataFrame, rows: DataFrame, metrics: list[str] = ("cosine",), w: Weights = Weights()) -> DataFrame:
-    """Scores of given ``(src, dst)`` pairs, one column per metric."""
+    """Scores of given ``(src, dst)`` pairs, one column per metric.
+
+    The second join looks its rows up in a hash table of a part of ``rows``: pairs that carry the features of their first work are not sorted again.
+    """
     def side(id_col: str, alias: str) -> DataFrame:
         return rows.select(F.col("work_id").alias(id_col), F.struct(*FEATURES).alias(alias))
 
-    j = pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst")
+    j = pairs.join(side("src", "_a"), "src").join(side("dst", "_b").hint("shuffle_hash"), "dst")
     a, b = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
     return j.select("src", "dst", *[F.round(metric_fn(m)(a, b, w), DIGITS).alias(m) for m in metrics])
 

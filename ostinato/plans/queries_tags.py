@@ -114,7 +114,7 @@ def _(t: Tables):
     lists = tags_of_works(t.tags)
     a = lists.select(F.col("work_id").alias("src"), F.col("tags").alias("a"))
     b = lists.select(F.col("work_id").alias("dst"), F.col("tags").alias("b"))
-    return bought_pairs(t).join(a, "src").join(b, "dst").select("src", "dst", F.array_min(F.array_intersect("a", "b")).alias("common_tag"))
+    return bought_pairs(t).join(a, "src").join(b.hint("shuffle_hash"), "dst").select("src", "dst", F.array_min(F.array_intersect("a", "b")).alias("common_tag"))
 
 
 @query("u5_merge_review", "works tags", """, a AS (SELECT work_id, tag, source, confidence FROM tags WHERE source = 'auto-tagger'),

@@ -321,3 +321,14 @@ def test_draws_are_uniform_and_runs_repeat(spark):
         assert ids == {r.id for r in rerank.sample_by_score(valid, 5, "q", "id", seed=8 + run).collect()} and len(ids) == 10
     assert len({frozenset(x) for x in picked.values()}) > 1
     assert all(r.id < 30 for r in runs)  # the pool is three times the sample
+
+
+def test_pairs_with_features_are_not_sorted(spark):
+    """The join by the second work hashes the features; only narrow pairs are sorted or exchanged twice."""
+    one = spark.range(50).selectExpr("id AS work_id", "'n' AS name", "'p' AS period", "'c' AS country", "'t' AS work_type", "'k' AS key", "1 AS key_pos", "array(0) AS terms",
+                                     "array(1D) AS weights", "1 AS flags", "2D AS norm2")
+    pairs = spark.range(200).selectExpr("id % 50 AS src", "id * 7 % 60 AS dst")
+    scored = similarity.score_pairs(pairs, one, ["cosine"])
+    plan = scored._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan.splitlines()[1] + plan.splitlines()[0] + plan.splitlines()[2]
+    assert scored.count() == pairs.where("dst < 50").count()
