@@ -234,21 +234,27 @@ def pair_moments(items: DataFrame, vector: str = "embedding") -> DataFrame:
         F.sqrt(F.greatest((F.col("g2") - F.col("own")) / pairs - mean * mean, F.lit(0.0))).alias("std"))
 
 
-#: Pairs of blocks whose scores one task counts.
-PAIRS_A_TASK = 8
+#: A block is a ``BLOCK_SHARE``-th of the rows inside these bounds, so each row is sent as often whatever the table's size, until blocks are as large as may be.
+BLOCK_SHARE, LEAST_ROWS, MOST_ROWS = 16, 512, 65_536
+#: Rows and columns of the scores that a task holds at a time.
+SCORE_ROWS, SCORE_COLUMNS = 256, 8192
 
 
-def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int = 2048) -> DataFrame:
+def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6, block_rows: int | None = None) -> DataFrame:
     """``(score, n)`` over all pairs of different items, scores rounded.
 
-    Blocks are stored as binary rows and meet in pairs; a task counts the scores of its pairs in one array of ``2 * 10^digits + 1`` cells
-    and leaves the cells that are not empty, at the end.
+    Blocks are stored as binary rows and meet in pairs, sent once to the task of their pair; a task counts the scores of its pairs in one array of
+    ``2 * 10^digits + 1`` cells and leaves the cells that are not empty, at the end.
     """
+    block_rows = block_rows or min(MOST_ROWS, max(LEAST_ROWS, -(-items.count() // BLOCK_SHARE)))
     rows = items.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
     asked, n = numbered_blocks(rows, "id", block_rows, "_qb")
-    left = asked.select(F.col("_qb").alias("lb"), F.col("blob").alias("a"), F.explode(F.sequence(F.col("_qb"), F.lit(n - 1))).alias("rb"))
-    pairs = left.join(asked.select(F.col("_qb").alias("rb"), F.col("blob").alias("b")), "rb")
-    pairs = pairs.repartition(min(MAX_TASKS, -(-(n * (n + 1) // 2) // PAIRS_A_TASK)), "lb", "rb")
+    # both blocks of a pair go to one task by its numbers, and are joined there
+    every = F.sequence(F.lit(0), F.lit(n - 1))
+    left = asked.select(F.col("_qb").alias("lb"), F.explode(F.filter(every, lambda x: x >= F.col("_qb"))).alias("rb"), F.col("blob").alias("a"))
+    right = asked.select(F.explode(F.filter(every, lambda x: x <= F.col("_qb"))).alias("lb"), F.col("_qb").alias("rb"), F.col("blob").alias("b"))
+    tasks = min(MAX_TASKS, n * (n + 1) // 2)
+    pairs = left.repartition(tasks, "lb", "rb").hint("merge").join(right.repartition(tasks, "lb", "rb"), ["lb", "rb"])
     scale = 10**digits
 
     def count(batches):
@@ -263,15 +269,17 @@ def pair_histogram(items: DataFrame, id_col: str = "vec_id", vector: str = "embe
                 ma, mb = matrix(a["v"]), matrix(b["v"])
                 na, nb = np.linalg.norm(ma, axis=1), np.linalg.norm(mb, axis=1)
                 ids = pd.factorize(a["id"], sort=True)[0]
-                for at in range(0, len(a), 256):
-                    here = slice(at, at + 256)
-                    norms = na[here, None] * nb[None, :]
-                    dots = ma[here] @ mb.T
-                    s = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
-                    if pair.lb == pair.rb:
-                        s = s[ids[here, None] < ids[None, :]]
-                    places = np.clip(np.rint(s * scale).astype(np.int64), -scale, scale) + scale
-                    cells += np.bincount(places.ravel(), minlength=len(cells))
+                for at in range(0, len(a), SCORE_ROWS):
+                    here = slice(at, at + SCORE_ROWS)
+                    for first in range(0, len(b), SCORE_COLUMNS):
+                        there = slice(first, first + SCORE_COLUMNS)
+                        norms = na[here, None] * nb[None, there]
+                        dots = ma[here] @ mb[there].T
+                        s = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+                        if pair.lb == pair.rb:
+                            s = s[ids[here, None] < ids[None, there]]
+                        places = np.clip(np.rint(s * scale).astype(np.int64), -scale, scale) + scale
+                        cells += np.bincount(places.ravel(), minlength=len(cells))
         full = np.flatnonzero(cells)
         yield pd.DataFrame({"score": (full - scale) / scale + 0.0, "n": cells[full]})
 

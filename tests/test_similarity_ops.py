@@ -332,3 +332,17 @@ def test_pairs_with_features_are_not_sorted(spark):
     plan = scored._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin" in plan.splitlines()[1] + plan.splitlines()[0] + plan.splitlines()[2]
     assert scored.count() == pairs.where("dst < 50").count()
+
+
+def test_histogram_sends_rows_a_bounded_number_of_times(spark, monkeypatch):
+    """Blocks grow with the table: the tasks, and with them the copies of each row and the partial counts, do not."""
+    from ostinato.operators import semantic
+
+    monkeypatch.setattr(semantic, "LEAST_ROWS", 4)
+    made, real = [], semantic.numbered_blocks
+    monkeypatch.setattr(semantic, "numbered_blocks", lambda *a: made.append(real(*a)[1]) or real(*a))
+    df = spark.range(320).selectExpr("id AS vec_id", "array(cast(sin(id) AS float), cast(cos(id * 3) AS float)) AS embedding")
+    small = semantic.pair_histogram(df.where("vec_id < 64"))
+    assert small.agg(F.sum("n")).first()[0] == 64 * 63 // 2
+    whole = semantic.pair_histogram(df)
+    assert made == [16, 16] and whole.agg(F.sum("n")).first()[0] == 320 * 319 // 2
