@@ -257,3 +257,15 @@ def test_keyed_table_folds_and_survives_a_crash(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "t" / "base").glob("v=*"))) == 2
     table.merge(df.limit(1).withColumn("ts", F.lit(CLOSE)), 0)  # an old batch again
     assert {(r.k, r.event_id) for r in table.current().collect()} == want
+
+
+def test_bucket_stream_has_one_timer_a_client(spark, tmp_path):
+    """Requests in many time slots: timers grow with the clients and batches, not with the slots."""
+    df = events(spark, [(70.0 * i, "ab"[i % 2]) for i in range(300)])
+    s = limiter.limit_stream(stream(spark, df, str(tmp_path / "in")), 2, 21600)
+    q = (s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    timers = sum(op["customMetrics"].get("numRegisteredTimers", 0) for p in q.recentProgress for op in p["stateOperators"])
+    assert 0 < timers < 60
+    got = {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {r.event_id: r.allowed for r in limiter.replay(df, 2, 21600).collect()}
