@@ -25,6 +25,9 @@ from ostinato.operators.catalog import tags_of_works, with_composers
 from ostinato.operators.shape import one_row, ranked
 from ostinato.session import cut
 
+#: Texts that a task cuts into words, about.
+TEXTS_A_TASK = 5_000
+
 
 def key_moods(key: Column) -> Column:
     """Mood words of a key: by name, else by mode, else empty; null for a null key."""
@@ -117,25 +120,43 @@ def embed(df: DataFrame, id_col: str, text: str, encoder: Callable | None = None
 
 
 def hashed_tfidf(df: DataFrame, id_col: str, text: str, dim: int = 384) -> DataFrame:
-    """Unit vectors of signed, hashed word weights ``(1 + ln tf) * idf`` over whole texts."""
-    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
-    tf = cut(df.select(id_col, words.alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf")), "words")  # read twice below
+    """Unit vectors of signed, hashed word weights ``(1 + ln tf) * idf`` over whole texts.
+
+    Texts are spread before they are cut into words, as a file may hold many in one row group. A word's place and weight are made once a word, not once a text.
+    """
     n = df.count()
-    df_w = tf.groupBy("w").agg(F.count("*").alias("df"))
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    texts = df.select(id_col, text).repartition(min(MAX_TASKS, n // TEXTS_A_TASK + 1), F.xxhash64(id_col, text))
+    tf = cut(texts.select(id_col, words.alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("tf")), "words")  # read twice below
     h = F.md5("w")  # the place from its first 32 bits, the sign from the next four: any engine can repeat it
-    weighted = tf.join(df_w, "w").select(
-        id_col, (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("i"),
-        (F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0) * (1 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("x"))
-    cells = weighted.groupBy(id_col, "i").agg(F.sum("x").alias("x"))
-    packed = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))  # <= dim entries
-    length = F.sqrt(F.aggregate(F.map_values("m"), F.lit(0.0), lambda s, x: s + x * x))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (
-        F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.when(length > 0, length).otherwise(1.0)).cast("float"))
+    sign = F.when(F.conv(F.substring(h, 9, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    # stored, so that the planner knows its size: only a large vocabulary makes the counts meet it by a shuffle
+    vocabulary = cut(tf.groupBy("w").agg(F.count("*").alias("df")).select(
+        "w", (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dim).cast("int").alias("i"), (sign * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1)).alias("u")), "vocabulary")
+    weighted = tf.join(vocabulary, "w").select(id_col, "i", ((1 + F.log("tf")) * F.col("u")).alias("x"))
+    cells = weighted.filter(F.col(id_col).isNotNull()).repartition(id_col).groupBy(id_col, "i").agg(F.sum("x").alias("x"))  # one shuffle for both groupings
+    packed = cells.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("m"))  # <= dim entries
+    dense = dense_unit(F.col("m"), dim)
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return df.select(id_col).join(packed.select(id_col, dense.alias("embedding")), id_col, "left").select(
         id_col, F.coalesce("embedding", zero).alias("embedding"))
 
 
+def dense_unit(cells: Column, dim: int) -> Column:
+    """The unit vector of ``dim`` floats with the given cells, an array of structs ``(i, x)`` in order of ``i``, each place once; zero if all are zero.
+
+    Each cell brings the zeros up to the next one, so the work is cells and places, not places times a search among the cells.
+    """
+    length = F.sqrt(F.aggregate(cells, F.lit(0.0), lambda s, c: s + c["x"] * c["x"]))
+    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+    following = F.slice(F.concat(F.transform(cells, lambda c: c["i"]), F.array(F.lit(dim))), 2, F.size(cells))
+    # the length is beside each cell: inside the lambda it would be summed anew for each of them
+    runs = F.zip_with(F.arrays_zip(cells.alias("c"), F.array_repeat(length, F.size(cells)).alias("n")), following, lambda a, end: F.concat(
+        F.array((a["c"]["x"] / F.when(a["n"] > 0, a["n"]).otherwise(1.0)).cast("float")), zeros(end - a["c"]["i"] - 1)))
+    first = F.when(F.size(cells) > 0, F.element_at(cells, 1)["i"]).otherwise(F.lit(dim))
+    return F.concat(zeros(first), F.flatten(runs))
+
+
 def search(
     queries: DataFrame, items: DataFrame, n: int = 10, min_score: float | None = 0.15, query_id: str = "query_id",
     item_id: str = "vec_id", vector: str = "embedding", exclude_same: bool = False,

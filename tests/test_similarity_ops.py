@@ -346,3 +346,22 @@ def test_histogram_sends_rows_a_bounded_number_of_times(spark, monkeypatch):
     assert small.agg(F.sum("n")).first()[0] == 64 * 63 // 2
     whole = semantic.pair_histogram(df)
     assert made == [16, 16] and whole.agg(F.sum("n")).first()[0] == 320 * 319 // 2
+
+
+def test_dense_unit_vectors(spark):
+    cells = {1: {}, 2: {0: 3.0, 4: -4.0}, 3: {2: 0.0}, 4: {i: float(i + 1) for i in range(5)}, 5: {3: 2.0}}
+    df = spark.createDataFrame([(k, sorted(c.items())) for k, c in cells.items()], "id int, m array<struct<i: int, x: double>>")
+    for r in df.select("id", semantic.dense_unit(F.col("m"), 5).alias("v")).collect():
+        raw = [cells[r["id"]].get(i, 0.0) for i in range(5)]
+        assert r["v"] == pytest.approx([x / (math.sqrt(sum(y * y for y in raw)) or 1.0) for x in raw], abs=1e-7)
+
+
+def test_hashed_vectors_sum_their_length_once_a_text(spark):
+    words = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, "one two two"), (2, None), (3, ""), (4, words)], "id int, text string")
+    e = semantic.embed(df, "id", "text", dim=384)
+    got = {r["id"]: r["embedding"] for r in e.collect()}
+    assert sorted(got) == [1, 2, 3, 4] and all(len(v) == 384 for v in got.values()) and not any(got[2]) and not any(got[3])
+    assert [round(sum(x * x for x in got[i]), 5) for i in (1, 4)] == [1.0, 1.0] and sum(x != 0 for x in got[1]) == 2
+    plan = e._jdf.queryExecution().optimizedPlan().toString()  # a sum inside the lambda over places would run once a place
+    assert plan.count("aggregate(") == 1, plan
