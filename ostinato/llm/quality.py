@@ -171,7 +171,9 @@ def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     start, rules = learn(docs, labels, doc_id, text, **kw)
     used = sorted({n for _, r in rules for n, _, _ in r})
     stats = statistics(text)
-    out = docs.withColumn("_stats", F.struct(*[stats[n].cast("double").alias(n) for n in used]) if used else F.struct(F.lit(0.0).alias("none")))
+    fields = F.struct(*[stats[n].cast("double").alias(n) for n in used]) if used else F.struct(F.lit(0.0).alias("none"))
+    # generated, not projected: a filter on the score would else be moved below the statistics, with each of them copied into every rule that names it
+    out = docs.withColumn("_stats", F.explode(F.array(fields)))
     value = compiled(start, rules, lambda n: F.col("_stats")[n])
     out = out.withColumn("_out", F.struct(held_out(doc_id).alias("held_out"), value.alias("score"))).drop("_stats")
     return with_fields(out, "_out", ["held_out", "score"]).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

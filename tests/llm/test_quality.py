@@ -59,3 +59,13 @@ def test_columns_are_the_rules(spark):
     x = np.array([r[1:] for r in rows])
     z = start + sum(w * quality.holds(r, x, names) for w, r in rules)
     assert np.allclose([r.s for r in rows], 1 / (1 + np.exp(-z))) and rules
+
+
+def test_filter_on_the_score_computes_each_statistic_once(spark):
+    texts, labels = corpus()
+    scored = quality.score(docs_frame(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int"))
+    good = scored.where("predicted = 1").select("doc_id")
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    tests = [line for line in plan.splitlines() if "Filter" in line]
+    assert tests and not any("regexp" in line or "split(" in line for line in tests), plan
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in scored.collect() if r.predicted == 1}
