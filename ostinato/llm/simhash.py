@@ -149,6 +149,8 @@ MIX = np.uint32(0x9E3779B1)
 MARGIN, WIDE_MARGIN = 0.12, 0.2
 #: Members of a band's bucket up to which all its pairs are compared.
 SMALL_BUCKET = 16
+#: Central members of a group that the others of its buckets are compared with before all of them are.
+CENTRES = 8
 #: Cells in which shingles are counted to put the frequent ones last, and the most cells that a task reports.
 CELLS, TASK_CELLS = 1 << 20, 1 << 16
 
@@ -230,6 +232,23 @@ def frequent_cells(sets: DataFrame) -> np.ndarray:
     return counts
 
 
+def centre_pairs(opened: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of central members of a bucket's largest group and the bucket's members outside it.
+
+    ``opened`` holds ``node, key, m, root``: the groups so far in the large buckets, and the buckets' sizes ``m``. Near copies with few changes share
+    bands with most others, so a member is as central as its buckets are large together. One is taken from each of ``CENTRES`` shares of a group, so
+    there are at most that many pairs a member and bucket. These pairs only save later ones; groups with few members in a bucket have none.
+    """
+    weights = opened.groupBy("root", "node").agg(F.sum("m").alias("weight"))
+    slot = F.pmod(F.xxhash64("node"), F.lit(CENTRES))
+    best = [F.max_by("node", F.when(slot == i, F.struct("weight", "node"))).alias(f"c{i}") for i in range(CENTRES)]
+    centres = weights.groupBy(F.col("root").alias("main")).agg(*best).select("main", F.array_compact(F.array(*[f"c{i}" for i in range(CENTRES)])).alias("centres"))
+    roots = opened.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mains = roots.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n")).where(F.col("n") > SMALL_BUCKET)
+    outside = opened.join(mains.join(centres, "main").select("key", "main", "centres"), "key").where("root <> main").dropDuplicates(["node", "main"])
+    return outside.select(F.explode("centres").alias("a"), F.col("node").alias("b"))
+
+
 def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """All candidate pairs of ``node, root, shingles`` with different roots, by an exact prefix filter.
 
@@ -262,8 +281,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, component_id``: groups of texts whose sets of shingles of ``size`` words are similar, by chains of similar pairs.
 
     Texts with equal sketches count as copies and meet first. Small buckets of a band compare all pairs, large ones their members with
-    two of them. Members of large buckets that are not all in one group by then meet again by shared rare shingles
-    (``prefix_pairs``), so no similar pair of a bucket is left out. Rows without id are in no group.
+    two of them. Members of large buckets that are not all in one group by then are compared with central members of the largest group there
+    (``centre_pairs``); those still in different groups meet again by shared rare shingles (``prefix_pairs``), so no similar pair of a bucket
+    is left out. Rows without id are in no group.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     rows = sketches(rows, "_text", size).select("doc_id", F.xxhash64("_s.bits", "_s.sketch").alias("node"), "_s.bits", "_s.sketch")
@@ -287,13 +307,17 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = cut(close_sketches(pairs, distinct, similarity - MARGIN), "pairs")
     linked = cut(similar_pairs(pairs, shingle_sets(docs, pairs, distinct, doc_id, text, size), similarity), "similar")
     roots = components(linked)
-    grouped = large.join(roots, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
+    grouped = large.join(roots, "node", "left").select("node", "key", "m", F.coalesce("root", "node").alias("root"))
     open_keys = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    again = cut(grouped.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "open")
-    if not again.isEmpty():
-        sets = shingle_sets(docs, again.select(F.col("node").alias("a"), F.col("node").alias("b")), distinct, doc_id, text, size)
+    opened = cut(grouped.join(open_keys, "key", "left_semi").select("node", "key", "m", "root"), "open")
+    if not opened.isEmpty():
+        sets = shingle_sets(docs, opened.select(F.col("node").alias("a"), F.col("node").alias("b")), distinct, doc_id, text, size)
+        central = cut(close_sketches(centre_pairs(opened), distinct, similarity - MARGIN), "pairs")
+        if not central.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(central, sets, similarity)))
+        again = cut(opened.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "again")
         more = cut(close_sketches(prefix_pairs(sets.join(again, "node"), similarity), distinct, similarity - WIDE_MARGIN), "pairs")
-        roots = components(linked.unionByName(similar_pairs(more, sets, similarity)))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(similar_pairs(more, sets, similarity)))
     rooted = distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = cut(rooted.join(smallest, "root").select("node", "component_id"), "named")

@@ -157,3 +157,38 @@ def test_pairs_inside_families_of_one_template(spark):
     assert jaccard(texts[0], texts[1]) > 0.8 > 0.78 > jaccard(texts[0], texts[2])
     groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_frame(spark, texts)).collect()}
     assert groups == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_outsiders_of_a_large_group_do_not_meet_all_of_it(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    base = [f"t{i}" for i in range(150)]
+
+    def changed(n, end):
+        words = list(base)
+        for at in rng.choice(np.arange(5, 145), n, replace=False):
+            words[at] = f"x{int(rng.integers(0, 10**9))}"
+        return " ".join([*words, end])
+
+    # three changes are similar to the few texts without any only, others to most texts
+    texts = [changed(n, f"e{i}") for i, n in enumerate([0] * 12 + [1] * 160 + [2] * 160 + [3] * 80 + [9] * 3)]
+    made = {}
+
+    def counted(name, f):
+        def call(*args):
+            made[name] = f(*args)
+            return made[name]
+        monkeypatch.setattr(simhash, name, call)
+
+    counted("prefix_pairs", simhash.prefix_pairs)
+    counted("centre_pairs", simhash.centre_pairs)
+
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_frame(spark, texts)).collect()}
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert groups == dict(enumerate(root)) and len(set(root)) < 12
+    assert made["centre_pairs"].distinct().count() <= simhash.CENTRES * len(texts)
+    assert made["prefix_pairs"].distinct().count() <= simhash.CENTRES * len(texts)
