@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ostinato.functions.fixed_values import CHARACTER_WORDS, KEY_IN_TITLE
 from ostinato.functions.titles import plain_key
 from ostinato.operators.semantic import key_moods
+from ostinato.operators.similarity import both_directions
 
 NONE = "array<string>"
 
@@ -67,15 +68,20 @@ def similarity_sentence(r: Column) -> Column:
     )
 
 
-def explain_pairs(pairs: DataFrame, cards: DataFrame) -> DataFrame:
-    """Add ``explanation`` to ``(src, dst, ...)`` rows; cards hold ``composer_id, work_type, key, period, tags``."""
+def explain_pairs(pairs: DataFrame, cards: DataFrame, both_ways: bool = False) -> DataFrame:
+    """Add ``explanation`` to ``(src, dst, ...)`` rows; cards hold ``composer_id, work_type, key, period, tags``.
+
+    With ``both_ways`` a pair stands for its reverse, too: an explanation names only what both share, so it holds for both.
+    """
     fields = ["composer_id", "work_type", "key", "period", "tags"]
 
     def side(name: str) -> DataFrame:
         return cards.select(F.col("work_id").alias(name), F.struct(*fields).alias(f"_{name}"))
 
     j = pairs.join(side("src"), "src", "left").join(side("dst").hint("shuffle_hash"), "dst", "left")  # pairs with their first card are not sorted again
-    return j.select(*pairs.columns, similarity_sentence(similarity_reasons(F.col("_src"), F.col("_dst"))).alias("explanation"))
+    told = j.select(*pairs.columns, similarity_sentence(similarity_reasons(F.col("_src"), F.col("_dst"))).alias("explanation"))
+    names = [c for c in told.columns if c not in ("src", "dst")]
+    return both_directions(told, names, names, names) if both_ways else told
 
 
 # --- search explanations ------------------------------------------------------------------------------

@@ -90,20 +90,33 @@ def metric_fn(name: str) -> Callable[[Side, Side, Weights], Column]:
         raise ValueError(f"similarity metric must be one of {sorted(METRICS)}") from None
 
 
+def both_directions(pairs: DataFrame, names: list[str], there: list[str], back: list[str]) -> DataFrame:
+    """Two rows of each pair: ``src, dst`` with the columns ``there``, and the reverse with the columns ``back``, both under ``names``."""
+    rows = [F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), *[F.col(c).alias(n) for c, n in zip(cols, names)]) for x, y, cols in (("src", "dst", there), ("dst", "src", back))]
+    return pairs.select(F.inline(F.array(*rows)))
+
+
 FEATURES = ["name", "period", "country", "work_type", "key", "key_pos", "terms", "weights", "flags", "norm2"]
 
 
-def score_pairs(pairs: DataFrame, rows: DataFrame, metrics: list[str] = ("cosine",), w: Weights = Weights()) -> DataFrame:
+def score_pairs(pairs: DataFrame, rows: DataFrame, metrics: list[str] = ("cosine",), w: Weights = Weights(), both_ways: bool = False) -> DataFrame:
     """Scores of given ``(src, dst)`` pairs, one column per metric.
 
-    The second join looks its rows up in a hash table of a part of ``rows``: pairs that carry the features of their first work are not sorted again.
+    With ``both_ways`` a pair stands for its reverse, too, which is scored from the same joined row. The second join looks its rows up in a hash table of a part of ``rows``: pairs that carry the features of their first work are not sorted again.
     """
     def side(id_col: str, alias: str) -> DataFrame:
         return rows.select(F.col("work_id").alias(id_col), F.struct(*FEATURES).alias(alias))
 
     j = pairs.join(side("src", "_a"), "src").join(side("dst", "_b").hint("shuffle_hash"), "dst")
     a, b = (lambda c: F.col(f"_a.{c}")), (lambda c: F.col(f"_b.{c}"))
-    return j.select("src", "dst", *[F.round(metric_fn(m)(a, b, w), DIGITS).alias(m) for m in metrics])
+
+    def scores(x: Side, y: Side, names: list[str]) -> list[Column]:
+        return [F.round(metric_fn(m)(x, y, w), DIGITS).alias(n) for m, n in zip(metrics, names)]
+
+    if not both_ways:
+        return j.select("src", "dst", *scores(a, b, metrics))
+    there, back = ([f"_{way}{i}" for i in range(len(metrics))] for way in "ab")
+    return both_directions(j.select("src", "dst", *scores(a, b, there), *scores(b, a, back)), metrics, there, back)
 
 
 def _literal_side(row) -> Side:

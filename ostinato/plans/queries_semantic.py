@@ -86,7 +86,7 @@ def work_cards(t: Tables):
 def _(t: Tables):
     from ostinato.plans.queries_similarity import bought_pairs
 
-    return explain.explain_pairs(bought_pairs(t), t.cards)
+    return explain.explain_pairs(bought_pairs(t), t.cards, both_ways=True)
 
 
 _LISTED = "[" + ", ".join(f"'{w}'" for w in CHARACTER_WORDS) + "]"

@@ -18,10 +18,13 @@ ALL = FEATURES_SQL
 
 
 def bought_pairs(t: Tables):
-    """Distinct pairs of different works of one order, which has few lines; dealt by the first work, as their uses want them."""
+    """Distinct pairs ``src < dst`` of works of one order, which has few lines; dealt by the first work, as their uses want them.
+
+    Each stands for both directions (``both_ways`` of the uses), so that half the pairs are moved and joined.
+    """
     li = t.base("lineitem").select("l_orderkey", F.col("l_partkey").alias("src"))
     other = t.base("lineitem").select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return li.join(other, "l_orderkey").filter("src <> dst").select("src", "dst").repartition("src").distinct()
+    return li.join(other, "l_orderkey").filter("src < dst").select("src", "dst").repartition("src").distinct()
 
 
 PAIRS_SQL = {"pairs": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"}
@@ -74,7 +77,7 @@ def _(t: Tables):
 @query("v5_pair_scores", WCG, f""", s AS (SELECT src, dst, {DOT_SQL} AS d, a.n2 AS na, b.n2 AS nb FROM pairs JOIN featn a ON a.work_id = src JOIN featn b ON b.work_id = dst)
 SELECT src, dst, round(d / sqrt(na * nb), 6) + 0.0 AS cosine, round(1 / (1 + sqrt(greatest(round(na + nb - 2 * d, 9), 0.0))), 6) AS euclidean, round(d, 6) + 0.0 AS dot FROM s""", ALL | PAIRS_SQL)
 def _(t: Tables):
-    return similarity.score_pairs(bought_pairs(t), t.features, ["cosine", "euclidean", "dot"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["cosine", "euclidean", "dot"], both_ways=True)
 
 
 L1_SQL = """10.0 * CAST(a.name <> b.name AS INT) + 6.0 * CAST(a.period <> b.period AS INT) + 4.0 * CAST(a.work_type <> b.work_type AS INT) + 3.0 * CAST(a.country <> b.country AS INT)
@@ -85,7 +88,7 @@ L1_SQL = """10.0 * CAST(a.name <> b.name AS INT) + 6.0 * CAST(a.period <> b.peri
 
 @query("v5_manhattan", WCG, f"SELECT src, dst, round(1 / (1 + {L1_SQL}), 6) AS manhattan FROM pairs JOIN featn a ON a.work_id = src JOIN featn b ON b.work_id = dst", ALL | PAIRS_SQL)
 def _(t: Tables):
-    return similarity.score_pairs(bought_pairs(t), t.features, ["manhattan"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["manhattan"], both_ways=True)
 
 
 @query("v6_top_edges", WCG, f"""SELECT a.work_id AS src, b.work_id AS dst, round({DOT_SQL.replace(chr(10), ' ')}, 12) AS d, round(({DOT_SQL}) / sqrt(a.n2 * b.n2), 6) AS score,
@@ -234,7 +237,7 @@ def _(t: Tables):
         return (F.when(a("name") == b("name"), 1.0).otherwise(0.0) + F.when(a("key") == b("key"), 1.0).otherwise(0.0)) / 2
 
     similarity.register_metric("shared_facts", shared_facts)
-    return similarity.score_pairs(bought_pairs(t), t.features, ["shared_facts"])
+    return similarity.score_pairs(bought_pairs(t), t.features, ["shared_facts"], both_ways=True)
 
 
 # --- top-k over embeddings ------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ostinato.functions.fixed_values import PLAYFUL_PATTERNS, PLAYFUL_TAGS, TAXONOMY
 from ostinato.operators import corrections as corr
+from ostinato.operators import similarity
 from ostinato.operators import tag_metrics as tm
 from ostinato.operators import tags as tg
 from ostinato.operators.catalog import tags_of_works
@@ -114,7 +115,8 @@ def _(t: Tables):
     lists = tags_of_works(t.tags)
     a = lists.select(F.col("work_id").alias("src"), F.col("tags").alias("a"))
     b = lists.select(F.col("work_id").alias("dst"), F.col("tags").alias("b"))
-    return bought_pairs(t).join(a, "src").join(b.hint("shuffle_hash"), "dst").select("src", "dst", F.array_min(F.array_intersect("a", "b")).alias("common_tag"))
+    common = bought_pairs(t).join(a, "src").join(b.hint("shuffle_hash"), "dst").select("src", "dst", F.array_min(F.array_intersect("a", "b")).alias("common_tag"))
+    return similarity.both_directions(common, ["common_tag"], ["common_tag"], ["common_tag"])
 
 
 @query("u5_merge_review", "works tags", """, a AS (SELECT work_id, tag, source, confidence FROM tags WHERE source = 'auto-tagger'),

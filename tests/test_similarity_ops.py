@@ -334,6 +334,26 @@ def test_pairs_with_features_are_not_sorted(spark):
     assert scored.count() == pairs.where("dst < 50").count()
 
 
+def test_bought_pairs_are_joined_once_for_both_directions(spark, monkeypatch, tmp_path):
+    """Half the pairs are dealt and joined with features; the reverse is scored from the same row, also by a metric that is not symmetric."""
+    from ostinato.plans.queries_similarity import bought_pairs
+    from ostinato.plans.views import Tables
+
+    lines = [(1, 3), (1, 5), (1, 3), (2, 5), (2, 3), (2, 9), (None, 3), (None, 5), (4, None), (4, 9), (6, 77), (6, 9)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    pairs = bought_pairs(Tables(spark, str(tmp_path)))
+    assert sorted(map(tuple, pairs.collect())) == [(3, 5), (3, 9), (5, 9), (9, 77)]
+    rows = spark.createDataFrame([(3, "a"), (5, None), (9, "ccc"), (9, "dd")], "work_id long, name string").selectExpr(
+        "*", "'p' AS period", "'c' AS country", "'t' AS work_type", "'k' AS key", "1 AS key_pos", "array(0) AS terms", "array(1D) AS weights", "1 AS flags", "2D AS norm2")
+    monkeypatch.setitem(similarity.METRICS, "longer", lambda a, b, _w: F.length(a("name")) - F.length(b("name")) * 2.0)
+    got = similarity.score_pairs(pairs, rows, ["longer", "cosine"], both_ways=True)
+    reverse = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    plain = similarity.score_pairs(pairs.unionByName(reverse), rows, ["longer", "cosine"])
+    assert got.columns == plain.columns
+    order = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert order(got) == order(plain) and got.count() == 10
+
+
 def test_histogram_sends_rows_a_bounded_number_of_times(spark, monkeypatch):
     """Blocks grow with the table: the tasks, and with them the copies of each row and the partial counts, do not."""
     from ostinato.operators import semantic
