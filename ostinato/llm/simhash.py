@@ -221,17 +221,30 @@ def frequent_cells(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             np.add.at(held, batch.column(0).flatten().to_numpy().view(np.uint32) % CELLS, 1)
         cells = np.argpartition(held, -TASK_CELLS)[-TASK_CELLS:]
-        cells = cells[held[cells] > 1]
+        cells = cells[held[cells] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(held[cells])], names=["cell", "n"])
 
     import pyarrow as pa
 
     counts = np.zeros(CELLS, dtype=np.int64)
-    rows = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     counts[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 
+def leaders(large: DataFrame) -> DataFrame:
+    """``key, leaders``: the most central member of each large bucket in each of two shares of its members.
+
+    ``large`` holds ``node, key, m``: the members of large buckets, and the buckets' sizes. Near copies with few changes share bands with most
+    others, so a member is as central as its buckets are large together. The buckets of a group of near copies mostly have the same ones, so a member
+    meets few different leaders, and those that are similar to most of the group.
+    """
+    weights = large.groupBy("node").agg(F.sum("m").alias("weight"))
+    share = F.pmod(F.xxhash64("node"), F.lit(2))
+    best = [F.max_by("node", F.when(share == i, F.struct("weight", "node"))) for i in range(2)]
+    return large.join(weights, "node").groupBy("key").agg(F.array_compact(F.array(*best)).alias("leaders"))
+
+
 def centre_pairs(opened: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of central members of a bucket's largest group and the bucket's members outside it.
 
@@ -281,7 +294,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, component_id``: groups of texts whose sets of shingles of ``size`` words are similar, by chains of similar pairs.
 
     Texts with equal sketches count as copies and meet first. Small buckets of a band compare all pairs, large ones their members with
-    two of them. Members of large buckets that are not all in one group by then are compared with central members of the largest group there
+    two central ones (``leaders``). Members of large buckets that are not all in one group by then are compared with central members of the largest group there
     (``centre_pairs``); those still in different groups meet again by shared rare shingles (``prefix_pairs``), so no similar pair of a bucket
     is left out. Rows without id are in no group.
     """
@@ -291,11 +304,10 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "distinct")
     bands = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 2 * BAND * i + 1, 2 * BAND)) for i in range(BANDS)])
     keys = cut(distinct.select("node", F.explode(bands).alias("key")), "bands")
-    order = F.xxhash64("node", "key")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min_by("node", order).alias("one"), F.max_by("node", order).alias("two")).where("m > 1")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = cut(keys.join(buckets, "key"), "members")
     large = members.where(F.col("m") > SMALL_BUCKET)
-    stars = large.select(F.explode(F.array("one", "two")).alias("a"), F.col("node").alias("b"))
+    stars = large.join(leaders(large), "key").select(F.explode("leaders").alias("a"), F.col("node").alias("b"))
     few = members.where(F.col("m") <= SMALL_BUCKET)
     left, right = few.select("key", F.col("node").alias("a")), few.select(F.col("key").alias("key_b"), F.col("node").alias("b"))
     stars = stars.unionByName(left.join(right, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b"))).select("a", "b"))

@@ -192,3 +192,34 @@ def test_outsiders_of_a_large_group_do_not_meet_all_of_it(spark, monkeypatch):
     assert groups == dict(enumerate(root)) and len(set(root)) < 12
     assert made["centre_pairs"].distinct().count() <= simhash.CENTRES * len(texts)
     assert made["prefix_pairs"].distinct().count() <= simhash.CENTRES * len(texts)
+
+
+def test_members_of_large_buckets_meet_few_leaders(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    base = [f"t{i}" for i in range(150)]
+
+    def changed(n, end):
+        words = list(base)
+        for at in rng.choice(np.arange(5, 145), n, replace=False):
+            words[at] = f"x{int(rng.integers(0, 10**9))}"
+        return " ".join([*words, end])
+
+    texts = [changed(n, f"e{i}") for i, n in enumerate([0] * 12 + [1] * 160 + [2] * 160 + [3] * 80)]
+    compared, close = [], simhash.close_sketches
+
+    def counted(pairs, *args):
+        compared.append(pairs.where("a <> b").select(F.least("a", "b"), F.greatest("a", "b")).distinct().count())
+        return close(pairs, *args)
+
+    monkeypatch.setattr(simhash, "close_sketches", counted)
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(docs_frame(spark, texts)).collect()}
+    near = [i for i, t in enumerate(texts) if any(i != j and jaccard(t, u) >= 0.8 for j, u in enumerate(texts))]
+    assert len(near) == len(texts) and set(groups.values()) == {0}
+    # the leaders' pairs come first: 4,128, or 10,805 with two leaders drawn anew in each bucket
+    assert compared[0] <= 12 * len(texts)
+
+
+def test_counts_of_shingles_do_not_depend_on_partitions(spark):
+    sets = spark.createDataFrame([([7, -5, 100 + i],) for i in range(12)], "shingles array<int>")
+    counts = [simhash.frequent_cells(sets.repartition(n)) for n in (1, 12)]
+    assert counts[0][7] == 12 and counts[0].sum() == 24 and (counts[0] == counts[1]).all()
