@@ -269,3 +269,50 @@ def test_bucket_stream_has_one_timer_a_client(spark, tmp_path):
     assert 0 < timers < 60
     got = {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r.event_id: r.allowed for r in limiter.replay(df, 2, 21600).collect()}
+
+
+def test_alert_stream_state_does_not_grow_with_clients_and_slots(spark, tmp_path, monkeypatch):
+    """Each event has its own client and slot: timers and state calls grow with the groups and batches, not with the events."""
+    monkeypatch.setattr(monitor, "GROUPS", 8, raising=False)
+    df = events(spark, [x for i in range(200) for x in ((400 * i, f"c{i}"), (400 * i + 1, f"c{i}"))])
+    s = monitor.alert_stream(stream(spark, df, str(tmp_path / "in")), 2, 300)
+    q = (s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    timers = sum(op["customMetrics"].get("numRegisteredTimers", 0) for p in q.recentProgress for op in p["stateOperators"])
+    assert 0 < timers <= 2 * 8 * len(q.recentProgress)
+    got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [2 * i + 1 for i in range(200)]
+
+
+def test_alert_stream_over_cells_and_batches(spark, tmp_path, monkeypatch):
+    """Two groups, slots judged one after the other; bounds of slots, events without client or id; a late row does not count."""
+    monkeypatch.setattr(monitor, "GROUPS", 2, raising=False)
+    rng = random.Random(21)
+    start = dt.datetime(1970, 1, 3, 22)
+    at = sorted([rng.randrange(0, 14400) for _ in range(300)] + [300 * rng.randrange(0, 48) for _ in range(60)] + [7199, 7200] * 3)
+    rows = [(None if i == 70 else i, start + dt.timedelta(seconds=s), rng.choice(["a", "b", "c", None])) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, client_id string")
+    want = sorted((str(r.event_id), str(r.client_id)) for r in batch.alerts(df, 3, 300, "client_id").collect())
+    for p in range(0, len(rows), 75):
+        here = rows[p:p + 75]
+        rng.shuffle(here)
+        spark.createDataFrame(here, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for last in ([(1000, start, "a"), (1001, CLOSE, None)], [(1002, start + dt.timedelta(seconds=i), "a") for i in range(9)]):
+        spark.createDataFrame(last, df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = monitor.alert_stream(ingest.file_stream(spark, str(tmp_path / "in"), df.schema, maxFilesPerTrigger=1), 3, 300)
+    ingest.drain(s, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((str(r.event_id), str(r.client_id)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == want and len(got) > 50
+
+
+def test_reached():
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(4), rng.randrange(60)) for _ in range(80))
+    group, us = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for n in (0, 1, 2, 5, 90):
+        for width in (1, 7, 100):
+            want = [sum(g == h and t - width < u <= t for h, u in rows) >= n for g, t in rows]
+            assert monitor.reached(group, us, n, width).tolist() == want
+    assert monitor.reached(group[:0], us[:0], 1, 7).tolist() == []
